@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-Tokens are words and runs of punctuation in their own case; features are the hashes of tokens and of adjacent pairs, each worth
-1 / sqrt(number of features), so a score is one sparse dot product with the weights. ``train`` takes at most
+Tokens are words and runs of punctuation in their own case; features are the hashes of tokens and of adjacent pairs (a token
+repeated is one pair whatever the token), each worth 1 / sqrt(number of features), so a score is one sparse dot product with the weights. ``train`` takes at most
 ``max_rows`` labelled rows (the bound of the sample, chosen by hash of the id), deals them into ``shards`` groups that learn side
 by side in tasks, and averages their weights; the model has ``2 ** bits`` weights whatever the input. ``score`` runs over
 whole texts in tasks and looks at nothing but the text.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key
@@ -27,6 +27,8 @@ from .common import row_key
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens whose hashes a task remembers at most.
 MEMO = 300_000
+#: The pair of a token with itself has one hash for all tokens.
+REPEAT = np.uint32(0x5EED)
 
 
 class Hasher:
@@ -48,6 +50,7 @@ class Hasher:
             h = np.fromiter(map(known.__getitem__, tokens), np.uint32, len(tokens))
         mixed = h[:-1] * np.uint32(2654435761) ^ (h[1:] * np.uint32(40503) + np.uint32(0x9E3779B9))
         mixed ^= mixed >> np.uint32(15)
+        mixed[h[:-1] == h[1:]] = REPEAT
         return np.concatenate([h, mixed]) & self.mask
 
 
@@ -121,7 +124,7 @@ def scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
     return rows.mapInPandas(tasks, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["score double"]))
 
 
-def held_out(c) -> F.col:
+def held_out(c: Column) -> Column:
     """Rows whose labels teach nothing: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, packing, quality
+from . import decontaminate, exact_dedup, html_text, minhash, mixing, packing, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +38,30 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", "url", html_text.rendered("html").alias("text"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start_word"), F.col("end").cast("long").alias("end_word"),
+        (F.col("end") - F.col("start")).cast("long").alias("n_words"), "first_doc_id", F.col("id").eqNullSafe(F.col("first_doc_id")).alias("kept"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_packing": op3_token_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
+    "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_html_text": op9_html_text,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE = {
