@@ -10,30 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
+#: Shared folders of our own, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``); one of our own where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(found)
-        _OWN.setdefault(spark.sparkContext.applicationId, found)
+        found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return found
 
 
-_OWN: dict[str, str] = {}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: its lineage is cut, so a lost executor
-    costs at most a re-read."""
+    costs at most a re-read. ``release`` deletes scratch tables; others stay."""
     spark = df.sparkSession
-    base = _OWN.get(spark.sparkContext.applicationId) or shared_dir(spark)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _SCRATCH.append((spark, path))
+    if scratch:
+        _SCRATCH.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,6 +37,8 @@ def release(spark: SparkSession) -> None:
     """Delete the scratch tables written so far; call it only when nothing that reads them is still to run."""
     while _SCRATCH:
         owner, path = _SCRATCH.pop()
+        if owner.sparkContext._jsc is None:
+            continue
         try:
             jvm = owner.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -21,8 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import row_key
+from pyspark.sql import types as T
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens whose hashes a task remembers at most.
@@ -105,23 +104,23 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12
     return np.average([np.frombuffer(r["weights"], "<f4") for r in learnt], axis=0, weights=[r["n"] for r in learnt]).astype("f4")
 
 
-def scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
-    """``id, score`` of every row (and its ``key`` if asked for)."""
-    bits, model = int(len(weights) - 1).bit_length() - 1, weights
+def _score(features: np.ndarray, weights: np.ndarray) -> float:
+    """The sparse dot product, squashed."""
+    margin = weights[features].sum(dtype=np.float64) / np.sqrt(max(len(features), 1)) + weights[-1]
+    return float(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
+
+
+def scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, score`` of every row."""
+    bits = int(len(weights) - 1).bit_length() - 1
 
     def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(bits)
         for batch in batches:
-            out = np.empty(len(batch))
-            for i, text in enumerate(batch.pop("text")):
-                f = hasher.features(text)
-                out[i] = model[f].sum(dtype=np.float64) / np.sqrt(max(len(f), 1)) + model[-1]
-            yield batch.assign(score=1 / (1 + np.exp(-np.clip(out, -35, 35))))
+            yield batch[["id"]].assign(score=[_score(hasher.features(text), weights) for text in batch["text"]])
 
-    more = {"key": row_key(id_col, text_col)} if keyed else {}
-    rows = docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in more.items()], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kept = rows.drop("text").schema
-    return rows.mapInPandas(tasks, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["score double"]))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInPandas(tasks, "id long, score double")
 
 
 def held_out(c: Column) -> Column:
@@ -129,19 +128,14 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with all their columns, scored where they are: no row is shuffled."""
-    weights = train(docs, labels.where(~held_out(F.col("doc_id"))), id_col=id_col, text_col=text_col, **options)
     bits = int(len(weights) - 1).bit_length() - 1
 
-    @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher = Hasher(bits)
         for batch in texts:
-            out = []
-            for text in batch:
-                f = hasher.features(text)
-                out.append(1 / (1 + np.exp(-np.clip(weights[f].sum(dtype=np.float64) / np.sqrt(max(len(f), 1)) + weights[-1], -35, 35))))
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series([_score(hasher.features(text), weights) for text in batch], dtype="float64")
 
-    return docs.where(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) >= threshold)
+    column = F.pandas_udf(score, T.DoubleType())(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.where(column >= threshold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, minhash, mixing, packing, quality, suffix_dedup
+from . import decontaminate, exact_dedup, html_text, line_dedup, minhash, mixing, packing, pii, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").withColumnRenamed("class_id", "class_doc_id")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.spans(docs, pii.fit(docs))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(F.col("id").alias("doc_id"), *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+                        F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     weights = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
@@ -57,6 +69,8 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_packing": op3_token_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_personal_data": op5_personal_data,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
     "op8_minhash_dedup": op8_minhash_dedup,
