@@ -1,4 +1,8 @@
 """All registered queries of the property operators, with the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from . import matching
+
+QUERIES: dict = {**matching.QUERIES}
+ORACLE: dict = {**matching.ORACLE}
