@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import matching
+from . import explore, matching
 
-QUERIES: dict = {**matching.QUERIES}
-ORACLE: dict = {**matching.ORACLE}
+QUERIES: dict = {**matching.QUERIES, **explore.QUERIES}
+ORACLE: dict = {**matching.ORACLE, **explore.ORACLE}
