@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import explore, matching
+from . import explore, keep, matching
 
-QUERIES: dict = {**matching.QUERIES, **explore.QUERIES}
-ORACLE: dict = {**matching.ORACLE, **explore.ORACLE}
+QUERIES: dict = {**matching.QUERIES, **explore.QUERIES, **keep.QUERIES}
+ORACLE: dict = {**matching.ORACLE, **explore.ORACLE, **keep.ORACLE}
