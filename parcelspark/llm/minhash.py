@@ -7,11 +7,12 @@ below the shingle's weight; component k of the signature is the least time of it
 probability equal to their weighted Jaccard similarity. Points are drawn in order of time, and a process stops once it is past the
 largest component so far, so long texts need about one point for each shingle.
 
-``classes`` bands the signatures; each bucket's members are held against the bucket's least text (a star, not all pairs), the exact
-multiset similarity decides, and links make connected classes. Members of a bucket that are then still in different classes are
-compared with each other, so no link between candidates is lost, while a group of copies costs a number of pairs linear in its
-size. ``BANDS`` bands of ``ROWS`` components find a pair of similarity 0.8 with probability 0.99996. Copies of a text
-are one node of the graph throughout.
+``classes`` bands the signatures. Each bucket's members are held against its hub, the member with most neighbours (a star, not all pairs), by exact multiset
+similarity. Of two other members x and y that are similar, one may be dissimilar to the hub; such pairs are found by what they share of their differences from the hub.
+If |x - h| counts the copies that x adds to or takes from h, similar texts have |x - y| <= s (|x| + |y|) with s = (1 - t) / (1 + t), and |x - y| = |x - h| + |y - h| - 2 (shared changes); so
+with x dissimilar to h they must share more than (|y - h| - s (|y| - |h|)) / 2 changes, and a prefix of y's changes that leaves out that many must hold one of x's. Changes are
+ordered with additions first, which are rare, so few pairs meet, all of them are verified, and no pair of candidates is lost; a group of copies costs a number of pairs linear in its size. Links make
+connected classes. ``BANDS`` bands of ``ROWS`` components find a pair of similarity 0.8 with probability 0.99996. Copies of a text are one node throughout.
 
 Defined results: null and empty texts have no words; all such texts with equal characters are one class and none other joins it. Of a class the least id stays;
 null ids lose to others. Repeated rows (same id and text) are in one class and bear the same flag, and ``drop_near_duplicates`` keeps
@@ -135,29 +136,70 @@ def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(shingles=[s.tobytes() for s, _ in found], counts=[b"" if (c == 1).all() else c.astype("<u4").tobytes() for _, c in found])
 
 
-def similarity(a: bytes, a_counts: bytes, b: bytes, b_counts: bytes) -> float:
-    """Exact weighted Jaccard similarity of two multisets as `_bags` writes them."""
-    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    x = np.frombuffer(a_counts, "<u4").astype(np.int64) if a_counts else np.ones(len(a), np.int64)
-    y = np.frombuffer(b_counts, "<u4").astype(np.int64) if b_counts else np.ones(len(b), np.int64)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    both, total = np.minimum(x[i], y[j]).sum(), x.sum() + y.sum()
-    return float(both / (total - both)) if total else 1.0
+def _bag(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    a = np.frombuffer(shingles, np.uint64)
+    return a, np.frombuffer(counts, "<u4").astype(np.int64) if counts else np.ones(len(a), np.int64)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Exact weighted Jaccard similarity of two multisets."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both, total = int(np.minimum(a[1][i], b[1][j]).sum()), int(a[1].sum() + b[1].sum())
+    return both / (total - both) if total else 1.0
+
+
+def difference(hub: tuple[np.ndarray, np.ndarray], bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The multiset ``bag`` as a difference from ``hub``: one hash for each copy of a shingle that is added, then for each that is taken away.
+    Two bags share a hash for each copy that both add, or both take away."""
+    every = np.union1d(hub[0], bag[0])
+    change = np.zeros(len(every), np.int64)
+    change[np.searchsorted(every, bag[0])] += bag[1]
+    change[np.searchsorted(every, hub[0])] -= hub[1]
+    out = []
+    for sign in (1, -1):
+        on = sign * change > 0
+        shingle, n = np.repeat(every[on], sign * change[on]), sign * change[on]
+        copy = np.arange(len(shingle)) - np.repeat(np.cumsum(n) - n, n)
+        out.append(np.sort(mixed(shingle ^ mixed(copy.astype(np.uint64) * np.uint64(2) + np.uint64(sign > 0)))))
+    return np.concatenate(out)
+
+
+STAR = "a binary, b binary, sim double, size long, change long, narrow array<bigint>, wide array<bigint>"
+
+
+def _stars(threshold: float):
+    """Pairs of a hub and a text: exact similarity, and the text's difference from the hub as far as the join of differences needs it."""
+    slack = (1 - threshold) / (1 + threshold)  # similar texts differ in at most this share of the sum of their sizes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                hub, bag = _bag(r.a_shingles, r.a_counts), _bag(r.b_shingles, r.b_counts)
+                sim, size = similarity(hub, bag), int(bag[1].sum())
+                change = difference(hub, bag) if r.crowd else np.empty(0, np.uint64)
+                # a text that is not similar to the hub and is similar to this one shares more than `most` of the change with it
+                most = (len(change) - (size - int(hub[1].sum())) * slack) / 2
+                narrow = change[: len(change) - max(0, int(np.floor(most)))]
+                out.append((r.a, r.b, sim, size, len(change), narrow.view(np.int64), change.view(np.int64) if sim < threshold else np.empty(0, np.int64)))
+            yield pd.DataFrame(out, columns=["a", "b", "sim", "size", "change", "narrow", "wide"])
+
+    return run
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sim = [similarity(*x) for x in zip(batch["a_shingles"], batch["a_counts"], batch["b_shingles"], batch["b_counts"])]
+        sim = [similarity(_bag(r.a_shingles, r.a_counts), _bag(r.b_shingles, r.b_counts)) for r in batch.itertuples(index=False)]
         yield batch[["a", "b"]].assign(sim=sim)
 
 
-def _links(docs: DataFrame, pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of text keys whose exact similarity reaches the threshold."""
+def _with_bags(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of text keys with both multisets. ``reps`` has for each key the id of one document."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(reps, "key").select("key", F.col("rep").alias("__rep"))
     rows = docs.join(wanted, "key").where(F.col("id").eqNullSafe(F.col("__rep"))).select("key", "text")
     bags = written(rows.mapInPandas(_bags, "key binary, shingles binary, counts binary").dropDuplicates(["key"]), "near-bags")
     side = lambda s: bags.select(*[F.col(c).alias(f"{s}_{c}") for c in ("shingles", "counts")], F.col("key").alias(s))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verified, "a binary, b binary, sim double").where(F.col("sim") >= threshold).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,23 +210,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     texts = signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     shown = written(signed.join(texts, "key").where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"]), "near-texts")
     members = shown.select("key", F.explode("bands").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(members.join(pivots, "bucket"), "near-buckets")
+    crowds = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(members.join(crowds, "bucket"), "near-buckets")
+    # the hub of a bucket: the member with most neighbours in all of its buckets
+    degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
+    members = members.join(degree, "key").withColumn("rank", F.struct(F.negative("degree").alias("none"), "key"))
+    hubs = members.groupBy("bucket").agg(F.min("rank").alias("hub")).select("bucket", F.col("hub.key").alias("a"))
+    pairs = members.join(hubs, "bucket").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.max(F.col("n") > 2).alias("crowd"))
     reps = shown.select("key", "rep")
-    pairs = written(members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "near-pairs")
-    links = written(_links(docs, pairs, reps, threshold), "near-links")
+    stars = written(_with_bags(docs, written(pairs, "near-pairs"), reps).mapInPandas(_stars(threshold), STAR), "near-stars")
+    links = stars.where(F.col("sim") >= threshold).select("a", "b")
+    # pairs beside the hub: where one is not similar to it, by the differences from the hub that they share
+    slack = (1 - threshold) / (1 + threshold)
+    wide = stars.select("a", F.explode("wide").alias("h"), F.col("b").alias("x"), F.col("size").alias("x_size"), F.col("change").alias("x_change"))
+    narrow = stars.select("a", F.explode("narrow").alias("h"), F.col("b").alias("y"), F.col("size").alias("y_size"), F.col("change").alias("y_change"))
+    beside = wide.join(narrow, ["a", "h"]).where("x <> y").where(F.abs(F.col("x_change") - F.col("y_change")) <= slack * (F.col("x_size") + F.col("y_size"))) \
+        .where(F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size")) \
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    beside = written(beside, "near-beside")
+    if not beside.isEmpty():
+        more = _with_bags(docs, beside, reps).mapInPandas(_verified, "a binary, b binary, sim double").where(F.col("sim") >= threshold)
+        links = written(links.union(more.select("a", "b")), "near-links")
     roots = components(links, "near-classes")
-    # buckets whose members ended in different classes: compare across the classes, never within one
-    placed = members.join(roots.withColumnRenamed("id", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rest = written(placed.join(split, "bucket"), "near-rest")
-    other = rest.select("bucket", F.col("key").alias("b"), F.col("root").alias("b_root"))
-    across = rest.withColumnRenamed("key", "a").join(other, "bucket").where("root < b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = written(across.distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-across")
-    if not across.isEmpty():
-        more = written(_links(docs, across, reps, threshold), "near-more")
-        if not more.isEmpty():
-            roots = components(links.union(more), "near-classes")
     joined = texts.join(roots.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     whole = joined.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
     named = joined.select("key", "root").join(whole, "root").drop("root")
