@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import explore, keep, matching
+from . import explore, files, keep, matching
 
-QUERIES: dict = {**matching.QUERIES, **explore.QUERIES, **keep.QUERIES}
-ORACLE: dict = {**matching.ORACLE, **explore.ORACLE, **keep.ORACLE}
+QUERIES: dict = {**matching.QUERIES, **explore.QUERIES, **keep.QUERIES, **files.QUERIES}
+ORACLE: dict = {**matching.ORACLE, **explore.ORACLE, **keep.ORACLE, **files.ORACLE}
