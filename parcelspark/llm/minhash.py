@@ -11,7 +11,8 @@ largest component so far, so long texts need about one point for each shingle.
 similarity. Of two other members x and y that are similar, one may be dissimilar to the hub; such pairs are found by what they share of their differences from the hub.
 If |x - h| counts the copies that x adds to or takes from h, similar texts have |x - y| <= s (|x| + |y|) with s = (1 - t) / (1 + t), and |x - y| = |x - h| + |y - h| - 2 (shared changes); so
 with x dissimilar to h they must share more than (|y - h| - s (|y| - |h|)) / 2 changes, and a prefix of y's changes that leaves out that many must hold one of x's. Changes are
-ordered with additions first, which are rare, so few pairs meet, all of them are verified, and no pair of candidates is lost; a group of copies costs a number of pairs linear in its size. Links make
+ordered with additions first, which are rare if the hub is the original of its group; where the first hub is a copy with changes of its own, a text nearer to what the group has in common takes its
+place. So few pairs meet, all of them are verified, and no pair of candidates is lost; a group of copies costs a number of pairs linear in its size. Links make
 connected classes. ``BANDS`` bands of ``ROWS`` components find a pair of similarity 0.8 with probability 0.99996. Copies of a text are one node throughout.
 
 Defined results: null and empty texts have no words; all such texts with equal characters are one class and none other joins it. Of a class the least id stays;
@@ -164,11 +165,12 @@ def difference(hub: tuple[np.ndarray, np.ndarray], bag: tuple[np.ndarray, np.nda
     return np.concatenate(out)
 
 
-STAR = "a binary, b binary, sim double, size long, change long, narrow array<bigint>, wide array<bigint>"
+STAR = "a binary, b binary, crowd boolean, sim double, size long, change array<bigint>, part int"
 
 
 def _stars(threshold: float):
-    """Pairs of a hub and a text: exact similarity, and the text's difference from the hub as far as the join of differences needs it."""
+    """Pairs of a hub and a text: exact similarity, the text's changes to the hub if others share a bucket with it, and how many of them the join of
+    changes has to probe: all but as many as a text that is not similar to the hub must share with this one to be similar to it."""
     slack = (1 - threshold) / (1 + threshold)  # similar texts differ in at most this share of the sum of their sizes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,15 +180,28 @@ def _stars(threshold: float):
                 hub, bag = _bag(r.a_shingles, r.a_counts), _bag(r.b_shingles, r.b_counts)
                 sim, size = similarity(hub, bag), int(bag[1].sum())
                 change = difference(hub, bag) if r.crowd else np.empty(0, np.uint64)
-                # a text that is not similar to the hub and is similar to this one shares more than `most` of the change with it
                 most = (len(change) - (size - int(hub[1].sum())) * slack) / 2
-                narrow = change[: len(change) - max(0, int(np.floor(most)))]
-                out.append((r.a, r.b, sim, size, len(change), narrow.view(np.int64), change.view(np.int64) if sim < threshold else np.empty(0, np.int64)))
-            yield pd.DataFrame(out, columns=["a", "b", "sim", "size", "change", "narrow", "wide"])
+                out.append((r.a, r.b, r.crowd, sim, size, change.view(np.int64), len(change) - max(0, int(np.floor(most)))))
+            yield pd.DataFrame(out, columns=["a", "b", "crowd", "sim", "size", "change", "part"])
 
     return run
 
 
+def _centres(stars: DataFrame, threshold: float) -> DataFrame:
+    """``a, hub``: for groups in which some text is not similar to the hub, the text nearest to what most of the group have in common.
+
+    A hub with changes of its own shows them in the changes of all others; the copies' original does not. A change counts as common if more than half of the
+    group have it, so a group's common changes are at most twice as many as its mean ones.
+    """
+    groups = stars.where("crowd").groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where(F.col("low") < threshold).select("a", "n")
+    inside = stars.where("crowd").join(groups, "a").select("a", "n", "b", "change")
+    common = inside.select("a", "n", F.explode("change").alias("h")).groupBy("a", "n", "h").agg(F.count("*").alias("k")).where("2 * k > n") \
+        .groupBy("a").agg(F.collect_list("h").alias("common"))
+    far = F.size("change") + F.size("common") - 2 * F.size(F.array_intersect("change", "common"))
+    near = inside.join(common, "a").groupBy("a").agg(F.min(F.struct(far.alias("far"), "b")).alias("best"), F.max(F.size("common")).alias("own"))
+    return near.where("best.far < own").select("a", F.col("best.b").alias("hub"))
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sim = [similarity(_bag(r.a_shingles, r.a_counts), _bag(r.b_shingles, r.b_counts)) for r in batch.itertuples(index=False)]
@@ -220,10 +235,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     reps = shown.select("key", "rep")
     stars = written(_with_bags(docs, written(pairs, "near-pairs"), reps).mapInPandas(_stars(threshold), STAR), "near-stars")
     links = stars.where(F.col("sim") >= threshold).select("a", "b")
-    # pairs beside the hub: where one is not similar to it, by the differences from the hub that they share
+    centres = written(_centres(stars, threshold), "near-centres")
+    if not centres.isEmpty():  # those groups have a star around their centre as well, which takes the first one's place below
+        moved = stars.where("crowd").join(centres, "a")
+        again = moved.select(F.col("hub").alias("a"), "b").union(moved.select("hub", "a")).where("a <> b").distinct().withColumn("crowd", F.lit(True))
+        again = written(_with_bags(docs, written(again, "near-pairs"), reps).mapInPandas(_stars(threshold), STAR), "near-stars")
+        links = links.union(again.where(F.col("sim") >= threshold).select("a", "b"))
+        stars = stars.join(centres, "a", "left_anti").unionByName(again)
+    # pairs beside the hub, one of which is not similar to it, by the changes that they share
     slack = (1 - threshold) / (1 + threshold)
-    wide = stars.select("a", F.explode("wide").alias("h"), F.col("b").alias("x"), F.col("size").alias("x_size"), F.col("change").alias("x_change"))
-    narrow = stars.select("a", F.explode("narrow").alias("h"), F.col("b").alias("y"), F.col("size").alias("y_size"), F.col("change").alias("y_change"))
+    wide = stars.where(F.col("sim") < threshold).select("a", F.explode("change").alias("h"), F.col("b").alias("x"), F.col("size").alias("x_size"), F.size("change").alias("x_change"))
+    narrow = stars.select("a", F.explode(F.slice("change", F.lit(1), F.greatest("part", F.lit(0)))).alias("h"), F.col("b").alias("y"), F.col("size").alias("y_size"), F.size("change").alias("y_change"))
     beside = wide.join(narrow, ["a", "h"]).where("x <> y").where(F.abs(F.col("x_change") - F.col("y_change")) <= slack * (F.col("x_size") + F.col("y_size"))) \
         .where(F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size")) \
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
