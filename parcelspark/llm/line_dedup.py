@@ -4,7 +4,7 @@ Lines (split at line feeds, white space at both ends deleted) are duplicates whe
 within ``EDITS`` = tau edits. The join: a line of length n is cut into tau + 1 segments, of which tau edits leave one whole; so a
 line of length m finds it by that segment among its own substrings, for each n from m - tau to m and only at the starts that tau edits allow
 (those that leave at most i - 1 edits before the i-th segment and tau + 1 - i after it). Segments and substrings meet in an equi-join on a 64-bit hash of length, segment number
-and characters. Candidates are then verified by edit distance, computed in a band of 2 tau + 1 diagonals with bit-parallel column steps; links make connected classes, of which the first line
+and characters, under the bound that tau edits change the counts of letters by 2 tau at most. Candidates are then verified by edit distance, computed in a band of 2 tau + 1 diagonals with bit-parallel column steps; links make connected classes, of which the first line
 (least document id, then line number) stays.
 
 Exact copies are combined first, on the map side too, so a line that a third of all documents hold is one row in the join; joins of its
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import components, row_key, written
 
 EDITS, MIN_CHARS = 2, 20
+LETTERS = "etaonirshd"
 TRIMMED = " \t\n\x0b\x0c\r"
 
 
@@ -41,26 +42,46 @@ def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
     return start.cast("int"), (short + (F.lit(tau + 1 - i) < longer).cast("int")).cast("int")
 
 
-def _segments(line: Column, tau: int) -> Column:
-    n, out = F.length(line), []
+def _hashed(line: Column, n: Column, of: Column, i: int, at: Column, size: Column) -> Column:
+    """Hash of a piece of a line that belongs to segment i of lines of length ``of``. In lines of ASCII characters alone pieces are cut as bytes, which needs no walk over the characters."""
+    cut = lambda c: F.xxhash64(of, F.lit(i), F.substring(c, at + 1, size))
+    return F.when(F.octet_length(line) == n, cut(line.cast("binary"))).otherwise(cut(line))
+
+
+def _segments(line: Column, n: Column, tau: int) -> Column:
+    out = []
     for i in range(1, tau + 2):
         start, size = _segment(n, i, tau)
-        out.append(F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)))
+        out.append(_hashed(line, n, n, i, start, size))
     return F.array(*out)
 
 
-def _substrings(line: Column, tau: int, least: int) -> Column:
-    m, out = F.length(line), []
+def _substrings(line: Column, m: Column, tau: int, least: int) -> Column:
+    out = []
     for delta in range(tau + 1):
         n = m - delta
         for i in range(1, tau + 2):
             start, size = _segment(n, i, tau)
             for shift in range(max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
                 at = start + shift
-                out.append(F.when((n >= least) & (at >= 0) & (at + size <= m), F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size))))
+                out.append(F.when((n >= least) & (at >= 0) & (at + size <= m), _hashed(line, m, n, i, at, size)))
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
+def letters(line: Column, n: Column) -> Column:
+    """How often ten frequent letters occur, modulo 64, six bits each."""
+    return sum(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 64).cast("bigint") * (1 << 6 * i) for i, c in enumerate(LETTERS))
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """A lower bound on the sum of differences of those counts; an edit changes the sum by 2 at most."""
+    def one(i: int) -> Column:
+        d = F.abs(F.shiftright(a, 6 * i).bitwiseAND(F.lit(63)) - F.shiftright(b, 6 * i).bitwiseAND(F.lit(63)))
+        return F.least(d, 64 - d)
+
+    return sum((one(i) for i in range(1, len(LETTERS))), one(0))
+
+
 def within(a: Column, b: Column, tau: int) -> Column:
     """Whether the edit distance of arrays of characters a and b is at most tau.
 
@@ -68,6 +89,11 @@ def within(a: Column, b: Column, tau: int) -> Column:
     for row j - tau + k. vp and vn hold where the distance rises or falls by one from a row to the next; the score follows the lowest diagonal until it
     meets the last row, and that row from there on. a must not be shorter than b, and longer by at most tau.
     """
+    # bound to a variable, so that the arrays are made once for a pair and not at each access
+    return F.exists(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: _within(p["a"], p["b"], tau))
+
+
+def _within(a: Column, b: Column, tau: int) -> Column:
     width = 2 * tau + 1
     full = (1 << width) - 1
     last = F.size(a) - tau  # columns in which the lowest diagonal is still above the last row
@@ -104,10 +130,14 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_co
     if min_chars <= edits + 1:
         raise ValueError("lines must be longer than the number of segments")
     lines = occurrences(docs, id_col, text_col).where(F.length("line") >= min_chars)
-    distinct = lines.select("line").distinct().withColumn("short", F.xxhash64("line"))
-    parts = distinct.select("short", F.explode(_segments(F.col("line"), edits)).alias("h"))
-    probes = distinct.select(F.col("short").alias("other"), F.explode(_substrings(F.col("line"), edits, min_chars)).alias("h"))
-    pairs = written(parts.join(probes, "h").where("short <> other")
+    distinct = lines.select("line").distinct().withColumn("short", F.xxhash64("line")).withColumn("n", F.length("line"))
+    distinct = distinct.withColumn("bag", letters(F.col("line"), F.col("n")))
+    line, n = F.col("line"), F.col("n")
+    parts = distinct.select("short", "bag", F.explode(_segments(line, n, edits)).alias("h"))
+    probes = distinct.select(F.col("short").alias("other"), F.col("bag").alias("other_bag"), F.explode(_substrings(line, n, edits, min_chars)).alias("h"))
+    # a bound that the edit distance keeps: lines that only share a segment do not leave the join
+    near = letters_apart(F.col("bag"), F.col("other_bag")) <= 2 * edits
+    pairs = written(parts.join(probes, "h").where((F.col("short") != F.col("other")) & near)
                     .select(F.least("short", "other").alias("x"), F.greatest("short", "other").alias("y")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("x").alias("short")).union(pairs.select("y")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
