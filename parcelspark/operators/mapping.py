@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import kept
 from .ingest import FILE
 from .matching import cosine
 
@@ -107,12 +108,13 @@ def pair_scores(heads: DataFrame, levels: DataFrame, vectors: DataFrame | None =
 
 def mutual_best(scores: DataFrame, rounds: int = 4, threshold: float = THRESHOLD) -> DataFrame:
     """One-to-one assignment by rounds of mutual best pairs; ties: higher level, longer alias, lower column, field name."""
-    left, out = scores.where(F.col("score") >= threshold), None
+    left, out = kept(scores.where(F.col("score") >= threshold), "pair-scores"), None  # each round reads it several times
     order = [F.col("score").desc(), F.col("level").desc(), F.col("alias_length").desc(), F.col("col_idx"), F.col("field")]
     for _ in range(rounds):
         by_field = F.row_number().over(W.partitionBy(FILE, "field").orderBy(*order))
         by_col = F.row_number().over(W.partitionBy(FILE, "col_idx").orderBy(*order))
         best = left.withColumn("f", by_field).withColumn("c", by_col).where("f = 1 and c = 1").select(FILE, "field", "col_idx", "score")
+        best = kept(best, "mutual-best")
         out = best if out is None else out.unionByName(best)
         left = left.join(best.select(FILE, "field"), [FILE, "field"], "left_anti").join(best.select(FILE, "col_idx"), [FILE, "col_idx"], "left_anti")
     return out.select(FILE, "field", "col_idx", F.round(F.least("score", F.lit(1.0)), 3).alias("confidence"))

@@ -159,4 +159,5 @@ def stream_ingest_dedupe(spark, sf_dir):
     schema = view(spark, sf_dir, "orders").schema
     address = ["o_orderkey AS new_id", "concat(100 + o_custkey % 900, ' Airport Road, Houston, TX ', 77000 + o_custkey % 40) AS address"]
     stored, checkpoint = folder(spark, "stream-store"), folder(spark, "stream-checkpoint")
-    return arrivals.run_arrivals(spark, f"{sf_dir}/orders.parquet", schema, stored, checkpoint, address)
+    # a pattern, as a stream's plain path must be a folder, and the table may be one file
+    return arrivals.run_arrivals(spark, f"{sf_dir}/orders.parque[t]", schema, stored, checkpoint, address)
