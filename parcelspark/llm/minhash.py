@@ -35,6 +35,8 @@ from .common import components, written
 
 WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
+#: A hub this similar to the hub of a larger group gives way to it; any value gives the same links.
+ALIKE = 0.5
 BANDS, ROWS = 26, 5
 #: Distinct words a task remembers, and the documents and shingles it signs together, at most.
 MEMO, DOCS, SHINGLES = 300_000, 2_000, 1_000_000
@@ -193,13 +195,20 @@ def _centres(stars: DataFrame, threshold: float) -> DataFrame:
     A hub with changes of its own shows them in the changes of all others; the copies' original does not. A change counts as common if more than half of the
     group have it, so a group's common changes are at most twice as many as its mean ones.
     """
-    groups = stars.where("crowd").groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where(F.col("low") < threshold).select("a", "n")
+    sizes = stars.where("crowd").groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
+    groups = sizes.where(F.col("low") < threshold).select("a", "n")
     inside = stars.where("crowd").join(groups, "a").select("a", "n", "b", "change")
     common = inside.select("a", "n", F.explode("change").alias("h")).groupBy("a", "n", "h").agg(F.count("*").alias("k")).where("2 * k > n") \
         .groupBy("a").agg(F.collect_list("h").alias("common"))
     far = F.size("change") + F.size("common") - 2 * F.size(F.array_intersect("change", "common"))
     near = inside.join(common, "a").groupBy("a").agg(F.min(F.struct(far.alias("far"), "b")).alias("best"), F.max(F.size("common")).alias("own"))
-    return near.where("best.far < own").select("a", F.col("best.b").alias("hub"))
+    centres = near.where("best.far < own").select(F.col("a").alias("top"), F.col("best.b").alias("centre"))
+    # a hub that belongs to a larger group itself gives way to that group's hub: its buckets hold a part of the same copies
+    over = stars.where("crowd").where(F.col("sim") >= ALIKE).select(F.col("a").alias("top"), F.col("b").alias("a")) \
+        .join(sizes.select(F.col("a").alias("top"), F.col("n").alias("top_n")), "top").join(groups, "a").where("top_n > n") \
+        .groupBy("a").agg(F.max(F.struct("top_n", "top")).alias("t")).select("a", "t.top")
+    found = groups.join(over, "a", "left").withColumn("top", F.coalesce("top", "a")).join(centres, "top", "left")
+    return found.select("a", F.coalesce("centre", "top").alias("hub")).where("a <> hub")
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
