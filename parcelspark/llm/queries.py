@@ -62,7 +62,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(_table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start_word"), F.col("end").cast("long").alias("end_word"),
-        (F.col("end") - F.col("start")).cast("long").alias("n_words"), "first_doc_id", F.col("id").eqNullSafe(F.col("first_doc_id")).alias("kept"))
+        (F.col("end") - F.col("start")).cast("long").alias("n_words"), "first_doc_id", "kept")
 
 
 QUERIES = {

@@ -383,6 +383,36 @@ def test_repeated_passages_are_brute_force(spark):
     assert suffix_dedup.repeats(table(spark, [])).count() == 0
 
 
+def repeated_windows(docs):
+    seen = defaultdict(list)
+    for i, d in enumerate(docs):
+        for p in range(len(d) - 49):
+            seen[tuple(d[p: p + 50])].append((i, p))
+    return {w: places for w, places in seen.items() if len(places) > 1}
+
+
+def test_every_repeated_window_stays_somewhere(spark):
+    rng = random.Random(12)
+    common, p1, p2 = words(rng, 20), words(rng, 60), words(rng, 70)
+    passage = [*words(rng, 30), *common, *words(rng, 30)]
+    docs = [words(rng, 40) + common + words(rng, 40), p1 + words(rng, 9), words(rng, 9) + p2, p1 + p2, words(rng, 5) + p2 + words(rng, 5)]  # documents 2 and 4 share p2 only
+    docs += [words(rng, 5) + passage + words(rng, 5), passage + words(rng, 8), p1[:55] + passage[:60] + p2[5:], p1[20:] + p2[:30]]
+    for _ in range(6):  # near copies of one text
+        docs.append([w if rng.random() > 0.03 else rng.choice(VOCAB) for w in (docs[-1] if len(docs) > 9 else words(rng, 400))])
+    texts = [" ".join(d) for d in docs]
+    ids = [*range(len(docs) - 3), None, None, 3]  # null ids and an id that two texts have
+    repeated = repeated_windows(docs)
+    for hot in (1, 4096):
+        rows = suffix_dedup.repeats(table(spark, texts, ids), hot=hot).collect()
+        assert {(r.id, r.first_doc_id) for r in rows if r.id == 5} == {(5, 5)} and {r.first_doc_id for r in rows if r.id == 6} == {5}
+        assert all((r.id == r.first_doc_id or r.id is None) for r in rows if r.kept)
+        assert {(p, q) for r in rows if r.id == 4 for p, q in [(r.start, r.end)]} == {(5, 75)}
+    left = [f" {r.text} " for r in suffix_dedup.drop_repeats(table(spark, texts, ids)).collect()]
+    assert len(left) == len(docs) and sum(len(t.split()) for t in left) < sum(map(len, docs))
+    for w in repeated:
+        assert any(f" {' '.join(w)} " in t for t in left)
+
+
 # queries and pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
