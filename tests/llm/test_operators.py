@@ -413,6 +413,22 @@ def test_every_repeated_window_stays_somewhere(spark):
         assert any(f" {' '.join(w)} " in t for t in left)
 
 
+def test_nested_boilerplate_is_brute_force(spark):
+    rng, docs = random.Random(13), []
+    for _ in range(20):  # many documents share 45 words, two of which go on alike for 15 more
+        common, more = words(rng, 45), words(rng, 15)
+        docs += [words(rng, 10) + common + (more if i < 2 else []) + words(rng, 12) for i in range(50)]
+    rng.shuffle(docs)
+    want = defaultdict(set)
+    for places in repeated_windows(docs).values():
+        for i, p in places:
+            want[i] |= set(range(p, p + 50))
+    got = defaultdict(set)
+    for r in suffix_dedup.repeats(table(spark, [" ".join(d) for d in docs])).collect():
+        got[r.id] |= set(range(r.start, r.end))
+    assert len(want) == 40 and got == want
+
+
 # queries and pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
