@@ -6,8 +6,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 # Fixed value: rows of a page.
 PAGE = 100
 
@@ -64,6 +67,18 @@ def ordered(df: DataFrame, column: str, descending: bool = False, key: str = "id
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), key)
 
 
+def positioned(df: DataFrame, column: str, descending: bool = False, key: str = "id") -> DataFrame:
+    """``df`` with ``nth``, each row's position (from 1) in that order: rows are dealt by range and counted per part, so no task has them all."""
+    c = F.col(column)
+    order = [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col(key)]
+    parts = kept(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "order-parts")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))  # one row for each part
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    rows = parts.withColumn("__nth", nth).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    return rows.select(*df.columns, (F.col("__nth") + F.col("__before")).alias("nth"))
+
+
 def page(df: DataFrame, column: str, number: int, descending: bool = False, size: int = PAGE, key: str = "id") -> DataFrame:
     """The page of that number; numbers beyond the ends give the first and last page."""
     pages = max(1, -(-df.count() // size))

@@ -127,8 +127,7 @@ def column_ranges(spark, sf_dir):
 
 @query("SELECT id, year_built, row_number() OVER (ORDER BY year_built DESC NULLS LAST, id) AS nth FROM sale_comps QUALIFY nth <= 15000")
 def sort_nulls_last(spark, sf_dir):
-    from pyspark.sql import Window as W
-    return f.ordered(_sales(spark, sf_dir), "year_built", True).select("id", "year_built", F.row_number().over(W.orderBy(F.col("year_built").desc_nulls_last(), "id")).cast("long").alias("nth")).where("nth <= 15000")
+    return f.positioned(_sales(spark, sf_dir).select("id", "year_built"), "year_built", True)
 
 
 @query("SELECT id, sale_price FROM sale_comps ORDER BY sale_price DESC NULLS LAST, id LIMIT 100 OFFSET 200")

@@ -12,6 +12,7 @@ from parcelspark.functions import clean, geo
 from parcelspark.operators import duplicates, ingest, mapping, matching, radius, rates, stats, store
 from parcelspark.operators.filters import Filter, filtered, page, page_after
 from parcelspark.sources.files import read_cells
+from parcelspark.sources.views import view
 
 
 def column(spark, fn, values):
@@ -119,6 +120,15 @@ def test_filters_and_pages(spark):
     assert [r.id for r in page_after(df, "v", last.v, last.id, size=5).collect()] == whole[10:15]
 
 
+def test_sort_has_all_rows(spark):
+    import __spark_entry__ as e
+
+    sf_dir = "/root/testdata/sf0.1"
+    rows = e.queries()["sort_nulls_last"](spark, sf_dir).collect()
+    want = sorted(((r.year_built, r.id) for r in view(spark, sf_dir, "sale_comps").select("id", "year_built").collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert [(r.year_built, r.id) for r in sorted(rows, key=lambda r: r.nth)] == want and sorted(r.nth for r in rows) == list(range(1, len(want) + 1)) and len(want) > 15_000
+
+
 def test_ingest_of_files(spark, tmp_path):
     (tmp_path / "Lease comps.csv").write_bytes('\r\n,links,,\r\n,Property Address,Tenant,Base,Leased SF\r\n,,,Rent Yearly,\r\n,"1 Sample St\nUnit 2",Tenant One,"$ 8.15 ","10,000"\r\n,,,,\r\n,2 Sample St,Tenant Two, $ -   ,Shell'.encode())
     (tmp_path / "plain.csv").write_text("x,y,x\n1,2,3\n")
