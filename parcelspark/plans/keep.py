@@ -43,7 +43,7 @@ def dup_levenshtein_join(spark, sf_dir):
 
 @query()
 def dup_ratio_join(spark, sf_dir):
-    return d.by_ratio(*_both(spark, sf_dir), 0.96)
+    return d.by_ratio(view(spark, sf_dir, "new_listings"), view(spark, sf_dir, "sale_comps"))
 
 
 @query(f"WITH {_LEV} SELECT new_id, na AS address FROM n WHERE new_id NOT IN (SELECT new_id FROM p WHERE score >= 0.95)")

@@ -82,6 +82,19 @@ def test_fuzzy_joins_are_brute_force(spark):
     assert {(x.new_id, x.existing_id) for x in duplicates.by_levenshtein(n, s).collect()} == want
 
 
+def test_ratio_join_is_whole(spark):
+    import __spark_entry__ as e
+
+    sf_dir = "/root/testdata/sf0.001"
+    new, stored = view(spark, sf_dir, "new_listings").limit(6).select("new_id", "address"), view(spark, sf_dir, "sale_comps").select("id", "address")
+    norm = lambda df: df.withColumn("address", clean.normalize_address(F.col("address"))).collect()
+    a, b = norm(new), norm(stored)
+    want = {(x.new_id, y.id) for x in a for y in b if SequenceMatcher(None, x.address, y.address).ratio() >= 0.85}
+    some = {x.new_id for x in a}
+    got = {(r.new_id, r.existing_id) for r in e.queries()["dup_ratio_join"](spark, sf_dir).collect() if r.new_id in some}
+    assert got == want and want
+
+
 def test_assignment_is_brute_force():
     rng = np.random.default_rng(4)
     for rows, cols in [(1, 1), (3, 3), (2, 5), (5, 2), (5, 5)]:
