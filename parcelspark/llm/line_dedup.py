@@ -27,10 +27,10 @@ LETTERS = "etaonirshd"
 TRIMMED = " \t\n\x0b\x0c\r"
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, line_no, line, key`` of every line that is not blank."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "line_no", F.btrim("line", F.lit(TRIMMED)).alias("line")).where("line <> ''")
+def occurrences(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``id, line_no, line, key`` and more columns of ``docs``, of every line that is not blank."""
+    lines = docs.select(F.col(id_col).alias("id"), *more, F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.btrim("line", F.lit(TRIMMED))).where("line <> ''")
     return lines.withColumn("key", F.unhex(F.md5("line")))
 
 
@@ -145,30 +145,32 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_co
     return chars.where(within(F.col("long"), F.col("shorter"), edits)).select("a", "b")
 
 
-def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """One row per line that is not blank: ``id, line_no, class_id, class_line_no`` (where its class first occurs), ``class_size`` (occurrences),
-    ``n_links`` (different lines linked with it), ``kept``."""
+    ``n_links`` (different lines linked with it), ``kept``. With ``by_row`` also ``row``, a key of id and text, and of rows that share an id only one keeps the line."""
     pairs = written(links(docs, edits, min_chars, id_col, text_col), "line-links")
     roots = components(pairs, "line-classes").withColumnRenamed("id", "key")
     degree = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
-    lines = occurrences(docs, id_col, text_col).select("id", "line_no", "key")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "line_no")
+    row = ["row"] if by_row else []
+    lines = occurrences(docs, id_col, text_col, *([row_key(id_col, text_col).alias("row")] if by_row else [])).select("id", "line_no", "key", *row)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "line_no", *row)
     exact = lines.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     near = exact.join(roots, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
     whole = near.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size")).where("class_size > 1")
     named = near.select("key", "root", "n_links").join(whole, "root").select("key", "n_links", "first", "class_size")
     found = lines.join(named, "key", "left")
     alone = F.col("first").isNull()
-    return found.select("id", "line_no", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+    same = alone | (F.col("row") == F.col("first.row")) if by_row else F.lit(True)
+    return found.select("id", "line_no", *row, same.alias("same"), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
                         F.when(alone, F.col("line_no")).otherwise(F.col("first.line_no")).alias("class_line_no"),
                         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")) \
-        .withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")) & (F.col("line_no") == F.col("class_line_no")))
+        .withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")) & (F.col("line_no") == F.col("class_line_no")) & F.col("same")).drop("same")
 
 
 def drop_duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines that do not stay; all columns stay, null texts stay null. Ids are taken to be unique."""
-    gone = classes(docs, edits, min_chars, id_col, text_col).where("not kept").groupBy(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("__name")) \
+    """``docs`` without the lines that do not stay; all columns stay, null texts stay null. Rows are told apart by id and text."""
+    gone = classes(docs, edits, min_chars, id_col, text_col, by_row=True).where("not kept").groupBy(F.col("row").alias("__row")) \
         .agg(F.collect_set("line_no").alias("__gone"))  # at most one entry for each line of a document
-    rows = docs.withColumn("__name", F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).join(gone, "__name", "left")
+    rows = docs.withColumn("__row", row_key(id_col, text_col)).join(gone, "__row", "left")
     rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
     return rows.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)

@@ -180,6 +180,12 @@ def test_line_dedup_is_brute_force(spark):
     assert line_dedup.links(table(spark, lines), broadcast_rows=0).count() == sum(degree.values()) // 2
 
 
+def test_line_dedup_of_null_and_shared_ids(spark):
+    texts = ["one line\nmine", "two line\nyours", "other\none line", "two line\nhis", "her\ntwo line"]
+    left = line_dedup.drop_duplicate_lines(table(spark, texts, [None, None, 1, 2, 2])).collect()
+    assert sorted(r.text for r in left) == sorted(["mine", "yours", "other\none line", "two line\nhis", "her"])
+
+
 # 5
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
