@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -226,6 +226,12 @@ def _with_bags(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
+def _may_be_similar(threshold: float) -> Column:
+    """Bounds on changes and sizes that a pair of that similarity keeps; with a tolerance, as candidates are verified exactly."""
+    slack, both = (1 - threshold) / (1 + threshold), F.col("x_size") + F.col("y_size")
+    return (F.abs(F.col("x_change") - F.col("y_change")) <= slack * both + 1e-9 * both) & (F.least("x_size", "y_size") >= (threshold - 1e-9) * F.greatest("x_size", "y_size"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id, key`` (digest of its text), ``class_id`` (least id of its class), ``class_size``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -252,11 +258,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         links = links.union(again.where(F.col("sim") >= threshold).select("a", "b"))
         stars = stars.join(centres, "a", "left_anti").unionByName(again)
     # pairs beside the hub, one of which is not similar to it, by the changes that they share
-    slack = (1 - threshold) / (1 + threshold)
     wide = stars.where(F.col("sim") < threshold).select("a", F.explode("change").alias("h"), F.col("b").alias("x"), F.col("size").alias("x_size"), F.size("change").alias("x_change"))
     narrow = stars.select("a", F.explode(F.slice("change", F.lit(1), F.greatest("part", F.lit(0)))).alias("h"), F.col("b").alias("y"), F.col("size").alias("y_size"), F.size("change").alias("y_change"))
-    beside = wide.join(narrow, ["a", "h"]).where("x <> y").where(F.abs(F.col("x_change") - F.col("y_change")) <= slack * (F.col("x_size") + F.col("y_size"))) \
-        .where(F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size")) \
+    beside = wide.join(narrow, ["a", "h"]).where("x <> y").where(_may_be_similar(threshold)) \
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     beside = written(beside, "near-beside")
     if not beside.isEmpty():

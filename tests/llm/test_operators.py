@@ -333,6 +333,14 @@ def test_near_duplicates_are_brute_force(spark):
     assert [r.doc_id for r in odd] == [1]
 
 
+def test_bounds_keep_nested_pairs_of_exactly_the_threshold(spark):
+    sizes = "x_size int, y_size int, x_change int, y_change int"
+    ties = spark.createDataFrame([(5 * k, 4 * k, 2 * k, k) for k in range(1, 300)], sizes)
+    assert ties.where(minhash._may_be_similar(0.8)).count() == 299
+    beyond = spark.createDataFrame([(5 * k + 1, 4 * k, 2 * k + 1, k) for k in range(1, 300)], sizes)
+    assert beyond.where(minhash._may_be_similar(0.8)).count() == 0
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng, z = np.random.default_rng(1), []
     for _ in range(30):
