@@ -50,10 +50,25 @@ def release(spark: SparkSession) -> None:
 atexit.register(lambda: release(None))
 
 
+def digest(text: Column) -> Column:
+    """16 bytes that stand for a text: half of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """16 bytes that stand for a row's id and whole text; nulls have keys of their own, so rows never match by null."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\n"),
-                                  F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    return digest(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def lower_ascii(c: Column) -> Column:

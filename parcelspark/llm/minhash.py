@@ -7,17 +7,27 @@ below the shingle's weight; component k of the signature is the least time of it
 probability equal to their weighted Jaccard similarity. Points are drawn in order of time, and a process stops once it is past the
 largest component so far, so long texts need about one point for each shingle.
 
-``classes`` bands the signatures. Each bucket's members are held against its hub, the member with most neighbours (a star, not all pairs), by exact multiset
-similarity. Of two other members x and y that are similar, one may be dissimilar to the hub; such pairs are found by what they share of their differences from the hub.
-If |x - h| counts the copies that x adds to or takes from h, similar texts have |x - y| <= s (|x| + |y|) with s = (1 - t) / (1 + t), and |x - y| = |x - h| + |y - h| - 2 (shared changes); so
-with x dissimilar to h they must share more than (|y - h| - s (|y| - |h|)) / 2 changes, and a prefix of y's changes that leaves out that many must hold one of x's. Changes are
-ordered with additions first, which are rare if the hub is the original of its group; where the first hub is a copy with changes of its own, a text nearer to what the group has in common takes its
-place. So few pairs meet, all of them are verified, and no pair of candidates is lost; a group of copies costs a number of pairs linear in its size. Links make
-connected classes. ``BANDS`` bands of ``ROWS`` components find a pair of similarity 0.8 with probability 0.99996. Copies of a text are one node throughout.
-
-Defined results: null and empty texts have no words; all such texts with equal characters are one class and none other joins it. Of a class the least id stays;
-null ids lose to others. Repeated rows (same id and text) are in one class and bear the same flag, and ``drop_near_duplicates`` keeps
-one of them. An empty table gives an empty result. Further columns are left alone, whatever their names.
+``classes`` bands the signatures; ``BANDS`` bands of ``ROWS`` components find a pair of similarity 0.8 with probability
+0.99996. Copies of a text are one node throughout. Each bucket's members are held against its hub, the member with most
+neighbours (a star, not all pairs), by exact multiset similarity. Of two other members x and y that are similar one may be
+dissimilar to the hub; such pairs are found by what they share of their differences from it:
+
+- Write |x - y| for the copies of shingles in which x and y differ, d(x) for |x - hub|, and s for (1 - t) / (1 + t). x and y are
+  similar if |x - y| <= s (|x| + |y|), and |x - y| = d(x) + d(y) - 2 (changes that both make). So with u(x) = d(x) - s |x| they are
+  similar just if they share (u(x) + u(y)) / 2 changes or more, which is above 0 if x is dissimilar to the hub.
+- The changes of each text are ordered by how many texts of the group make them, the rarest first. If the first shared change is the i-th
+  of x and the j-th of y, no more than min(d(x) - i, d(y) - j) + 1 are shared. So only a prefix of the changes is probed, and what a
+  hub's own peculiarities add to everybody's changes comes last and lengthens no prefix.
+- Prefixes depend on the partner's u, so texts are dealt into classes by u and each probes the prefix that each class needs. A
+  change that one text alone makes takes a place in the order but is not probed.
+- Where many texts meet at a change they are first held against one of them; after that only texts that are not yet connected meet.
+
+Meetings are verified by exact similarity. No pair of candidates whose classes would differ without it is lost. Links make connected classes.
+
+Defined results: null and empty texts have no words; all such texts with equal characters are one class and none other joins it. Of a class the least id
+stays; null ids lose to others, and between rows with equal or no ids the text's digest decides. Repeated rows (same id and text) are in one class and bear the
+same flag, and ``drop_near_duplicates`` keeps one of them. An empty table gives an empty result. Ids may be of any type that casts to text and back.
+Further columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +41,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, digest, free_names, written
 
 WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
-#: A hub this similar to the hub of a larger group gives way to it; any value gives the same links.
-ALIKE = 0.5
+#: Classes of u in a hub's size; texts that meet at a change before they are held against one of them. Any values give the same classes.
+STEPS, CROWD = 16, 64
 BANDS, ROWS = 26, 5
 #: Distinct words a task remembers, and the documents and shingles it signs together, at most.
 MEMO, DOCS, SHINGLES = 300_000, 2_000, 1_000_000
@@ -167,48 +177,18 @@ def difference(hub: tuple[np.ndarray, np.ndarray], bag: tuple[np.ndarray, np.nda
     return np.concatenate(out)
 
 
-STAR = "a binary, b binary, crowd boolean, sim double, size long, change array<bigint>, part int"
+STAR = "a binary, b binary, crowd boolean, sim double, own long, size long, change array<bigint>"
 
 
-def _stars(threshold: float):
-    """Pairs of a hub and a text: exact similarity, the text's changes to the hub if others share a bucket with it, and how many of them the join of
-    changes has to probe: all but as many as a text that is not similar to the hub must share with this one to be similar to it."""
-    slack = (1 - threshold) / (1 + threshold)  # similar texts differ in at most this share of the sum of their sizes
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                hub, bag = _bag(r.a_shingles, r.a_counts), _bag(r.b_shingles, r.b_counts)
-                sim, size = similarity(hub, bag), int(bag[1].sum())
-                change = difference(hub, bag) if r.crowd else np.empty(0, np.uint64)
-                most = (len(change) - (size - int(hub[1].sum())) * slack) / 2
-                out.append((r.a, r.b, r.crowd, sim, size, change.view(np.int64), len(change) - max(0, int(np.floor(most)))))
-            yield pd.DataFrame(out, columns=["a", "b", "crowd", "sim", "size", "change", "part"])
-
-    return run
-
-
-def _centres(stars: DataFrame, threshold: float) -> DataFrame:
-    """``a, hub``: for groups in which some text is not similar to the hub, the text nearest to what most of the group have in common.
-
-    A hub with changes of its own shows them in the changes of all others; the copies' original does not. A change counts as common if more than half of the
-    group have it, so a group's common changes are at most twice as many as its mean ones.
-    """
-    sizes = stars.where("crowd").groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
-    groups = sizes.where(F.col("low") < threshold).select("a", "n")
-    inside = stars.where("crowd").join(groups, "a").select("a", "n", "b", "change")
-    common = inside.select("a", "n", F.explode("change").alias("h")).groupBy("a", "n", "h").agg(F.count("*").alias("k")).where("2 * k > n") \
-        .groupBy("a").agg(F.collect_list("h").alias("common"))
-    far = F.size("change") + F.size("common") - 2 * F.size(F.array_intersect("change", "common"))
-    near = inside.join(common, "a").groupBy("a").agg(F.min(F.struct(far.alias("far"), "b")).alias("best"), F.max(F.size("common")).alias("own"))
-    centres = near.where("best.far < own").select(F.col("a").alias("top"), F.col("best.b").alias("centre"))
-    # a hub that belongs to a larger group itself gives way to that group's hub: its buckets hold a part of the same copies
-    over = stars.where("crowd").where(F.col("sim") >= ALIKE).select(F.col("a").alias("top"), F.col("b").alias("a")) \
-        .join(sizes.select(F.col("a").alias("top"), F.col("n").alias("top_n")), "top").join(groups, "a").where("top_n > n") \
-        .groupBy("a").agg(F.max(F.struct("top_n", "top")).alias("t")).select("a", "t.top")
-    found = groups.join(over, "a", "left").withColumn("top", F.coalesce("top", "a")).join(centres, "top", "left")
-    return found.select("a", F.coalesce("centre", "top").alias("hub")).where("a <> hub")
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a hub and a text: exact similarity, both sizes, and the text's changes to the hub if others share a bucket with it."""
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            hub, bag = _bag(r.a_shingles, r.a_counts), _bag(r.b_shingles, r.b_counts)
+            change = difference(hub, bag) if r.crowd else np.empty(0, np.uint64)
+            out.append((r.a, r.b, r.crowd, similarity(hub, bag), int(hub[1].sum()), int(bag[1].sum()), change.view(np.int64)))
+        yield pd.DataFrame(out, columns=["a", "b", "crowd", "sim", "own", "size", "change"])
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,17 +206,76 @@ def _with_bags(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def _may_be_similar(threshold: float) -> Column:
-    """Bounds on changes and sizes that a pair of that similarity keeps; with a tolerance, as candidates are verified exactly."""
-    slack, both = (1 - threshold) / (1 + threshold), F.col("x_size") + F.col("y_size")
-    return (F.abs(F.col("x_change") - F.col("y_change")) <= slack * both + 1e-9 * both) & (F.least("x_size", "y_size") >= (threshold - 1e-9) * F.greatest("x_size", "y_size"))
+def _slack(threshold: float) -> float:
+    """Similar texts differ in at most this share of the sum of their sizes. Candidates are verified, so a tolerance costs nothing."""
+    return (1 - threshold) / (1 + threshold) + 1e-9
+
+
+def _probes(stars: DataFrame, threshold: float) -> DataFrame:
+    """``a, h, mine, other`` (classes of u), ``key, wide, size, d, u, at``: the changes that each text of a group probes for partners of each class.
+
+    Only groups with a text that is not similar to the hub take part. A prefix ends where the changes left are fewer than a pair must share.
+    """
+    slack = _slack(threshold)
+    odd = stars.where("crowd").groupBy("a").agg(F.min("sim").alias("low")).where(F.col("low") < threshold).select("a")
+    d = F.size("change")
+    inside = stars.where("crowd").join(odd, "a").select("a", F.col("b").alias("key"), (F.col("sim") < threshold).alias("wide"), "own", "size", d.alias("d"), (d - slack * F.col("size")).alias("u"), "change")
+    inside = written(inside, "near-inside")
+    made = inside.select("a", F.explode("change").alias("h")).groupBy("a", "h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = inside.select("a", "key", F.explode("change").alias("h")).join(made, ["a", "h"]).groupBy("a", "key") \
+        .agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("order"))  # at most one entry for each change of a text
+    step = F.col("own") / F.lit(float(STEPS))
+    level = lambda u: F.floor(u / F.col("step")).cast("int")
+    rows = inside.drop("change").withColumn("step", F.greatest(step, F.lit(1.0))).withColumn("mine", level(F.col("u"))).join(shared, ["a", "key"])
+    classes = rows.groupBy("a", "mine").agg(F.max("wide").alias("any_wide")).select("a", F.col("mine").alias("other"), "any_wide")
+    rows = rows.join(classes, "a").where("wide or any_wide")
+    # a pair has one wide text at least, so it shares more than (u - slack * own) / 2 changes, or (u + slack * own) / 2 with a wide partner
+    least = F.greatest(F.lit(1.0), (F.col("u") + F.greatest(F.col("other") * F.col("step"), F.when(F.col("wide"), -slack * F.col("own")).otherwise(slack * F.col("own")))) / 2)
+    unique = F.col("d") - F.size("order")
+    last = F.floor(F.col("d") - least + 1 + 1e-6).cast("int") - unique
+    rows = rows.where(last > 0).select("a", "mine", "other", "key", "wide", "size", "d", "u", unique.alias("unique"), F.posexplode(F.slice("order", F.lit(1), last)).alias("nth", "change"))
+    return rows.select("a", F.col("change.h").alias("h"), "mine", "other", "key", "wide", "size", "d", "u", (F.col("unique") + F.col("nth") + 1).alias("at"))
+
+
+def _meeting(x: str, y: str, threshold: float) -> Column:
+    """Bounds that a similar pair keeps where it first meets: its sizes, and as many changes left as it has to share."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    need = F.greatest(F.lit(1.0), (c(x, "u") + c(y, "u")) / 2) - 1e-6
+    left = F.least(c(x, "d") - c(x, "at"), c(y, "d") - c(y, "at")) + 1
+    return (left >= need) & (F.least(c(x, "size"), c(y, "size")) >= (threshold - 1e-9) * F.greatest(c(x, "size"), c(y, "size")))
+
+
+def _beside(docs: DataFrame, stars: DataFrame, links: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Links between texts beside a hub, one of which is not similar to it; enough of them to connect what is connected."""
+    verified = lambda pairs: _with_bags(docs, pairs, reps).mapInPandas(_verified, "a binary, b binary, sim double").where(F.col("sim") >= threshold).select("a", "b")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    probes = written(_probes(stars, threshold), "near-probes")
+    place = ["a", "h", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")]
+    crowds = probes.groupBy(*place).agg(F.count("*").alias("n"), F.min(F.struct("d", "key")).alias("best")).where(F.col("n") > CROWD).drop("n")
+    near = probes.select(*place, "key").join(crowds, ["a", "h", "p", "q"]).where(F.col("key") != F.col("best.key"))
+    near = written(near.select(*pair(F.col("key"), F.col("best.key"))).distinct(), "near-crowds")
+    if not near.isEmpty():
+        links = written(links.union(verified(near)), "near-links")
+    roots = components(links, "near-roots").withColumnRenamed("id", "key")
+    probes = probes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    x, y = probes.where("wide").alias("x"), probes.alias("y")
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.mine") == F.col("y.other")) & (F.col("x.other") == F.col("y.mine"))
+    met = x.join(y, same & (F.col("x.root") != F.col("y.root")) & _meeting("x", "y", threshold)).select(*pair(F.col("x.key"), F.col("y.key"))).distinct()
+    met = written(met, "near-beside")
+    return links if met.isEmpty() else written(links.union(verified(met)), "near-links")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id, key`` (digest of its text), ``class_id`` (least id of its class), ``class_size``."""
+    """One row per document: ``id, key`` (digest of its text), ``class_id`` (least id of its class), ``class_size``, ``kept``.
+
+    Jobs run while the plan is made: signatures, buckets, links and classes are written to the shared folder.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    signed = written(docs.mapInPandas(_signed, "id long, key binary, bands array<bigint>"), "near-signatures")
+    kind = docs.schema[id_col].dataType
+    docs = docs.select(F.col(id_col).alias("id"), digest(text).alias("key"), text.alias("text"))
+    # ids pass through Python as text: a nullable number would come back rounded
+    signed = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_signed, "id string, key binary, bands array<bigint>")
+    signed = written(signed.withColumn("id", F.col("id").cast(kind)), "near-signatures")
     texts = signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     shown = written(signed.join(texts, "key").where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"]), "near-texts")
     members = shown.select("key", F.explode("bands").alias("bucket"))
@@ -248,38 +287,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     hubs = members.groupBy("bucket").agg(F.min("rank").alias("hub")).select("bucket", F.col("hub.key").alias("a"))
     pairs = members.join(hubs, "bucket").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.max(F.col("n") > 2).alias("crowd"))
     reps = shown.select("key", "rep")
-    stars = written(_with_bags(docs, written(pairs, "near-pairs"), reps).mapInPandas(_stars(threshold), STAR), "near-stars")
+    stars = written(_with_bags(docs, written(pairs, "near-pairs"), reps).mapInPandas(_stars, STAR), "near-stars")
     links = stars.where(F.col("sim") >= threshold).select("a", "b")
-    centres = written(_centres(stars, threshold), "near-centres")
-    if not centres.isEmpty():  # those groups have a star around their centre as well, which takes the first one's place below
-        moved = stars.where("crowd").join(centres, "a")
-        again = moved.select(F.col("hub").alias("a"), "b").union(moved.select("hub", "a")).where("a <> b").distinct().withColumn("crowd", F.lit(True))
-        again = written(_with_bags(docs, written(again, "near-pairs"), reps).mapInPandas(_stars(threshold), STAR), "near-stars")
-        links = links.union(again.where(F.col("sim") >= threshold).select("a", "b"))
-        stars = stars.join(centres, "a", "left_anti").unionByName(again)
-    # pairs beside the hub, one of which is not similar to it, by the changes that they share
-    wide = stars.where(F.col("sim") < threshold).select("a", F.explode("change").alias("h"), F.col("b").alias("x"), F.col("size").alias("x_size"), F.size("change").alias("x_change"))
-    narrow = stars.select("a", F.explode(F.slice("change", F.lit(1), F.greatest("part", F.lit(0)))).alias("h"), F.col("b").alias("y"), F.col("size").alias("y_size"), F.size("change").alias("y_change"))
-    beside = wide.join(narrow, ["a", "h"]).where("x <> y").where(_may_be_similar(threshold)) \
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    beside = written(beside, "near-beside")
-    if not beside.isEmpty():
-        more = _with_bags(docs, beside, reps).mapInPandas(_verified, "a binary, b binary, sim double").where(F.col("sim") >= threshold)
-        links = written(links.union(more.select("a", "b")), "near-links")
+    links = _beside(docs, stars, links, reps, threshold)
     roots = components(links, "near-classes")
     joined = texts.join(roots.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    whole = joined.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("first")
+    whole = joined.groupBy("root").agg(first, F.sum("n").alias("class_size")).where("class_size > 1")
     named = joined.select("key", "root").join(whole, "root").drop("root")
+    alone = F.col("class_size").isNull()
     return signed.select("id", "key").join(named, "key", "left") \
-        .select("id", "key", F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-                F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+        .select("id", "key", F.when(alone, F.col("id")).otherwise(F.col("first.rep")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+                (alone | F.col("id").eqNullSafe(F.col("first.rep")) & (F.col("key") == F.col("first.key"))).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each class."""
-    name = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    gone = classes(docs, threshold, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("class_id"))) \
-        .select(F.col("key").alias("__key"), name.alias("__name")).distinct()
+    key, name = free_names(docs, "key", "name")
+    as_name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    gone = classes(docs, threshold, id_col, text_col).where("not kept").select(F.col("key").alias(key), as_name(F.col("id")).alias(name)).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("__key", F.unhex(F.md5(text))).withColumn("__name", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    return rows.join(gone, ["__key", "__name"], "left_anti").dropDuplicates(["__key", "__name"]).select(*docs.columns)
+    rows = docs.withColumn(key, digest(text)).withColumn(name, as_name(F.col(id_col)))
+    return rows.join(gone, [key, name], "left_anti").dropDuplicates([key, name]).select(*docs.columns)

@@ -52,7 +52,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,13 +177,31 @@ def test_line_dedup_is_brute_force(spark):
     for i, t in enumerate(docs[:-2]):
         assert kept[i] == "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in want or want[(i, j)][:2] == (i, j))
     assert line_dedup.classes(table(spark, [])).count() == 0
-    assert line_dedup.links(table(spark, lines), broadcast_rows=0).count() == sum(degree.values()) // 2
+    found = line_dedup.occurrences(table(spark, lines), "doc_id", "text").select("key", "line").distinct().withColumn("num", F.xxhash64("line"))
+    for crowd in (0, 1, 256):  # every segment is a crowded one, some are, none is
+        assert line_dedup.links(found, broadcast_rows=0, crowd=crowd).count() == sum(degree.values()) // 2
+
+
+def test_lines_of_a_template_are_brute_force(spark):
+    rng = random.Random(14)
+    heads = ["posted by somebody on a day of the week numbered ", "short template no ", "tail "]
+    lines = {f"{h}{rng.randint(0, 5000)}{t}" for h in heads for t in ("", " and what follows it is fixed") for _ in range(120)}
+    lines |= {changed(rng, x, rng.randint(1, 2)) for x in rng.sample(sorted(lines), 60)}
+    lines = [x for x in map(str.strip, sorted(lines)) if len(x) >= line_dedup.MIN_CHARS]
+    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
+    found = spark.createDataFrame([(i, x.encode(), x) for i, x in enumerate(lines)], "num long, key binary, line string")
+    for crowd in (3, 10_000):
+        rows = line_dedup.links(found, crowd=crowd).collect()
+        assert {frozenset((bytes(r.a).decode(), bytes(r.b).decode())) for r in rows} == want and len(rows) == len(want) > 500
 
 
 def test_line_dedup_of_null_and_shared_ids(spark):
     texts = ["one line\nmine", "two line\nyours", "other\none line", "two line\nhis", "her\ntwo line"]
     left = line_dedup.drop_duplicate_lines(table(spark, texts, [None, None, 1, 2, 2])).collect()
     assert sorted(r.text for r in left) == sorted(["mine", "yours", "other\none line", "two line\nhis", "her"])
+    docs = table(spark, texts[:2], [2**60 + 1, None]).withColumn("row", F.lit(1)).withColumn("__gone", F.lit(2))
+    left = line_dedup.drop_duplicate_lines(docs)
+    assert left.columns == docs.columns and {(r.doc_id, r.text, r.row) for r in left.collect()} == {(2**60 + 1, "one line\nmine", 1), (None, "two line\nyours", 1)}
 
 
 # 5
@@ -282,13 +300,51 @@ def test_mixing(spark):
     assert mixing.plan(table(spark, [])).count() == 0 and {r.target for r in mixing.plan(table(spark, ["", None])).collect()} == {0.0}
     same = mixing.mix(table(spark, ["a b"] * 4, ids=[1] * 4))
     assert same.count() == 6 and same.columns == ["doc_id", "text", "source", "key", "id"]
-
-
-def test_pareto_order(spark):
-    """Taken documents are the first in order of q, up to those that do not fit."""
-    texts = ["x " * (i % 7 + 1) for i in range(400)]
-    rows = mixing.plan(table(spark, texts), weights=(1,), share=0.5, rounds=1).collect()
-    assert {r.copies for r in rows} == {0, 1} and abs(sum(r.taken for r in rows) - rows[0].target) <= 7
+    odd = table(spark, ["a b", "c", None], ids=[2**60 + 1, None, None]).withColumn("__times", F.lit(1)).withColumn("n", F.lit("n"))
+    assert mixing.mix(odd).columns == odd.columns and {r.n for r in mixing.mix(odd).collect()} == {"n"}
+    assert {r.id for r in mixing.plan(odd).collect()} == {2**60 + 1, None}
+
+
+def test_pareto_draw_is_brute_force(spark):
+    """Wanted numbers, ranks by q and what is taken, for every document of two sources."""
+    rng = random.Random(17)
+    sizes = [int(2 ** rng.uniform(0, 9)) for _ in range(700)] + [0, 0]
+    sources = ["a" if i % 3 else "b" for i in range(len(sizes))]
+    docs = table(spark, ["x " * n for n in sizes], sources=sources)
+    rows = mixing.plan(docs, weights=(1, 4), share=1.1).collect()
+    weigh = {"a": 1, "b": 4}
+    total = {s: sum(n for n, x in zip(sizes, sources) if x == s) for s in "ab"}
+    goal = dict(zip("ab", fill([total[s] for s in "ab"], [weigh[s] for s in "ab"], 1.1, 2.0)))
+    for s in "ab":
+        mine = [r for r in rows if r.source == s]
+        level = {r.id: r.size.bit_length() - 1 for r in mine if r.size}
+        low, high = 0.0, 1e6  # the scale at which the wanted words are the target, by bisection
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(2.0, mid * 2 ** (-0.25 * level[r.id])) * r.size for r in mine if r.size) < goal[s] else (low, mid)
+        assert all(r.wanted == pytest.approx(min(2.0, low * 2 ** (-0.25 * level[r.id]))) for r in mine if r.size)
+        left = sum((r.wanted - int(r.wanted)) * r.size for r in mine if r.size)
+        ranked, picked = sorted((r for r in mine if r.q is not None), key=lambda r: (r.q, r.key)), set()
+        for _ in range(3):
+            got = 0
+            fit = [r for r in ranked if r.id not in picked and r.size <= left]
+            for r in fit:
+                if got + r.size > left:
+                    break
+                got += r.size
+                picked.add(r.id)
+            left -= got
+        assert {r.id: r.copies for r in mine} == {r.id: int(r.wanted) + (r.id in picked) for r in mine}
+    assert len({round(r.wanted, 6) for r in rows}) > 8 and sum(r.copies == 1 for r in rows) > 50
+
+
+def test_inclusion_frequencies(spark):
+    """Over many documents of a size class the share that is drawn is the class's p."""
+    rows = mixing.plan(table(spark, ["x " * (1 << i % 5) for i in range(6000)]), weights=(1,), share=0.5).collect()
+    for k in range(5):
+        mine = [r for r in rows if r.size == 1 << k]
+        p = mine[0].wanted
+        assert 0 < p < 1 and abs(sum(r.copies for r in mine) / len(mine) - p) < 4 * (p * (1 - p) / len(mine)) ** 0.5
 
 
 # 8
@@ -333,12 +389,33 @@ def test_near_duplicates_are_brute_force(spark):
     assert [r.doc_id for r in odd] == [1]
 
 
-def test_bounds_keep_nested_pairs_of_exactly_the_threshold(spark):
-    sizes = "x_size int, y_size int, x_change int, y_change int"
-    ties = spark.createDataFrame([(5 * k, 4 * k, 2 * k, k) for k in range(1, 300)], sizes)
-    assert ties.where(minhash._may_be_similar(0.8)).count() == 299
-    beyond = spark.createDataFrame([(5 * k + 1, 4 * k, 2 * k + 1, k) for k in range(1, 300)], sizes)
-    assert beyond.where(minhash._may_be_similar(0.8)).count() == 0
+def test_a_large_group_around_a_changed_hub_is_brute_force(spark):
+    """500 near copies of a text that is not in the table, chains and truncated copies: many texts are dissimilar to every hub."""
+    rng, texts = random.Random(18), []
+    base = words(rng, 120)
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randint(2, 9)):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+        texts.append(" ".join(w))
+    texts += [" ".join(base[: 60 + i // 2]) for i in range(100)]  # nested: most neighbours are similar, ends are not
+    nested = words(rng, 400)
+    texts += [" ".join(nested[:n]) for n in (100, 124, 125, 126, 155, 156, 157, 195, 196, 244, 245, 306)]  # near the threshold itself
+    rng.shuffle(texts)
+    want = similar(spark, texts)
+    got = {r.id: r.class_id for r in minhash.classes(table(spark, texts)).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_near_duplicates_of_large_and_null_ids(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    texts, ids = [near, near + " x", near + " y", "other text of its own", "z", "z"], [2**60 + 1, None, None, 2**53 + 1, None, None]
+    rows = minhash.classes(table(spark, texts, ids)).collect()
+    assert sorted((r.id or -1, r.class_id or -1, r.class_size, r.kept) for r in rows) == sorted(
+        [(2**60 + 1, 2**60 + 1, 3, True), (-1, 2**60 + 1, 3, False), (-1, 2**60 + 1, 3, False), (2**53 + 1, 2**53 + 1, 1, True), (-1, -1, 2, True), (-1, -1, 2, True)])
+    docs = table(spark, texts[1:4], [None, None, 5]).withColumn("__key", F.lit("a")).withColumn("name", F.lit("b"))
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and len(left.collect()) == 2 and {(r["__key"], r.name, r.key) for r in left.collect()} == {("a", "b", "k")}
 
 
 def test_signatures_estimate_weighted_jaccard():
