@@ -16,7 +16,7 @@ of which there are five at most.
 
 Defined results: null or empty texts have no words, no hits, and items without words match nothing. Repeated documents
 each get their row. Rows of the benchmark with the same id are one item; a null id is an item named ``null``. An empty benchmark
-or documents table gives no hits or no rows. Further columns are ignored by ``leaks`` and kept by ``drop_contaminated``.
+or documents table gives no hits or no rows. Windows and places are written to the shared folder while the plan is made. Further columns are ignored by ``leaks`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_words, row_key, written
+from .common import ascii_words, free_names, row_key, written
 
 SENTINEL = 0
 
@@ -89,5 +89,6 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs, with all their columns."""
-    bad = leaks(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(bad, "__key", "left_anti").select(*docs.columns)
+    key = free_names(docs, "key")[0]
+    bad = leaks(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key(id_col, text_col)).join(bad, key, "left_anti").select(*docs.columns)

@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 WHITESPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -51,8 +53,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Of repeated rows (same id and text) one stays."""
     found = groups(docs, id_col, text_col, salts)
-    gone = found.where("not kept").select(F.col("id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
+    own, lost, its = free_names(docs, "own", "lost", "its")
+    gone = found.where("not kept").select(F.col("id").alias(lost), F.col("digest").alias(its)).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rest = docs.withColumn("__own", F.sha2(F.regexp_replace(text, WHITESPACE, ""), 256))
-    rest = rest.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__digest")), "left_anti")
-    return rest.dropDuplicates([id_col, "__own"]).drop("__own")
+    rest = docs.withColumn(own, F.sha2(F.regexp_replace(text, WHITESPACE, ""), 256))
+    rest = rest.join(gone, F.col(id_col).eqNullSafe(F.col(lost)) & (F.col(own) == F.col(its)), "left_anti")
+    return rest.dropDuplicates([id_col, own]).select(*docs.columns)

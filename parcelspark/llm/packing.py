@@ -4,7 +4,8 @@ Every document becomes token ids and an end-of-text id; longer documents are cut
 so that the pieces of a document joined in order of ``piece_starts`` are its ids again. Pieces are packed in pools: a
 task gathers about ``pool_tokens`` ids at a time, packs them and writes them out, so its memory is bounded by the pool and the
 longest text, no row is shuffled, and a lost task only packs its own input split again. A pool holds thousands of
-sequences, at which size best-fit-decreasing leaves little room in each.
+sequences, at which size best-fit-decreasing leaves little room in each. Which documents share a sequence depends on how the input is split; every id is in one
+sequence however it is.
 
 Output, one row per packed sequence: ``input_ids`` (the row of the id matrix: ``seq_len`` unsigned little-endian
 integers of ``id_bytes`` bytes, padded with the end-of-text id), ``position_ids`` (the same shape, starting again at 0 in
@@ -81,11 +82,11 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def encoder(vocabulary: str):
+def encoder(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's contents."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -122,12 +123,15 @@ def pack(docs: DataFrame, seq_len: int = 2048, pool_tokens: int = 1 << 21, vocab
     if seq_len > np.iinfo(dtype).max or end_of_text > np.iinfo(dtype).max:
         raise ValueError("ids or positions do not fit id_bytes")
 
+    with open(vocabulary, "rb") as f:  # the driver's file; executors need none
+        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(vocabulary)
+        tool = encoder(shipped.value)
         pool, held = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["id"].astype(object), batch["text"]):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+            for doc_id, text in zip(batch["id"], batch["text"]):
+                doc_id = None if doc_id is None else int(doc_id)
                 parts = [np.asarray(tool.encode_ordinary(part), dtype) for part in runs(text)]
                 ids = np.concatenate([*parts, np.array([end_of_text], dtype)])
                 for start in range(0, len(ids), seq_len):
@@ -139,10 +143,16 @@ def pack(docs: DataFrame, seq_len: int = 2048, pool_tokens: int = 1 << 21, vocab
         if pool:
             yield _packed(pool, seq_len, dtype, end_of_text)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # ids pass through Python as text: a nullable number would come back rounded
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(tasks, SCHEMA)
 
 
 def write_binary(packed: DataFrame, path: str, seq_len: int = 2048) -> None:
     """Write the packed sequences as Parquet, sized by rows so that every file holds whole rows of the id matrix."""
     packed.write.option("compression", "zstd").option("maxRecordsPerFile", (1 << 28) // seq_len).parquet(path)
+
+
+def fill_rate(packed: DataFrame, seq_len: int = 2048) -> DataFrame:
+    """One row: ``n_sequences, fill`` (the share of places that hold ids of documents)."""
+    return packed.agg(F.count("*").alias("n_sequences"), (F.sum("n_tokens") / (F.count("*") * seq_len)).alias("fill"))

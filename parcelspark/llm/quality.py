@@ -119,8 +119,9 @@ def scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
         for batch in batches:
             yield batch[["id"]].assign(score=[_score(hasher.features(text), weights) for text in batch["text"]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(tasks, "id long, score double")
+    # ids pass through Python as text: a nullable number would come back rounded
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInPandas(tasks, "id string, score double").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def held_out(c: Column) -> Column:
