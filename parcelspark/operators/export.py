@@ -30,5 +30,6 @@ def to_kml_parts(df: DataFrame, path: str, size: Column, price: Column) -> None:
 
 
 def popup(df: DataFrame) -> DataFrame:
-    """The text shown at a marker."""
-    return df.withColumn("popup", F.format_string("%s | $%,.0f | %,.0f SF | %.1f mi", F.coalesce("address", F.lit("N/A")), F.coalesce("sale_price", F.lit(0.0)), F.coalesce("building_size", F.lit(0.0)), F.coalesce("distance_miles", F.lit(0.0))))
+    """The text shown at a marker; what is missing is left out."""
+    part = lambda form, c: F.when(F.col(c).isNotNull(), F.format_string(form, F.col(c)))
+    return df.withColumn("popup", F.concat_ws(" | ", F.coalesce("address", F.lit("N/A")), part("$%,.0f", "sale_price"), part("%,.0f SF", "building_size"), part("%.1f mi", "distance_miles")))

@@ -106,17 +106,20 @@ def pair_scores(heads: DataFrame, levels: DataFrame, vectors: DataFrame | None =
     return pairs.select(FILE, "field", "col_idx", F.when(F.col("level").isNotNull(), F.lit(LOCK)).otherwise(semantic + bonus).alias("score"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("alias_length", F.lit(0)).alias("alias_length"))
 
 
-def mutual_best(scores: DataFrame, rounds: int = 4, threshold: float = THRESHOLD) -> DataFrame:
-    """One-to-one assignment by rounds of mutual best pairs; ties: higher level, longer alias, lower column, field name."""
+def mutual_best(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One-to-one assignment by rounds of mutual best pairs until no pair is left; ties: higher level, longer alias, lower column, field name.
+
+    Each round takes a pair of every file that has any left, so there are at most as many rounds as fields, 21.
+    """
     left, out = kept(scores.where(F.col("score") >= threshold), "pair-scores"), None  # each round reads it several times
     order = [F.col("score").desc(), F.col("level").desc(), F.col("alias_length").desc(), F.col("col_idx"), F.col("field")]
-    for _ in range(rounds):
+    while out is None or not left.isEmpty():
         by_field = F.row_number().over(W.partitionBy(FILE, "field").orderBy(*order))
         by_col = F.row_number().over(W.partitionBy(FILE, "col_idx").orderBy(*order))
         best = left.withColumn("f", by_field).withColumn("c", by_col).where("f = 1 and c = 1").select(FILE, "field", "col_idx", "score")
         best = kept(best, "mutual-best")
         out = best if out is None else out.unionByName(best)
-        left = left.join(best.select(FILE, "field"), [FILE, "field"], "left_anti").join(best.select(FILE, "col_idx"), [FILE, "col_idx"], "left_anti")
+        left = kept(left.join(best.select(FILE, "field"), [FILE, "field"], "left_anti").join(best.select(FILE, "col_idx"), [FILE, "col_idx"], "left_anti"), "pair-scores")
     return out.select(FILE, "field", "col_idx", F.round(F.least("score", F.lit(1.0)), 3).alias("confidence"))
 
 
@@ -173,6 +176,14 @@ def address_candidates(heads: DataFrame, similarity, most: int = 3) -> DataFrame
     return rows.withColumn("nth", nth).where(F.col("nth") <= most).select(FILE, "col_idx", "nth")
 
 
+def joined_addresses(data: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``raw_address_data`` per row: the values of the candidate columns that are there, best column first, a column once."""
+    once = candidates.groupBy(FILE, "col_idx").agg(F.min("nth").alias("nth"))
+    parts = data.join(F.broadcast(once) if once.count() <= 100_000 else once, [FILE, "col_idx"]).groupBy(FILE, "row_idx") \
+        .agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("parts"))  # three columns at most
+    return parts.select(FILE, "row_idx", F.array_join("parts.value", " ").alias("raw_address_data"))
+
+
 def standardized(data: DataFrame, mapping: DataFrame, names: list[str]) -> DataFrame:
     """Rows of canonical fields as text, keyed by file and row; the fields are fixed, so the pivot does not depend on the data."""
     return data.join(mapping.select(FILE, "col_idx", "field"), [FILE, "col_idx"]).groupBy(FILE, "row_idx").pivot("field", names).agg(F.max("value"))

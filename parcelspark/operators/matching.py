@@ -77,12 +77,10 @@ def lease_dimensions(as_of: Column) -> Dimensions:
 def scored(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, weights: dict[str, float], keep: tuple[str, ...] = ()) -> DataFrame:
     """``subject_id, id``, the columns to keep, one ``<dimension>_score`` each, ``distance_miles`` and ``match_score``, for every pair.
 
-    The subjects are a stated query set held against all records; they are broadcast if there are few enough, so records are not shuffled.
+    The subjects are a stated query set held against all records; they are broadcast block by block, so records are not shuffled.
     """
     names = {c: f"s_{c}" for c in subjects.columns if c != "subject_id"}
-    few = subjects.count() <= BROADCAST_ROWS
-    side = subjects.withColumnsRenamed(names)
-    pairs = comps.crossJoin(F.broadcast(side) if few else side)
+    pairs = in_blocks(comps, subjects.withColumnsRenamed(names), "subject_id")
     absent = [n for n in ("building_size", "sale_price", "price_per_sf", "year_built", "leased_sf", "rate_monthly", "rate_annually", "building_type") if n in comps.columns and n not in subjects.columns]
     pairs = pairs.withColumns({f"s_{n}": F.lit(None).cast(dict(comps.dtypes)[n]) for n in absent}) if absent else pairs
     pairs = pairs.withColumn("distance_miles", haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")))
@@ -92,6 +90,17 @@ def scored(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, weight
     return pairs.withColumn("match_score", weighted({n: F.col(f"{n}_score") for n in found}, weights))
 
 
+def in_blocks(records: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """All records beside each of a stated query set. Queries are dealt into blocks of about ``BROADCAST_ROWS`` by hash, and every block is broadcast."""
+    n = queries.count() // BROADCAST_ROWS + 1
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    out = None
+    for k in range(n):
+        part = records.crossJoin(F.broadcast(queries.where(block == k) if n > 1 else queries))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def blended(weighted_score: Column, similarity: Column, alpha: float = 0.3) -> Column:
     return F.when(similarity.isNull(), weighted_score).otherwise((1 - alpha) * weighted_score + alpha * similarity)
 

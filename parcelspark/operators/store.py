@@ -53,9 +53,10 @@ def appended(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.unionByName(new, allowMissingColumns=True)
 
 
-def updated(base: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """Rows of ``base`` with the columns of their change; a null in a change is written. A row with several changes takes the greatest in column order."""
-    one = changes.groupBy(key).agg(F.max(F.struct(*columns)).alias("__new"))
+def updated(base: DataFrame, changes: DataFrame, columns: list[str], key: str = "id", order: str | None = None) -> DataFrame:
+    """Rows of ``base`` with the columns of their change; a null in a change is written. A row with several changes takes the latest by ``order``, ties and
+    changes without an order by the greatest values."""
+    one = changes.groupBy(key).agg(F.max(F.struct(*([order] if order else []), *columns)).alias("__new"))
     both = base.join(one, key, "left")
     return both.select(*[F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns])
 
@@ -87,8 +88,8 @@ class Store:
     def append(self, new: DataFrame) -> None:
         self.write(appended(self.read(), conformed(new.withColumn("created_at", F.current_timestamp()), self.schema)))
 
-    def update(self, changes: DataFrame, columns: list[str]) -> None:
-        self.write(updated(self.read(), changes, columns))
+    def update(self, changes: DataFrame, columns: list[str], order: str | None = None) -> None:
+        self.write(updated(self.read(), changes, columns, order=order))
 
     def delete(self, ids: DataFrame) -> None:
         self.write(deleted(self.read(), ids))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.clean import clean_header, normalize_address, to_float_2
+from ..functions.clean import clean_header, confidence_status, label
+from ..operators import flow
 from ..operators import ingest as g
 from ..operators import mapping as m
 from ..operators.matching import cosine
@@ -124,10 +125,52 @@ def assign_exact(spark, sf_dir):
     return m.exact_assignment(m.pair_scores(heads, m.alias_levels(heads)))
 
 
-@query()
+_PAIRS = f"""{_LEVELS.replace(_CLASS, _PROFILE + "," + _CLASS[len(_HEADS):].lstrip().lstrip(","))}, {_TYPES},
+    ps AS (SELECT file_no, field, col_idx, CASE WHEN best IS NOT NULL THEN 100.0 WHEN type = coalesce(profile, 'empty') THEN 0.25 WHEN type IN ('numeric_money', 'numeric_clean') AND profile = 'text' THEN -0.20 WHEN type = 'date' THEN -0.30
+            WHEN type = 'text' AND profile IN ('numeric_money', 'numeric_clean') THEN -0.15 ELSE 0.0 END AS score, coalesce(best // 1000, 0) AS level, coalesce(best % 1000, 0) AS alias_length, header, type, profile
+        FROM hc JOIN ft USING (kind) LEFT JOIN lv USING (kind, header, field) LEFT JOIN profiles USING (file_no, col_idx))"""
+
+
+def _mutual_sql(rounds: int = 8) -> str:
+    order = "ORDER BY score DESC, level DESC, alias_length DESC, col_idx, field"
+    parts = ["l0 AS (SELECT * FROM ps WHERE score >= 0.55)"]
+    for k in range(rounds):
+        parts += [f"b{k} AS (SELECT file_no, field, col_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY file_no, field {order}) AS f, row_number() OVER (PARTITION BY file_no, col_idx {order}) AS c FROM l{k}) AS t{k} WHERE f = 1 AND c = 1)",
+                  f"l{k + 1} AS (SELECT * FROM l{k} WHERE (file_no, field) NOT IN (SELECT (file_no, field) FROM b{k}) AND (file_no, col_idx) NOT IN (SELECT (file_no, col_idx) FROM b{k}))"]
+    return f"WITH {_PAIRS}, {', '.join(parts)} SELECT file_no, field, col_idx, round(least(score, 1.0), 3) AS confidence FROM ({' UNION ALL '.join(f'SELECT * FROM b{k}' for k in range(rounds))}) AS every"
+
+
+@query(_mutual_sql())
 def assign_mutual_best(spark, sf_dir):
+    """Without the close spellings, which SQL cannot express; those take part in ``assign_exact``."""
     heads = _heads(spark, sf_dir)[1]
-    return m.mutual_best(m.pair_scores(heads, m.alias_levels(heads)))
+    return m.mutual_best(m.pair_scores(heads, m.alias_levels(heads, fuzzy=False)))
+
+
+_DOT = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
+_COSINE = f"greatest(0.0, coalesce({_DOT.format('a', 'b')} / nullif(sqrt({_DOT.format('a', 'a')}) * sqrt({_DOT.format('b', 'b')}), 0), 0))"
+
+
+@query(f"""WITH {_PAIRS}, sz AS (SELECT count(*) AS size FROM embeddings)
+    SELECT file_no, field, col_idx, round(CASE WHEN level > 0 THEN 100.0 ELSE score + {_COSINE} END, 6) AS score
+    FROM ps CROSS JOIN sz JOIN embeddings AS a ON a.vec_id = (length(header) * 31) % size JOIN embeddings AS b ON b.vec_id = (length(field) * 17) % size""")
+def pair_scores_semantic(spark, sf_dir):
+    """Headers and fields with vectors of their own, taken from the given ones by the lengths of their names."""
+    heads = _heads(spark, sf_dir)[1]
+    vectors = view(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = vectors.count()
+    of = lambda rows, name, step: rows.select(name).distinct().withColumn("vec_id", (F.length(name) * step).cast("bigint") % size).join(vectors, "vec_id")
+    header = of(heads, "header", 31).select("header", F.col("embedding").alias("header_vector"))
+    names = spark.createDataFrame([(f,) for f in {**m.LEASE_FIELDS, **m.SALE_FIELDS}], "field string")
+    field = of(names, "field", 17).select("field", F.col("embedding").alias("field_vector"))
+    return m.pair_scores(heads, m.alias_levels(heads, fuzzy=False), header, field).select("file_no", "field", "col_idx", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_PAIRS} SELECT DISTINCT field, array_to_string(list_transform(string_split(replace(field, '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS label, CASE WHEN score >= 1.0 THEN 'Override' WHEN score >= 0.60 THEN 'High' WHEN score >= 0.45 THEN 'Medium' ELSE 'Not Mapped' END AS status FROM ps")
+def field_labels(spark, sf_dir):
+    heads = _heads(spark, sf_dir)[1]
+    scores = m.pair_scores(heads, m.alias_levels(heads, fuzzy=False))
+    return scores.select("field", label(F.col("field")).alias("label"), confidence_status(F.col("score")).alias("status")).distinct()
 
 
 @query(f"""WITH {_HEADS}, hv AS (SELECT file_no, col_idx, {_CLEAN} AS header, (file_no * 8 + col_idx) % (SELECT count(*) FROM embeddings) AS vec_id FROM heads),
@@ -143,14 +186,24 @@ def address_candidates(spark, sf_dir):
     return m.address_candidates(rows, cosine(F.col("embedding"), F.col("target")))
 
 
+def _places(spark, sf_dir):
+    """A gazetteer of the street addresses in the cells: the first sale of each house number."""
+    sales = view(spark, sf_dir, "sale_comps").withColumn("number", 100 + F.col("id") % 900)
+    one = sales.groupBy("number").agg(F.min(F.struct("id", "latitude", "longitude", "city", "zip_code")).alias("p"))
+    return one.select(F.concat(F.col("number").cast("string"), F.lit(" Airport Road, TX")).alias("address"), "p.latitude", "p.longitude", "p.city", "p.zip_code")
+
+
 @query()
 def ingest_end_to_end(spark, sf_dir):
-    data, heads = _heads(spark, sf_dir)
-    mapping = m.mutual_best(m.pair_scores(heads, m.alias_levels(heads)))
-    names = list({**m.LEASE_FIELDS, **m.SALE_FIELDS})
-    wide = m.standardized(data, mapping, names)
-    numbers = [n for n, t in {**m.LEASE_FIELDS, **m.SALE_FIELDS}.items() if t.startswith("numeric")]
-    return wide.withColumns({n: to_float_2(F.col(n)) for n in numbers})
+    """Sales of all files as they are stored; addresses that the store has from every fiftieth customer are not saved again."""
+    stored = view(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id"), F.concat((100 + F.col("c_custkey") % 900).cast("string"), F.lit(" Airport Road, TX")).alias("address"))
+    return flow.ingested(_cells(spark, sf_dir), _places(spark, sf_dir), stored)["SALE"].drop("created_at")
+
+
+@query()
+def ingest_leases(spark, sf_dir):
+    """Leases of all files, with monthly and annual rates."""
+    return flow.ingested(_cells(spark, sf_dir), _places(spark, sf_dir), None)["LEASE"].drop("created_at")
 
 
 @query()

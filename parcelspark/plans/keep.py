@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import duplicates as d
-from ..operators import export, store
+from ..operators import export, filters, store
+from ..sources.scratch import folder
 from ..sources.views import view, with_views
 from .explore import NORMAL
 
@@ -130,3 +131,24 @@ def load_coerce_round(spark, sf_dir):
     || '</description><Point><coordinates>' || CAST(CAST(round(longitude, 6) AS DECIMAL(12,6)) AS VARCHAR) || ',' || CAST(CAST(round(latitude, 6) AS DECIMAL(12,6)) AS VARCHAR) || ',0</coordinates></Point></Placemark>' AS placemark FROM sale_comps""")
 def kml_fragments(spark, sf_dir):
     return view(spark, sf_dir, "sale_comps").select("id", export.placemark(F.col("building_size"), F.col("sale_price")).alias("placemark"))
+
+
+@query("""SELECT id, concat_ws(' | ', coalesce(address, 'N/A'), '$' || format('{:,}', CAST(round(sale_price) AS BIGINT)), format('{:,}', CAST(round(building_size) AS BIGINT)) || ' SF') AS popup FROM sale_comps""")
+def popup_text(spark, sf_dir):
+    rows = view(spark, sf_dir, "sale_comps").withColumn("sale_price", F.round("sale_price")).withColumn("distance_miles", F.lit(None).cast("double"))
+    return export.popup(rows).select("id", "popup")
+
+
+@query("SELECT 'sale_comps' AS store, CAST(0 AS INTEGER) AS n")
+def delete_all(spark, sf_dir):
+    """A store with all sales in it, cleared."""
+    kept_at = folder(spark, "clear-store")
+    sales = store.Store(spark, kept_at, store.SALE)
+    sales.append(view(spark, sf_dir, "sale_comps").drop("closing_date"))
+    sales.clear()
+    return sales.read().agg(F.count("*").cast("int").alias("n")).select(F.lit("sale_comps").alias("store"), "n")
+
+
+@query("SELECT id, address, sale_price FROM sale_comps")
+def project_columns(spark, sf_dir):
+    return filters.projected(view(spark, sf_dir, "sale_comps").select("sale_price", "notes", "address", "id"), ["id", "address", "no such column"], hidden=("notes",))

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_cells(spark: SparkSession, path: str, columns: int = 64) -> DataFrame:
-    """``file_no`` (the file's path), ``row_idx``, ``col_idx``, ``value`` of every cell that is not missing. Quoted cells may span lines, so a file is one task; parallelism is over files."""
+def read_cells(spark: SparkSession, path: str, columns: int | None = None) -> DataFrame:
+    """``columns`` is a bound on the cells of a row; by default that of the data is counted first (separators and line breaks within quotes count too, which only widens it).
+
+    ``file_no`` (the file's path), ``row_idx``, ``col_idx``, ``value`` of every cell that is not missing. Quoted cells may span lines, so a file is one task; parallelism is over files."""
+    if columns is None:
+        widest = spark.read.text(path, wholetext=True).select(F.max(F.array_max(F.transform(F.split("value", r"\r\n|\n|\r"), lambda line: F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))))))
+        columns = (widest.first()[0] or 0) + 1
     names = [f"c{i}" for i in range(columns)]
     raw = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
     raw = raw.select("*", F.col("_metadata.file_path").alias("file_no")).withColumn("at", F.monotonically_increasing_id())

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.functions import clean, geo
-from parcelspark.operators import duplicates, ingest, mapping, matching, radius, rates, stats, store
+from parcelspark.operators import duplicates, flow, ingest, mapping, matching, radius, rates, stats, store
 from parcelspark.operators.filters import Filter, filtered, page, page_after
 from parcelspark.sources.files import read_cells
 from parcelspark.sources.views import view
@@ -169,3 +169,47 @@ def test_queries_have_names_and_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 60
+
+
+def test_csv_files_to_stored_records(spark, tmp_path):
+    """Two files from cells to the two schemas: joined addresses, rate units, price per sf, coordinates, duplicates; a file of no kind is left out."""
+    (tmp_path / "sales.csv").write_text("Sale comps,,,,\nProperty Address,Property Name,Buyer,Sale Price,Size SF\n1 Oak Street,Tower,Ann,\"$1,000,000.00\",\"10,000 SF\"\n2 Oak Street,,Bob,\"$500,000.00\",\"4,000 SF\"\n1 OAK ST.,Tower,Cid,\"$7.00\",1\n9 Elm Road,,Dan,N/A,5\n")
+    (tmp_path / "leases.csv").write_text("Address,Tenant,Leased SF,Base Rent Monthly,Lease Term\n3 Oak Street,Eve,1000,1.25,36\n2 Oak Street,Fay,2000,2.5,TBD\n")
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    places = spark.createDataFrame([(f"{i} Oak Street, TX", 29.0 + i / 10, -95.0, "Katy", "77001") for i in (1, 2, 3)], "address string, latitude double, longitude double, city string, zip_code string")
+    stored = spark.createDataFrame([(1, "2 Oak St, TX")], "id long, address string")
+    found = flow.ingested(read_cells(spark, str(tmp_path)), places, stored)
+    sales = sorted((r.raw_address_data, r.address, r.sale_price, r.building_size, r.price_per_sf, r.latitude, r.city) for r in found["SALE"].collect())
+    assert len(sales) == 2 and {r[1] for r in sales} == {"1 Oak Street, TX", "9 Elm Road"}  # the copy of 1 Oak and the stored 2 Oak are not saved
+    by_address = {r[1]: r for r in sales}
+    assert by_address["9 Elm Road"][2:] == (None, 5.0, None, None, None)
+    assert by_address["1 Oak Street, TX"][5:] == (pytest.approx(29.1), "Katy") and by_address["1 Oak Street, TX"][0] == "Tower 1 Oak Street" and by_address["1 Oak Street, TX"][2:5] == (1000000.0, 10000.0, 100.0)
+    leases = [(r.address, r.tenant_name, r.rate_monthly, r.rate_annually, r.term_months) for r in found["LEASE"].collect()]
+    assert leases == [("3 Oak Street, TX", "Eve", 1.25, 15.0, 36.0)]
+    assert found["SALE"].columns == store.SALE.names and found["LEASE"].columns == store.LEASE.names
+
+
+def test_wide_files_keep_their_cells(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text(",".join(f"h{i}" for i in range(90)) + "\n" + ",".join(str(i) for i in range(90)) + "\n")
+    cells = read_cells(spark, str(tmp_path / "wide.csv"))
+    assert cells.count() == 180 and cells.where("col_idx = 89 and row_idx = 1").first().value == "89"
+
+
+def test_mutual_best_goes_on_until_nothing_is_left(spark):
+    rows = [(0, f"f{i}", j, 1.0 + i + j) for i in range(7) for j in range(7)] + [(1, "f0", 0, 0.1)]
+    scores = spark.createDataFrame(rows, "file_no long, field string, col_idx int, score double").withColumns({"level": F.lit(0), "alias_length": F.lit(0)})
+    got = {(r.file_no, r.field, r.col_idx) for r in mapping.mutual_best(scores).collect()}
+    assert got == {(0, f"f{i}", i) for i in range(7)}
+
+
+def test_changes_in_order_latitudes_and_blocks(spark, monkeypatch):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, city string")
+    changes = spark.createDataFrame([(1, "z", 1), (1, "c", 2)], "id long, city string, at int")
+    assert {(r.id, r.city) for r in store.updated(base, changes, ["city"], order="at").collect()} == {(1, "c"), (2, "b")}
+    far = spark.createDataFrame([(1, 75.0, 10.0)], "id long, latitude double, longitude double")
+    with pytest.raises(ValueError):
+        radius.radius_join(far, far.withColumnRenamed("id", "subject_id"), 5.0)
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 3)
+    queries = spark.range(10).withColumnRenamed("id", "subject_id")
+    pairs = matching.in_blocks(spark.range(4), queries, "subject_id")
+    assert pairs.count() == 40 and pairs.distinct().count() == 40
