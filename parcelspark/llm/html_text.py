@@ -4,7 +4,10 @@ The builder closes elements that HTML closes by implication (paragraphs before b
 head before body content), ignores stray end tags and treats void and raw-text elements as such. The renderer emits all visible text: it
 skips the head, scripts, styles, templates and elements hidden by attribute or inline style, collapses white space outside
 ``pre``, sets blocks on lines of their own (with an empty line around paragraphs, headings, lists and tables), marks and indents list
-items, and pads table cells so that columns align. Both walk with explicit stacks, so depth is no limit.
+items, and pads table cells so that columns align, cells of several rows or columns included. Both walk with explicit stacks, so depth is no limit.
+
+Layout is bounded, text never is: indents stop at ``MOST_INDENT``, columns are padded to ``MOST_WIDTH`` at most (a longer cell is written whole and shifts what
+follows on its line), a gap in a table line is ``MOST_GAP`` spaces at most, and cells span columns and rows among the first ``MOST_COLUMNS`` only. So output is linear in the page.
 
 Defined results: null and empty pages give an empty text; text without tags is rendered as it is; broken markup never fails. Rows are
 independent, so an empty table gives an empty result, repeated rows repeat, and further columns stay as they are.
@@ -29,7 +32,7 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes audio video canvas datalist defs desc metadata symbol title meta link".split())
 HEAD = frozenset("html head title meta link base script style template noscript".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table ul xmp".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr listing ol p pre table ul menu dir fieldset".split())
@@ -42,6 +45,7 @@ CLOSES = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "body": ({"head"}, set()),
 }
+MOST_INDENT, MOST_WIDTH, MOST_GAP, MOST_COLUMNS = 60, 60, 200, 1000
 #: An end tag does not close elements outside of these.
 SCOPES = frozenset({"table", "td", "th", "caption", "html", "template"})
 
@@ -122,8 +126,9 @@ def build(page: str) -> Node:
             continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            if name == "textarea":
-                node.children.append(html.unescape(page[at: stop.start() if stop else end]))
+            if name in ("textarea", "xmp"):
+                inside = page[at: stop.start() if stop else end]
+                node.children.append(html.unescape(inside) if name == "textarea" else inside)
             at = stop.end() if stop else end
             continue
         push(node)
@@ -164,7 +169,7 @@ class Flow:
         if self.lines:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        lead = self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent
+        lead = self.indent[: min(MOST_INDENT, len(self.indent) - len(self.marker))] + self.marker if self.marker else self.indent[:MOST_INDENT]
         self.marker = ""
         self.lines.append((lead + body).rstrip())
 
@@ -173,20 +178,58 @@ class Flow:
         self.gap = max(self.gap, gap)
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table whose cells are lists of lines."""
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            wide = max(map(len, cell), default=0)
-            if i == len(widths):
-                widths.append(wide)
-            elif wide > widths[i]:
-                widths[i] = wide
+def span(text: str | None, most: int) -> int:
+    return max(1, min(int(text), most)) if text and re.fullmatch(r"\d{1,5}", text.strip()) else 1
+
+
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str]]]]:
+    """The column of each cell (lines, columns, rows), past the columns that cells of rows above reach down into."""
+    until: dict[int, tuple[int, int]] = {}  # column: (first row below the cell that takes it, the cell's columns)
+    out = []
+    for r, row in enumerate(rows):
+        at, cells = 0, []
+        for lines, across, down in row:
+            while at < MOST_COLUMNS and at in until and until[at][0] > r:
+                at += 1
+            cells.append((at, lines))
+            if down > 1:
+                for k in range(at, min(at + across, MOST_COLUMNS)):
+                    until[k] = (r + down, across)
+            at += across if at < MOST_COLUMNS else 1
+        out.append(cells)
+    return out
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table. A cell that spans columns widens none of them."""
+    grid = placed(rows)
+    widths: dict[int, int] = {}
+    for cells, row in zip(grid, rows):
+        for (at, lines), (_, across, _) in zip(cells, row):
+            wide = min(MOST_WIDTH, max(map(len, lines), default=0)) if across == 1 else 0
+            widths[at] = max(wide, widths.get(at, 0))
+    starts, at = {}, 0
+    for k in sorted(widths):
+        starts[k] = at
+        at += widths[k] + 2
     out = []
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip())
+    for cells in grid:
+        tall = [c for c in cells if c[1]]
+        k = 0
+        while tall:
+            parts, held = [], 0
+            for at, lines in tall:
+                if lines[k]:
+                    gap = starts[at] - held
+                    if parts or gap > 0:
+                        gap = min(MOST_GAP, max(gap, 2 if parts else 0))
+                        parts.append(" " * gap)
+                        held += gap
+                    parts.append(lines[k])
+                    held = max(held + len(lines[k]), starts[at] + min(len(lines[k]), MOST_WIDTH))
+            out.append("".join(parts).rstrip())
+            k += 1
+            tall = [c for c in tall if len(c[1]) > k]
     return out
 
 
@@ -216,7 +259,7 @@ def render(page: str) -> str:
             if tag == "br":
                 flow.flush(True)
                 continue
-            if tag == "pre":
+            if tag in ("pre", "xmp"):
                 pre = 1
                 if node.children and isinstance(node.children[0], str) and node.children[0][:1] == "\n":
                     node.children[0] = node.children[0][1:]
@@ -249,7 +292,8 @@ def render(page: str) -> str:
         if tag in ("td", "th") and tables and len(flows) > tables[-1]["depth"]:
             cell = flows.pop()
             cell.flush()
-            tables[-1]["rows"][-1].append(cell.lines)
+            found = attributes(node.attrs) if "span" in node.attrs.lower() else {}
+            tables[-1]["rows"][-1].append((cell.lines, span(found.get("colspan"), MOST_COLUMNS), span(found.get("rowspan"), 65534)))
             continue
         if tag == "table":
             done = tables.pop()
