@@ -30,9 +30,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = pii.spans(docs, pii.fit(docs))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select(F.col("id").alias("doc_id"), *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
-                        F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    count = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long")
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select(F.col("id").alias("doc_id"), *[count("base", k).alias(f"n_{kind}") for k, kind in enumerate(pii.RULES)], F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"),
+                        pii.named(every).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(every).cast("long").alias("n_spans"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

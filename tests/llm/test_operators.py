@@ -48,6 +48,8 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.groups(table(spark, [])).count() == 0
     kept = exact_dedup.drop_duplicates(table(spark, ["x", "x ", "y", "y"], ids=[1, 2, 3, 3]))
     assert kept.columns == ["doc_id", "text", "source", "key", "id"] and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    named = table(spark, ["x", "x "]).withColumn("own", F.lit(1)).withColumn("__own", F.lit(2))
+    assert exact_dedup.drop_duplicates(named).columns == named.columns
 
 
 # 2
@@ -90,7 +92,7 @@ def test_packing_round_trip(spark):
     rng = random.Random(2)
     texts = [" ".join(words(rng, rng.randint(0, 400))) for _ in range(60)] + ODD
     rows = packing.pack(table(spark, texts), seq_len=64, pool_tokens=3000).collect()
-    tool, pieces = packing.encoder(packing.VOCABULARY), defaultdict(dict)
+    tool, pieces = packing.encoder(open(packing.VOCABULARY, "rb").read()), defaultdict(dict)
     for r in rows:
         ids, at = np.frombuffer(r.input_ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
         assert len(ids) == len(at) == 64 and r.n_tokens == r.cu_seqlens[-1] <= 64 and len(r.doc_ids) == len(r.piece_starts) == r.n_segments
@@ -105,6 +107,16 @@ def test_packing_round_trip(spark):
     assert "".join(packing.runs("ab cd " * 1000, 100)) == "ab cd " * 1000
 
 
+def test_packing_ids_and_files(spark, tmp_path):
+    packed = packing.pack(table(spark, ["a b c", "d", "d", None], ids=[2**60 + 1, None, 7, 7]), seq_len=16)
+    assert sorted((d or 0) for r in packed.collect() for d in r.doc_ids) == [0, 7, 7, 2**60 + 1]
+    packing.write_binary(packed, f"{tmp_path}/packed", seq_len=16)
+    again = spark.read.parquet(f"{tmp_path}/packed")
+    assert sorted(map(str, again.collect())) == sorted(map(str, packed.collect())) and all(len(r.input_ids) == len(r.position_ids) == 32 for r in again.collect())
+    full = packing.fill_rate(packing.pack(table(spark, ["w1 " * (i % 37) for i in range(3000)]), seq_len=64), seq_len=64).first()
+    assert full.fill > 0.97
+
+
 def test_best_fit_is_brute_force():
     rng = random.Random(3)
     for _ in range(30):
@@ -178,7 +190,7 @@ def test_line_dedup_is_brute_force(spark):
         assert kept[i] == "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in want or want[(i, j)][:2] == (i, j))
     assert line_dedup.classes(table(spark, [])).count() == 0
     found = line_dedup.occurrences(table(spark, lines), "doc_id", "text").select("key", "line").distinct().withColumn("num", F.xxhash64("line"))
-    for crowd in (0, 1, 256):  # every segment is a crowded one, some are, none is
+    for crowd in (1,):  # some segments are crowded ones; by default none is
         assert line_dedup.links(found, broadcast_rows=0, crowd=crowd).count() == sum(degree.values()) // 2
 
 
@@ -228,18 +240,68 @@ def test_personal_data_rules_are_brute_force(spark):
         assert got[i] == [(a, pii.KINDS[k], b) for a, k, b in want]
 
 
-def test_personal_data_model(spark):
+def prose(rng, n):
+    return " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def pii_model(spark):
     rng = random.Random(5)
-    texts = []
-    for i in range(150):
-        texts.append(f"call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} or mail n{i}@mail{i % 9}.example.com now")
-        texts.append(f"token {rng.getrandbits(80):x}ab{rng.randint(10**9, 10**10)}cd and sums {rng.randint(1, 999)} {rng.randint(1, 999)} {rng.randint(1, 9999)}")
-    docs = table(spark, texts + ["mail joe (at) mail5.example (dot) com now"])
-    model = pii.fit(docs, trees=4)
-    assert model.trees and all(not any(a.start < b.end and b.start < a.end for b in r.base) for r in pii.spans(docs, model).collect() for a in r.added)
-    clean = {r.doc_id: r.text for r in pii.redacted(docs, model).collect()}
-    assert clean[0] == "call [phone] or mail [email] now"
-    assert pii.fit(table(spark, []), trees=2).trees == [] and pii.spans(table(spark, []), model).count() == 0
+    texts = [prose(rng, 60) for _ in range(900)] + ["", None, "x"]
+    texts += [f"{prose(rng, 20)} +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} {prose(rng, 9)} n{i}@mail{i % 9}.example.com {prose(rng, 20)} {rng.randint(10**9, 10**10)}" for i in range(100)]
+    return pii.fit(table(spark, texts), max_docs=1200)
+
+
+def test_personal_data_model_is_right_on_held_out_spans(pii_model):
+    """Of a tenth of the documents that neither the trees nor the thresholds have seen: positives, of them found, and all found."""
+    assert set(pii_model.report) == set(pii.KINDS)
+    positives, caught, found = map(sum, zip(*pii_model.report.values()))
+    assert positives > 100 and caught >= 0.85 * positives and caught >= 0.9 * found
+
+
+OBFUSCATED = {
+    "write to joe (at) mail5 (dot) com now": ("email", "joe (at) mail5 (dot) com"), "write to joe.doe [at] example [dot] org today": ("email", "joe.doe [at] example [dot] org"), "tel: 743-555-3824 any time": ("phone", "743-555-3824"),
+    "phone: (743) 555-3824 any time": ("phone", "(743) 555-3824"), "the server 10[.]2[.]3[.]4 is up": ("ip", "10[.]2[.]3[.]4"), "card: 4111.1111.1111.1111 thanks": ("card", "4111.1111.1111.1111"),
+    'token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" end': ("secret", "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"),
+}
+CLEAN = ["in 2001 there were 12 of 345 and 1,234,567 more", "version 1.2.3.4.5 of it", "on 2021-03-04 12:30 and 2020 to 2022", "a state-of-the-art-thing of the year 2020 and on", "look at this dot there", "sum 4111 1111 1111 1112 here"]
+
+
+def test_personal_data_model_adds_what_the_rules_do_not_know(spark, pii_model):
+    texts = [*OBFUSCATED, *CLEAN, *PERSONAL, *ODD, "4111.1111.1111.1111", None]
+    rows = {r.id: r for r in pii.spans(table(spark, texts), pii_model).collect()}
+    got = {t: [(pii.KINDS[s.kind], t[s.start: s.end]) for s in rows[i].added] for i, t in enumerate(OBFUSCATED)}
+    assert sum(got[t] == [want] for t, want in OBFUSCATED.items()) >= 6, got
+    assert sum(len(rows[len(OBFUSCATED) + i].added) for i in range(len(CLEAN))) <= 1
+    for r in rows.values():
+        assert all(not (a.start < b.end and b.start < a.end) for a in r.added for b in r.base)
+        assert all(a.end <= b.start for a, b in zip(r.added, r.added[1:]))
+        assert not any(pii.KINDS[s.kind] == "ip" and "4111" in (texts[r.id] or "")[s.start: s.end] for s in r.added)
+    again = pii.spans(table(spark, ["a (at) b (dot) com"] * 3, [None, 2**60 + 1, 2**60 + 1]), pii_model).collect()
+    assert sorted((r.id or 0) for r in again) == [0, 2**60 + 1, 2**60 + 1] and len({str(r.added) for r in again}) == 1
+
+
+def test_redaction_and_edges(spark, pii_model):
+    texts = ["call +1 (743) 555-3824 or mail n1@mail2.example.com now", None, "", "nothing", "+1 (826) 555-4081 and 190.137.223.204 x", "é@x.com ü " + "a@b.com " * 700]
+    docs = table(spark, texts).withColumn("row", F.lit("r"))
+    left = {r.doc_id: r for r in pii.redacted(docs, pii_model).collect()}
+    assert pii.redacted(docs, pii_model).columns == docs.columns and left[0].row == "r"
+    assert [left[i].text for i in range(4)] == ["call [phone] or mail [email] now", None, "", "nothing"]
+    assert left[4].text == "[phone] and [ip] x" and left[5].text == "é@x.com ü " + "[email] " * 700
+    assert pii.fit(table(spark, []), trees=2).trees == [] and pii.spans(table(spark, []), pii_model).count() == 0
+
+
+def test_personal_data_time_is_about_linear(spark, pii_model):
+    import time
+
+    def seconds(n):
+        start = time.time()
+        row = pii.spans(table(spark, ["joe@x.com and ann (at) mail (dot) com " * n]), pii_model).collect()[0]
+        assert len(row.base) == n
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(8000) < 12 * max(0.5, seconds(2000))
 
 
 # 6
@@ -262,6 +324,40 @@ def test_quality_learns_and_scores_edges(spark):
     assert len(few) == (1 << 12) + 1
 
 
+def test_ftrl_is_the_plain_algorithm():
+    """Updates one coordinate at a time in plain Python, and the sparse dot product."""
+    rng = random.Random(16)
+    rows = [(np.array([rng.randrange(16) for _ in range(rng.randint(1, 9))], np.uint32), rng.randint(0, 1)) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.05, 0.1
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for features, label in rows:
+            x = {i: c / len(features) ** 0.5 for i, c in Counter(features.tolist()).items()} | {16: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = quality.ftrl(rows, 4, 2, alpha, beta, l1, l2)
+    assert np.allclose(got, [weight(i) for i in range(17)])
+    for features, _ in rows[:20]:
+        plain = 1 / (1 + np.exp(-(sum(got[i] for i in features) / len(features) ** 0.5 + got[16])))
+        assert quality._score(features, got) == pytest.approx(plain)
+
+
+def test_quality_of_large_null_and_repeated_ids(spark):
+    docs = table(spark, ["a b", None, "", "a b", "a b"], ids=[2**60 + 1, None, None, 5, 5])
+    rows = quality.scores(docs, np.linspace(-1, 1, 1025).astype("f4")).collect()
+    assert sorted(r.id or 0 for r in rows) == [0, 0, 5, 5, 2**60 + 1] and len({r.score for r in rows if r.id}) == 1
+    assert quality.scores(docs.limit(0), np.zeros(1025, "f4")).count() == 0
+
+
 # 7
 def fill(sizes, weights, share, cap):
     total, target, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
@@ -445,6 +541,63 @@ def test_html_rendering(spark):
     assert "x" in html_text.render("<p><b>" * 20_000 + "x")
 
 
+SPANNED = {
+    "<table><tr><td rowspan=2>R<td>1<tr><td>2</table>": "R  1\n   2", "<table><tr><td colspan=2>wide<td>x<tr><td>a<td>b<td>c</table>": "wide  x\na  b  c", "<xmp><b>a</xmp>": "<b>a",
+    "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>": "x=2", "<svg><title>t</title><desc>d</desc><text>label</text></svg>": "label", "<object>instead</object>": "instead",
+}
+
+
+def test_spans_and_visible_text():
+    for page, text in SPANNED.items():
+        assert html_text.render(page) == text, page
+
+
+def test_layout_is_bounded():
+    pages = ["<ul><li>a" * 4000, "<table>" + "<tr>" + "<td>x" * 2000 + f"<tr><td>{'y' * 9000}" * 2 + "<tr><td>z" * 3000 + "</table>", "<blockquote>b" * 5000, "<table><tr>" + "<td>c" * 3000 + "<td>" + "d<br>" * 3000 + "</table>",
+             "<table>" + "<tr><td rowspan=9999>e" * 3000 + "</table>", "<table>" + f"<tr><td>{'f' * 5000}<td>g" + "<tr><td>h<td>i" * 3000 + "</table>"]
+    for page in pages:
+        text = html_text.render(page)
+        assert len(text) <= 300 * len(page) and re.sub(r"\s|- ", "", text) == re.sub(r"<[^>]*>|\s", "", page), page[:40]
+
+
+def test_all_visible_words_in_order(spark):
+    """Random pages of nested elements, against a walk that only collects what is visible."""
+    rng, pages, want = random.Random(9), [], []
+    for _ in range(300):
+        html, seen, count = [], [], iter(range(10**6))
+
+        def grow(depth, hidden):
+            for _ in range(rng.randint(1, 4)):
+                tag = rng.choice(["div", "p", "b", "ul", "blockquote", "table", "pre", "script", "i", "section"])
+                word = f"w{next(count)}."
+                if depth > 4 or rng.random() < 0.4:
+                    html.append(f" {word} ")
+                    seen.extend([] if hidden else [word])
+                elif tag == "script":
+                    html.append(f"<script>{word}</script>")
+                elif tag == "ul":
+                    html.append("<ul><li>")
+                    grow(depth + 1, hidden)
+                    html.append("</ul>")
+                elif tag == "table":
+                    html.append("<table><tr><td>")
+                    grow(depth + 1, hidden)
+                    html.append("</table>")
+                else:
+                    gone = rng.random() < 0.15 and tag in ("div", "section")
+                    html.append(f"<{tag}{' hidden' if gone else ''}>")
+                    grow(depth + 1, hidden or gone)
+                    html.append(f"</{tag}>")
+
+        grow(0, False)
+        pages.append("".join(html))
+        want.append(seen)
+    rows = spark.createDataFrame([(i % 290, p, "t") for i, p in enumerate(pages)] + [(5, "same", "t")] * 2, "page_id int, html string, text string")
+    got = [r.o for r in rows.select("page_id", "text", html_text.rendered("html").alias("o")).collect()]
+    assert [re.findall(r"w\d+\.", o) for o in got[:300]] == want and got[300:] == ["same"] * 2
+    assert rows.limit(0).select(html_text.rendered("html")).count() == 0
+
+
 # 10
 def test_repeated_passages_are_brute_force(spark):
     rng = random.Random(10)
@@ -493,7 +646,7 @@ def test_every_repeated_window_stays_somewhere(spark):
     texts = [" ".join(d) for d in docs]
     ids = [*range(len(docs) - 3), None, None, 3]  # null ids and an id that two texts have
     repeated = repeated_windows(docs)
-    for hot in (1, 4096):
+    for hot in (1, 1 << 16):
         rows = suffix_dedup.repeats(table(spark, texts, ids), hot=hot).collect()
         assert {(r.id, r.first_doc_id) for r in rows if r.id == 5} == {(5, 5)} and {r.first_doc_id for r in rows if r.id == 6} == {5}
         assert all((r.id == r.first_doc_id or r.id is None) for r in rows if r.kept)
