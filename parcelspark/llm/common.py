@@ -15,9 +15,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); one of our own where it is unset, as in tests."""
+    """The folder that all executors share (``spark.checkpoint.dir``); one of our own where it is unset in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return found
 
@@ -83,7 +85,8 @@ def ascii_words(c: Column) -> Column:
 
 
 def components(edges: DataFrame, name: str = "classes") -> DataFrame:
-    """Connected classes of an undirected graph: (``id``, ``root``), root being the smallest id of the class.
+    """Connected classes of an undirected graph: (``id``, ``root``), root being the smallest id of the class, for all
+    ids but the roots themselves.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type. Every round hooks each node's neighbours to the least
     node around it and then shortcuts parents (large star and small star); each round is written to the shared folder.
