@@ -12,6 +12,7 @@ from ..operators.matching import cosine
 from ..sources.scratch import folder
 from ..sources.views import view, with_views
 from ..streaming import arrivals
+from .explore import NORMAL
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -206,9 +207,10 @@ def ingest_leases(spark, sf_dir):
     return flow.ingested(_cells(spark, sf_dir), _places(spark, sf_dir), None)["LEASE"].drop("created_at")
 
 
-@query()
+@query(f"""WITH a AS (SELECT o_orderkey, CAST(100 + o_custkey % 900 AS VARCHAR) || ' Airport Road, Houston, TX ' || CAST(77000 + o_custkey % 40 AS VARCHAR) AS address FROM orders)
+    SELECT min(o_orderkey) AS new_id, {NORMAL.format(c='address')} AS normalized FROM a GROUP BY 2""")
 def stream_ingest_dedupe(spark, sf_dir):
-    """Orders arrive as listings, file by file; of equal addresses one is stored."""
+    """Orders arrive as listings, file by file; of equal addresses one is stored, of those in one file the least order. The given table is one file."""
     schema = view(spark, sf_dir, "orders").schema
     address = ["o_orderkey AS new_id", "concat(100 + o_custkey % 900, ' Airport Road, Houston, TX ', 77000 + o_custkey % 40) AS address"]
     stored, checkpoint = folder(spark, "stream-store"), folder(spark, "stream-checkpoint")
