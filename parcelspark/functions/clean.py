@@ -66,7 +66,11 @@ def text_value(c: Column, compat: bool = False) -> Column:
 def normalize_address(c: Column) -> Column:
     c = F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"(?U)[^\w\s]", "")
     c = F.regexp_replace(c, r"\s+", " ")
-    return reduce(lambda a, x: F.regexp_replace(a, rf"\b{x[0]}\b", x[1]), ABBREVIATIONS, c)
+    # plain addresses take one pass over their words; others have word boundaries besides spaces
+    short = F.create_map(*[F.lit(w) for pair in ABBREVIATIONS for w in pair])
+    by_word = F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
+    by_pattern = reduce(lambda a, x: F.regexp_replace(a, rf"\b{x[0]}\b", x[1]), ABBREVIATIONS, c)
+    return F.when(c.rlike("[^a-z0-9_ ]"), by_pattern).otherwise(by_word)
 
 
 def extract_zip(c: Column, last: bool = False) -> Column:
