@@ -1,18 +1,24 @@
 """Line deduplication by a segment-partition edit join, DataFrame functions only.
 
 Lines (split at line feeds, white space at both ends deleted) are duplicates when equal, or when both have ``MIN_CHARS`` characters or more and lie
-within ``EDITS`` = tau edits. The join: a line of length n is cut into tau + 1 segments, of which tau edits leave one whole; so a
-line of length m finds it by that segment among its own substrings, for each n from m - tau to m and only at the starts that tau edits allow
-(those that leave at most i - 1 edits before the i-th segment and tau + 1 - i after it). Segments and substrings meet in an equi-join on a 64-bit hash of length, segment number
-and characters, under the bound that tau edits change the counts of letters by 2 tau at most. Candidates are then verified by edit distance, computed in a band of 2 tau + 1 diagonals with bit-parallel column steps; links make connected classes, of which the first line
-(least document id, then line number) stays.
+within ``EDITS`` = tau edits. Exact copies are combined first, on the map side too, so a line that a third of all documents hold is one row from there on; each
+different line gets a number of its own. The join:
 
-Exact copies are combined first, on the map side too, so a line that a third of all documents hold is one row in the join; joins of its
-occurrences with its class are ones that adaptive execution splits. The texts of candidates are fetched by a broadcast of their hashes if there are
-at most ``broadcast_rows`` (counted), and by a shuffled join beyond.
+1. A line of length n is cut into tau + 1 segments, of which tau edits leave one whole. So a line of length m finds it by that segment among
+   its own substrings, for each n from m - tau to m and only at the starts that tau edits allow (those that leave at most i - 1 edits before the
+   i-th segment and tau + 1 - i after it). Segments and substrings meet in an equi-join on a hash of segment number and characters.
+2. A segment that more than ``CROWD`` lines have, such as the fixed part of a template, would bring all of them together. What is left of both lines without
+   it lies within tau edits too; so there the rests are cut and probed in the same way, and lines meet by both hashes.
+3. Of lines that meet, lengths must be within tau, and tau edits change the counts of letters by 2 tau at most (a bound that crowds keep before they
+   meet). The rest is verified by edit distance, computed in a band of 2 tau + 1 diagonals with bit-parallel column steps.
+4. Links make connected classes, of which the first line (least document id, then line number) stays.
+
+What lines share with many others (first and last, class) comes back to their occurrences by joins that adaptive execution splits. The lines of
+candidates are fetched by a broadcast of their numbers if there are at most ``broadcast_rows`` (counted), and by a shuffled join beyond.
 
 Defined results: null texts have no lines; blank lines are never duplicates and stay; a null id orders last. Repeated documents count as further
-occurrences at the same place, of which all or none stay. An empty table gives an empty result; further columns are ignored by ``classes`` and kept by ``drop_duplicate_lines``.
+occurrences at the same place, of which all or none stay. An empty table gives an empty result; further columns are ignored by ``classes`` and kept by
+``drop_duplicate_lines``, whatever their names. Lines, pairs and links are written to the shared folder while the plan is made.
 """
 
 from __future__ import annotations
@@ -20,10 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, row_key, written
+from .common import components, digest, free_names, row_key, written
 
 EDITS, MIN_CHARS = 2, 20
-LETTERS = "etaonirshd"
+#: Lines that may share a segment before what is left of them is compared as well; any value gives the same links.
+CROWD = 64
+#: Counted modulo 8, three bits each.
+LETTERS = "etaonirshdlucmfpgwby "
 TRIMMED = " \t\n\x0b\x0c\r"
 
 
@@ -31,7 +40,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> D
     """``id, line_no, line, key`` and more columns of ``docs``, of every line that is not blank."""
     lines = docs.select(F.col(id_col).alias("id"), *more, F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
     lines = lines.withColumn("line", F.btrim("line", F.lit(TRIMMED))).where("line <> ''")
-    return lines.withColumn("key", F.unhex(F.md5("line")))
+    return lines.withColumn("key", digest(F.col("line")))
 
 
 def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
@@ -42,15 +51,13 @@ def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
     return start.cast("int"), (short + (F.lit(tau + 1 - i) < longer).cast("int")).cast("int")
 
 
-def _segments(line: Column, n: Column, tau: int) -> Column:
-    out = []
-    for i in range(1, tau + 2):
-        start, size = _segment(n, i, tau)
-        out.append(F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)))
-    return F.array(*out)
+def _segments(line: Column, n: Column, tau: int) -> list[tuple[Column, Column, Column]]:
+    """Number, start and length of each segment of a line of n characters."""
+    return [(F.lit(i), *_segment(n, i, tau)) for i in range(1, tau + 2)]
 
 
-def _substrings(line: Column, m: Column, tau: int, least: int) -> Column:
+def _substrings(m: Column, tau: int, least: int) -> list[tuple[Column, Column, Column, Column]]:
+    """Whether to probe, and number, start and length, of the substrings of a line of m characters that may be a segment of a line of up to m characters."""
     out = []
     for delta in range(tau + 1):
         n = m - delta
@@ -58,20 +65,39 @@ def _substrings(line: Column, m: Column, tau: int, least: int) -> Column:
             start, size = _segment(n, i, tau)
             for shift in range(max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
                 at = start + shift
-                out.append(F.when((n >= least) & (at >= 0) & (at + size <= m), F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+                out.append(((n >= least) & (at >= 0) & (at + size <= m), F.lit(i), at, size))
+    return out
+
+
+def _hash(line: Column, i: Column, at: Column, size: Column) -> Column:
+    return F.xxhash64(i, F.substring(line, at + 1, size))
+
+
+def _pieces(line: Column, n: Column, tau: int) -> Column:
+    return F.array(*[_hash(line, *p) for p in _segments(line, n, tau)])
+
+
+def _probes(line: Column, m: Column, tau: int, least: int) -> Column:
+    # takes out repeated hashes as well as nulls, and has generated code, unlike a filter
+    return F.array_except(F.array(*[F.when(ok, _hash(line, *p)) for ok, *p in _substrings(m, tau, least)]), F.array(F.lit(None).cast("bigint")))
+
+
+def _rests(line: Column, where: list, whole: Column) -> Column:
+    """Array of struct(h, rest): each piece's hash and the line without that piece."""
+    rest = lambda at, size: F.concat(F.substring(whole, 1, at), F.substring(whole, at + size + 1, F.length(whole)))
+    return F.array_compact(F.array(*[F.when(ok, F.struct(_hash(line, i, at, size).alias("h"), rest(at, size).alias("rest"))) for ok, i, at, size in where]))
 
 
 def letters(line: Column, n: Column) -> Column:
-    """How often ten frequent letters occur, modulo 64, six bits each."""
-    return sum(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 64).cast("bigint") * (1 << 6 * i) for i, c in enumerate(LETTERS))
+    """How often frequent letters occur."""
+    return sum((((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 8).cast("bigint") * (1 << 3 * i) for i, c in enumerate(LETTERS)), F.lit(0).cast("bigint"))
 
 
 def letters_apart(a: Column, b: Column) -> Column:
     """A lower bound on the sum of differences of those counts; an edit changes the sum by 2 at most."""
     def one(i: int) -> Column:
-        d = F.abs(F.shiftright(a, 6 * i).bitwiseAND(F.lit(63)) - F.shiftright(b, 6 * i).bitwiseAND(F.lit(63)))
-        return F.least(d, 64 - d)
+        d = F.abs(F.shiftright(a, 3 * i).bitwiseAND(F.lit(7)) - F.shiftright(b, 3 * i).bitwiseAND(F.lit(7)))
+        return F.least(d, 8 - d)
 
     return sum((one(i) for i in range(1, len(LETTERS))), one(0))
 
@@ -119,58 +145,96 @@ def _within(a: Column, b: Column, tau: int) -> Column:
     return run["score"] <= tau
 
 
-def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """Pairs ``a, b`` of keys of different lines within ``edits``."""
-    if min_chars <= edits + 1:
-        raise ValueError("lines must be longer than the number of segments")
-    lines = occurrences(docs, id_col, text_col).where(F.length("line") >= min_chars)
-    distinct = lines.select("line").distinct().withColumn("short", F.xxhash64("line")).withColumn("n", F.length("line"))
-    distinct = distinct.withColumn("bag", letters(F.col("line"), F.col("n")))
+def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int) -> DataFrame:
+    """``x, y``: numbers of lines that may be within ``edits``; each pair once."""
     line, n = F.col("line"), F.col("n")
-    parts = distinct.select("short", "bag", F.explode(_segments(line, n, edits)).alias("h"))
-    probes = distinct.select(F.col("short").alias("other"), F.col("bag").alias("other_bag"), F.explode(_substrings(line, n, edits, min_chars)).alias("h"))
-    # a bound that the edit distance keeps: lines that only share a segment do not leave the join
-    near = letters_apart(F.col("bag"), F.col("other_bag")) <= 2 * edits
-    pairs = written(parts.join(probes, "h").where((F.col("short") != F.col("other")) & near)
-                    .select(F.least("short", "other").alias("x"), F.greatest("short", "other").alias("y")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("x").alias("short")).union(pairs.select("y")).distinct()
+    names = ["num", "n"]
+    parts = lines.select(*names, F.explode(_pieces(line, n, edits)).alias("h"))
+    probes = lines.select(*names, F.explode(_probes(line, n, edits, min_chars)).alias("h"))
+    heavy = written(parts.groupBy("h").count().where(F.col("count") > crowd).select("h"), "line-crowds")
+
+    def together(x: DataFrame, y: DataFrame, *on: str, near: bool = False) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        longer = F.col("y.n") - F.col("x.n")
+        # of lines of one length each finds the other
+        bound = longer.between(0, edits) & ((longer > 0) | (F.col("x.num") < F.col("y.num")))
+        if near:
+            bound = bound & (letters_apart(F.col("x.bag"), F.col("y.bag")) <= 2 * edits)
+        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+        for c in same:
+            bound = c & bound
+        return x.join(y, bound).select(F.col("x.num").alias("x"), F.col("y.num").alias("y"))
+
+    if heavy.isEmpty():
+        return together(parts, probes, "h").distinct()
+    small = F.broadcast(heavy) if heavy.count() <= 1_000_000 else heavy
+    light = together(parts.join(small, "h", "left_anti"), probes, "h")
+    rest, r = F.col("rest"), F.length("rest")
+    held = [*names, "bag", "h"]
+    # the lines that have a crowded segment, and those of lengths that may find one
+    owners = parts.join(small, "h").select("num", "n")
+    lengths = owners.select(F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("n")).distinct()  # one row for each length at most
+    finders = lines.join(F.broadcast(lengths), "n").select(*names, F.explode(_probes(line, n, edits, min_chars)).alias("h")).join(small, "h").select("num")
+    some = written(lines.join(owners.select("num").union(finders).distinct(), "num"), "line-crowded")
+
+    def split(where: list) -> DataFrame:
+        """The crowded pieces only, with what is left of their lines and the letters of those."""
+        found = some.select(*names, "line", F.explode(_rests(line, where, line)).alias("p")).select(*names, "line", "p.h", "p.rest").join(small, "h")
+        return found.select(*names, letters(line, n).alias("bag"), "h", "rest")
+
+    first = split([(F.lit(True), *p) for p in _segments(line, n, edits)]).select(*held, F.explode(_pieces(rest, r, edits)).alias("g"))
+    second = split(_substrings(n, edits, min_chars)).select(*held, F.explode(_probes(rest, r, edits, 0)).alias("g")).distinct()
+    return light.union(together(first, second, "h", "g", near=True)).distinct()
+
+
+def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = 500_000, crowd: int = CROWD) -> DataFrame:
+    """Pairs ``a, b`` of keys of different lines within ``edits``; ``lines`` has ``num, key, line`` of each line once."""
+    if min_chars < 2 * (edits + 1) + edits:
+        raise ValueError("lines must be longer than twice the number of segments and edits")
+    lines = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    pairs = written(_met(lines, edits, min_chars, crowd), "line-pairs")
+    wanted = pairs.select(F.col("x").alias("num")).union(pairs.select("y")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    texts = written(lines.withColumn("short", F.xxhash64("line")).join(wanted, "short").select("short", "key", "line").distinct(), "line-texts")
-    both = pairs.join(texts.select(F.col("short").alias("x"), F.col("key").alias("a"), F.col("line").alias("a_line")), "x") \
-        .join(texts.select(F.col("short").alias("y"), F.col("key").alias("b"), F.col("line").alias("b_line")), "y") \
-        .where(F.abs(F.length("a_line") - F.length("b_line")) <= edits)
-    swap = F.length("a_line") < F.length("b_line")
-    long, short = F.when(swap, F.col("b_line")).otherwise(F.col("a_line")), F.when(swap, F.col("a_line")).otherwise(F.col("b_line"))
-    chars = both.select("a", "b", F.split(long, "").alias("long"), F.split(short, "").alias("shorter"))
+    texts = written(lines.join(wanted, "num").select("num", "key", "line", letters(F.col("line"), F.col("n")).alias("bag")), "line-texts")
+    side = lambda num, key, line, bag: texts.select(F.col("num").alias(num), F.col("key").alias(key), F.col("line").alias(line), F.col("bag").alias(bag))
+    both = pairs.join(side("x", "a", "shorter", "x_bag"), "x").join(side("y", "b", "long", "y_bag"), "y").where(letters_apart(F.col("x_bag"), F.col("y_bag")) <= 2 * edits)
+    chars = both.select("a", "b", F.split("long", "").alias("long"), F.split("shorter", "").alias("shorter"))
     return chars.where(within(F.col("long"), F.col("shorter"), edits)).select("a", "b")
 
 
 def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """One row per line that is not blank: ``id, line_no, class_id, class_line_no`` (where its class first occurs), ``class_size`` (occurrences),
     ``n_links`` (different lines linked with it), ``kept``. With ``by_row`` also ``row``, a key of id and text, and of rows that share an id only one keeps the line."""
-    pairs = written(links(docs, edits, min_chars, id_col, text_col), "line-links")
+    row = ["row"] if by_row else []
+    found = occurrences(docs, id_col, text_col, *([row_key(id_col, text_col).alias("row")] if by_row else []))
+    # numbered in the written table, so that a number never changes
+    lines = found.groupBy("key", "line").agg(F.count("*").alias("times")).withColumn("num", F.monotonically_increasing_id())
+    lines = written(lines, "line-texts")
+    pairs = written(links(lines.select("num", "key", "line"), edits, min_chars), "line-links")
     roots = components(pairs, "line-classes").withColumnRenamed("id", "key")
     degree = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
-    row = ["row"] if by_row else []
-    lines = occurrences(docs, id_col, text_col, *([row_key(id_col, text_col).alias("row")] if by_row else [])).select("id", "line_no", "key", *row)
+    linked = degree.join(roots, "key", "left")
+    # lines that occur once and are linked with none are their own class
+    shared = lines.select("key", "times").join(linked, "key", "left").where("times > 1 or n_links > 0") \
+        .select("key", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = found.select("id", "line_no", *row, "key").join(shared, "key", "left").drop("key")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "line_no", *row)
-    exact = lines.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    near = exact.join(roots, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    whole = near.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size")).where("class_size > 1")
-    named = near.select("key", "root", "n_links").join(whole, "root").select("key", "n_links", "first", "class_size")
-    found = lines.join(named, "key", "left")
+    named = written(named, "line-named")
+    whole = named.where("root is not null").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
+    rows = named.join(written(whole, "line-whole"), "root", "left")  # written, so that a class with many lines can be split in the join
     alone = F.col("first").isNull()
     same = alone | (F.col("row") == F.col("first.row")) if by_row else F.lit(True)
-    return found.select("id", "line_no", *row, same.alias("same"), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
-                        F.when(alone, F.col("line_no")).otherwise(F.col("first.line_no")).alias("class_line_no"),
-                        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")) \
+    return rows.select("id", "line_no", *row, same.alias("same"), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+                       F.when(alone, F.col("line_no")).otherwise(F.col("first.line_no")).alias("class_line_no"),
+                       F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")) \
         .withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")) & (F.col("line_no") == F.col("class_line_no")) & F.col("same")).drop("same")
 
 
 def drop_duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that do not stay; all columns stay, null texts stay null. Rows are told apart by id and text."""
-    gone = classes(docs, edits, min_chars, id_col, text_col, by_row=True).where("not kept").groupBy(F.col("row").alias("__row")) \
-        .agg(F.collect_set("line_no").alias("__gone"))  # at most one entry for each line of a document
-    rows = docs.withColumn("__row", row_key(id_col, text_col)).join(gone, "__row", "left")
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    return rows.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
+    row, gone = free_names(docs, "row", "gone")
+    lost = classes(docs, edits, min_chars, id_col, text_col, by_row=True).where("not kept").groupBy(F.col("row").alias(row)) \
+        .agg(F.collect_set("line_no").alias(gone))  # at most one entry for each line of a document
+    rows = docs.withColumn(row, row_key(id_col, text_col)).join(lost, row, "left")
+    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    return rows.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
