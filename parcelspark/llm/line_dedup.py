@@ -145,7 +145,7 @@ def _within(a: Column, b: Column, tau: int) -> Column:
     return run["score"] <= tau
 
 
-def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int) -> DataFrame:
+def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int, broadcast_rows: int = 500_000) -> DataFrame:
     """``x, y``: numbers of lines that may be within ``edits``; each pair once."""
     line, n = F.col("line"), F.col("n")
     names = ["num", "n"]
@@ -167,7 +167,7 @@ def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int) -> DataFrame:
 
     if heavy.isEmpty():
         return together(parts, probes, "h").distinct()
-    small = F.broadcast(heavy) if heavy.count() <= 1_000_000 else heavy
+    small = F.broadcast(heavy) if heavy.count() <= broadcast_rows else heavy
     light = together(parts.join(small, "h", "left_anti"), probes, "h")
     rest, r = F.col("rest"), F.length("rest")
     held = [*names, "bag", "h"]
@@ -175,7 +175,8 @@ def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int) -> DataFrame:
     owners = parts.join(small, "h").select("num", "n")
     lengths = owners.select(F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("n")).distinct()  # one row for each length at most
     finders = lines.join(F.broadcast(lengths), "n").select(*names, F.explode(_probes(line, n, edits, min_chars)).alias("h")).join(small, "h").select("num")
-    some = written(lines.join(owners.select("num").union(finders).distinct(), "num"), "line-crowded")
+    few = written(owners.select("num").union(finders).distinct(), "line-crowded")
+    some = written(lines.join(F.broadcast(few) if few.count() <= broadcast_rows else few, "num"), "line-crowded")
 
     def split(where: list) -> DataFrame:
         """The crowded pieces only, with what is left of their lines and the letters of those."""
@@ -192,7 +193,7 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broa
     if min_chars < 2 * (edits + 1) + edits:
         raise ValueError("lines must be longer than twice the number of segments and edits")
     lines = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
-    pairs = written(_met(lines, edits, min_chars, crowd), "line-pairs")
+    pairs = written(_met(lines, edits, min_chars, crowd, broadcast_rows), "line-pairs")
     wanted = pairs.select(F.col("x").alias("num")).union(pairs.select("y")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     texts = written(lines.join(wanted, "num").select("num", "key", "line", letters(F.col("line"), F.col("n")).alias("bag")), "line-texts")
