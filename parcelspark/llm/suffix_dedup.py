@@ -1,4 +1,7 @@
-"""Repeated passages by windows at minimisers.
+"""Repeated passages by a sparse suffix array: suffixes at minimisers, sorted by their first words, compared with their neighbours and extended both ways.
+
+Comparing whole neighbours alone loses repeats: the neighbour with the longest match to the right need not be the one with 50 words in all. So a suffix is extended
+to the left and right into the windows that it stands for, the sorted neighbours are the equal windows of a gram, and adjacent windows join into spans.
 
 A ``GRAM``-word gram is an anchor if its hash is the least (leftmost on ties) of the grams in some window of ``MIN_WORDS`` words. Which gram that is depends
 on the window's words alone, so every window has one anchor, and equal windows have equal anchors at the same place. Then:
@@ -31,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import free_names, row_key, written
 
 WORD = re.compile(r"\w+")
 MIN_WORDS, GRAM = 50, 20
-HOT = 4096
+#: Places of a gram that one task brings together: about a million window hashes, some 100 MB while they are sorted. Any value gives the same spans.
+HOT = 1 << 16
 MEMO = 300_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -212,7 +216,8 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated windows, but for each window's keeper, which has it whole; all columns stay."""
     spans = repeats(docs, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kept")).alias("spans"), F.bool_and("kept").alias("whole")).where("not whole").drop("whole")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    own, cut = free_names(docs, "key", "cut")
+    keyed = docs.withColumn(own, row_key(id_col, text_col))
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row_key(id_col, text_col).alias("key")).dropDuplicates(["key"])
-    new = text.join(spans, "key").mapInPandas(_cut, "text string, key binary").select(F.col("key").alias("__key"), F.col("text").alias("__text"))
-    return keyed.join(new, "__key", "left").withColumn(text_col, F.coalesce("__text", F.col(text_col))).select(*docs.columns)
+    new = text.join(spans, "key").mapInPandas(_cut, "text string, key binary").select(F.col("key").alias(own), F.col("text").alias(cut))
+    return keyed.join(new, own, "left").withColumn(text_col, F.coalesce(cut, F.col(text_col))).select(*docs.columns)
