@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, minhash, mixing, packing, pii, quality, suffix_dedup
+from . import alignment, decontaminate, exact_dedup, hard_negatives, html_text, line_dedup, minhash, mixing, packing, pii, quality, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("end") - F.col("start")).cast("long").alias("n_words"), "first_doc_id", "kept")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of each document under both tokenizers; runs jobs (see ``alignment.aligned``)."""
+    return alignment.aligned(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors: ids divisible by 100; labels of ids divisible by 7 are one further. Runs jobs (see ``hard_negatives.mine``)."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: ids divisible by 50. Runs a job (see ``topk.search``)."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -77,8 +94,14 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_html_text": op9_html_text,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_topk": op13_exact_topk,
 }
 
+_WHOLE = """list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
 ORACLE = {
     "op1_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c,
@@ -102,4 +125,16 @@ ORACLE = {
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_hard_negatives": f"""
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AND label IS NOT NULL),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.w, b.w) AS BIGINT) AS score FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10""",
+    "op13_exact_topk": f"""
+        WITH v AS (SELECT vec_id, {_WHOLE}),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.w, b.w) AS BIGINT) AS score FROM v AS a JOIN v AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
 }
