@@ -17,6 +17,8 @@ DATE_FORMATS = [(r"^\d{4}-\d{2}-\d{2}( .*)?$", "yyyy-MM-dd", 10), (r"^\d{1,2}/\d
                 (r"^[A-Za-z]{3}-\d{2}$", "MMM-yy", 0), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", 0)]
 #: White space as a spreadsheet holds it, no-break spaces included.
 BLANK = "[\\s\u00a0]+"
+#: Every character that counts as white space in text: Unicode's, and the separators 1C to 1F.
+SPACES = r"[\p{IsWhite_Space}\x1c-\x1f]"
 
 
 def stripped(c: Column) -> Column:
@@ -64,12 +66,13 @@ def text_value(c: Column, compat: bool = False) -> Column:
 
 
 def normalize_address(c: Column) -> Column:
-    c = F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"(?U)[^\w\s]", "")
-    c = F.regexp_replace(c, r"\s+", " ")
+    """Lower case without punctuation, runs of any white space as one space, abbreviated. White space at the ends goes first, as punctuation beside it may not."""
+    c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"^{SPACES}+|{SPACES}+$", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_" + SPACES[1:], ""), f"{SPACES}+", " ")
     # plain addresses take one pass over their words; others have word boundaries besides spaces
     short = F.create_map(*[F.lit(w) for pair in ABBREVIATIONS for w in pair])
     by_word = F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
-    by_pattern = reduce(lambda a, x: F.regexp_replace(a, rf"\b{x[0]}\b", x[1]), ABBREVIATIONS, c)
+    by_pattern = reduce(lambda a, x: F.regexp_replace(a, rf"(?U)\b{x[0]}\b", x[1]), ABBREVIATIONS, c)
     return F.when(c.rlike("[^a-z0-9_ ]"), by_pattern).otherwise(by_word)
 
 

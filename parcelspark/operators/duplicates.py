@@ -1,26 +1,33 @@
-"""Duplicate addresses: exact, by edit distance, and by matching-block ratio, all as blocked joins.
-
-Both fuzzy joins block on shared q-grams without loss. Edit distance: strings of lengths n and m within k edits share at least
-max(n, m) - q + 1 - k q of their q-grams. Ratio r = 2 M / (n + m): the insert/delete distance is at most (1 - r)(n + m), and each such edit
-destroys at most q q-grams; the lengths' ratio is at least r / (2 - r). Only the rarest q-grams of a listing are probed, as many as must hold one that is shared. Pairs too short
-for the bound meet by length.
+"""Duplicate addresses: exact, by edit distance, and by matching-block ratio; all pairs, or the best match of each listing.
+
+Both fuzzy measures bound how many characters two addresses must have in common, place aside: a ratio r = 2 M / (n + m) needs M >= r (n + m) / 2,
+an edit distance d <= (1 - r) max(n, m) needs max(n, m) - d. Candidates come down a tree of counts: lengths, then counts of a few
+classes of characters, then of more classes, then of single characters. What two addresses have in common under coarse classes is
+no less than under finer ones, so a pair of counts that falls short takes all its addresses with it; pairs that hold are joined with
+what is below them, by equality of the counts above. There are few distinct counts near the top however many addresses there are, no address pair is
+written before its counts hold, and every threshold and length goes the same way. Distinct addresses are compared once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import normalize_address
+from ..sources.scratch import kept
 
 # Fixed value: the ratio from which two addresses count as one.
 THRESHOLD = 0.85
-Q = 3
+_LETTERS, _DIGITS, _VOWELS = "abcdefghijklmnopqrstuvwxyz", "0123456789", "aeiou"
+_CONSONANTS = "".join(c for c in _LETTERS if c not in _VOWELS)
+#: Classes of characters, level by level, each a refinement of the one before; what is in no class is one more.
+LEVELS = [[_DIGITS, _VOWELS, _CONSONANTS], [_DIGITS[:5], _DIGITS[5:], "ae", "iou", *[_CONSONANTS[i::6] for i in range(6)], " "], [*_DIGITS, *_LETTERS, " "]]
+#: Candidates of a listing are dealt into so many groups, so that one listing is never one task.
+SALTS = 8
 
 
 def _normalized(df: DataFrame, key: str) -> DataFrame:
@@ -28,47 +35,59 @@ def _normalized(df: DataFrame, key: str) -> DataFrame:
     return out.where("norm <> ''").withColumn("n", F.length("norm"))
 
 
-def grams(c: Column, q: int = Q) -> Column:
-    """Positional occurrences of q-grams: the k-th occurrence of a gram is an element of its own, so counts matter."""
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - q + 1)), lambda i: F.substring(c, i, q))
-    return F.transform(at, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(at, 1, i), lambda x: x == g))))
-
-
 def exact(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Pairs ``new_id, existing_id`` with the same normalised address."""
     return _normalized(new, "new_id").select("new_id", "norm").join(_normalized(stored, "id").select(F.col("id").alias("existing_id"), "norm"), "norm").drop("norm")
 
 
-def _candidates(new: DataFrame, stored: DataFrame, most_edits: Column, least_ratio: float) -> DataFrame:
-    """Pairs that may be within ``most_edits`` (a function of n, the new address's length). Distinct addresses are compared once."""
-    fresh = new.select(F.col("norm").alias("a"), F.col("n").alias("na")).distinct().withColumn("edits", most_edits)
-    held = stored.select(F.col("norm").alias("b"), F.col("n").alias("nb")).distinct()
-    stored_grams = held.select("b", "nb", F.explode(grams(F.col("b"))).alias("g"))
-    rarity = stored_grams.groupBy("g").agg(F.count("*").alias("df"))
-    probes = fresh.select("a", "na", "edits", F.explode(grams(F.col("a"))).alias("g")).join(rarity, "g", "left")
-    # of n - q + 1 grams at most edits * q are lost: one of the first edits * q + 1 is shared, in order of rarity; what no stored address has comes first
-    nth = F.row_number().over(W.partitionBy("a").orderBy(F.col("df").asc_nulls_first(), "g"))
-    probes = probes.withColumn("nth", nth).where(F.col("nth") <= F.col("edits") * Q + 1).where("df is not null")
-    band = F.least("na", "nb") >= least_ratio * F.greatest("na", "nb")
-    by_gram = probes.join(stored_grams, "g").where(band).select("a", "b")
-    short = fresh.where(F.col("na") - Q + 1 <= F.col("edits") * Q)
-    by_length = short.withColumn("nb", F.explode(F.sequence(F.ceil(F.col("na") * least_ratio).cast("int"), F.ceil(F.col("na") / least_ratio).cast("int")))) \
-        .join(held, "nb").where(band).select("a", "b")
-    return by_gram.union(by_length).distinct()
+def _counted(distinct: DataFrame, text: str) -> DataFrame:
+    """With counts per class, ``<text>1`` to ``<text>3``, and the length, ``n<text>``; written, as every level reads it."""
+    c, n = F.col(text), F.length(text)
+    of = lambda classes: [n - F.length(F.translate(c, chars, "")) for chars in classes]
+    counts = {f"{text}{k}": F.array(*of(classes), F.length(F.translate(c, "".join(classes), ""))) for k, classes in enumerate(LEVELS, 1)}
+    return kept(distinct.withColumns({f"n{text}": n, **counts}), f"addresses-{text}")
+
+
+def _in_common(level: int) -> Column:
+    """How many characters two rows of counts share."""
+    return sum((F.least(F.col(f"a{level}")[i], F.col(f"b{level}")[i]) for i in range(len(LEVELS[level - 1]) + 1)), F.lit(0))
+
+
+Least = Callable[[Column, Column], Column]
+
+
+def candidates(fresh: DataFrame, held: DataFrame, least: Least, band: float) -> DataFrame:
+    """Pairs ``a, b, na, nb, common`` of distinct addresses that share at least ``least(na, nb)`` characters; the shorter has at least ``band`` of the longer's length.
+
+    ``fresh`` has a column a, ``held`` a column b; further columns stay. Runs jobs that write both with their counts.
+    """
+    fresh, held = _counted(fresh, "a"), _counted(held, "b")
+    enough = least(F.col("na"), F.col("nb"))
+    nb = F.explode(F.sequence(F.ceil(F.col("na") * band - 1e-9).cast("int"), F.floor(F.col("na") / band + 1e-9).cast("int")))
+    pairs = fresh.select("na").distinct().withColumn("nb", nb).join(held.select("nb").distinct(), "nb")
+    above_a, above_b = "na", "nb"
+    for level in range(1, len(LEVELS) + 1):
+        a, b = f"a{level}", f"b{level}"
+        pairs = pairs.join(fresh.select(above_a, a).distinct(), above_a).join(held.select(above_b, b).distinct(), above_b)
+        pairs = pairs.withColumn("common", _in_common(level)).where(F.col("common") >= enough).select("na", "nb", a, b, "common")
+        above_a, above_b = a, b
+    return pairs.drop("na", "nb").join(fresh.drop("a1", "a2"), above_a).join(held.drop("b1", "b2"), above_b).drop(above_a, above_b)
 
 
 def _joined(pairs: DataFrame, new: DataFrame, stored: DataFrame) -> DataFrame:
     return pairs.join(new.select("new_id", F.col("norm").alias("a")), "a").join(stored.select(F.col("id").alias("existing_id"), F.col("norm").alias("b")), "b")
 
 
+def _distinct(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.col("norm").alias(name)).distinct()
+
+
 def by_levenshtein(new: DataFrame, stored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs with 1 - distance / longer length of at least the threshold: ``new_id, existing_id, score``."""
     new, stored = _normalized(new, "new_id"), _normalized(stored, "id")
-    most = F.floor((1 - threshold) / threshold * F.col("na")).cast("int")
-    pairs = _candidates(new, stored, most, threshold)
-    score = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    pairs = pairs.withColumn("score", score).where(F.col("score") >= threshold)
-    return _joined(pairs, new, stored).select("new_id", "existing_id", "score")
+    pairs = candidates(_distinct(new, "a"), _distinct(stored, "b"), lambda na, nb: F.ceil(threshold * F.greatest(na, nb) - 1e-9), threshold)
+    pairs = pairs.withColumn("score", 1 - F.levenshtein("a", "b") / F.greatest("na", "nb")).where(F.col("score") >= threshold)
+    return _joined(pairs.select("a", "b", "score"), new, stored).select("new_id", "existing_id", "score")
 
 
 def _ratio(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -78,18 +97,68 @@ def _ratio(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def _may_match(new: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+    """Candidates for the ratio, with ``bound``, the greatest ratio that each can have; a native distance, which the ratio bounds, thins them further."""
+    pairs = candidates(new, stored, lambda na, nb: F.ceil(threshold / 2 * (na + nb) - 1e-9), threshold / (2 - threshold))
+    total = F.col("na") + F.col("nb")
+    return pairs.where(F.levenshtein("a", "b") <= (1 - threshold) * total + 1e-9).withColumn("bound", 2.0 * F.col("common") / total)
+
+
 def by_ratio(new: DataFrame, stored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs whose matching-block ratio (new address first: the ratio depends on the order) reaches the threshold."""
+    """All pairs whose matching-block ratio (new address first: the ratio depends on the order) reaches the threshold: ``new_id, existing_id, score``."""
     new, stored = _normalized(new, "new_id"), _normalized(stored, "id")
-    band = threshold / (2 - threshold)
-    most = F.floor((1 - threshold) * (F.col("na") + F.col("na") / band)).cast("int")
-    pairs = _candidates(new, stored, most, band)
-    # the edit distance is at most the insert/delete distance, which the ratio bounds: a native test before the Python one
-    total = F.length("a") + F.length("b")
-    pairs = pairs.where(F.levenshtein("a", "b") <= (1 - threshold) * total + 1e-9)
+    pairs = _may_match(_distinct(new, "a"), _distinct(stored, "b"), threshold)
     ratio = F.pandas_udf(_ratio, T.DoubleType())
-    pairs = pairs.withColumn("score", ratio("a", "b")).where(F.col("score") >= threshold)
-    return _joined(pairs, new, stored).select("new_id", "existing_id", "score")
+    pairs = pairs.withColumn("score", F.when(F.col("a") == F.col("b"), 1.0).otherwise(ratio("a", "b"))).where(F.col("score") >= threshold)
+    return _joined(pairs.select("a", "b", "score"), new, stored).select("new_id", "existing_id", "score")
+
+
+def _rising(threshold: float):
+    """Best match per group of candidates that come in falling order of their bounds: what cannot pass the best so far is not compared."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from difflib import SequenceMatcher
+
+        group, best, tried = None, None, 0
+        for rows in batches:
+            out = []
+            for a, salt, b, first, bound in zip(rows["a"], rows["salt"], rows["b"], rows["first_id"], rows["bound"]):
+                if (a, salt) != group:
+                    if group:
+                        out.append((group[0], *(best or (None, None)), tried))
+                    group, best, tried = (a, salt), None, 0
+                if bound < threshold or best and (bound < best[0] or bound == best[0] and first > best[1]):
+                    continue
+                tried += 1
+                score = SequenceMatcher(None, a, b).ratio()
+                if score >= threshold and (best is None or score > best[0] or score == best[0] and first < best[1]):
+                    best = (score, first)
+            yield pd.DataFrame(out, columns=["a", "score", "first_id", "tried"])
+        if group:
+            yield pd.DataFrame([(group[0], *(best or (None, None)), tried)], columns=["a", "score", "first_id", "tried"])
+    return run
+
+
+def best_of(fresh: DataFrame, held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, score, first_id, tried``: up to ``SALTS`` rows for each distinct address a, with the best match of a share of its candidates (null: none) and how many were compared.
+
+    ``held`` has b and ``first_id``, a whole number; equal scores go to the smallest. Each share is a sorted run that streams through a task with one best match in memory.
+    """
+    pairs = _may_match(fresh, held, threshold).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))).select("a", "salt", "b", "first_id", "bound")
+    return pairs.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("bound").desc(), "first_id").mapInPandas(_rising(threshold), "a string, score double, first_id bigint, tried bigint")
+
+
+def best(new: DataFrame, stored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The best match by ratio of each listing that has one: ``new_id, existing_id, score``, equal scores to the smallest existing id.
+
+    Equal addresses cannot be bettered, so they are joined first; only the rest looks for close ones, and stops looking where no candidate's bound passes what it has.
+    """
+    new, stored = _normalized(new, "new_id"), _normalized(stored, "id")
+    fresh = kept(_distinct(new, "a"), "fresh")
+    held = kept(stored.groupBy(F.col("norm").alias("b")).agg(F.min("id").cast("bigint").alias("first_id")), "held")
+    same = fresh.join(held, F.col("a") == F.col("b")).select("a", F.lit(1.0).alias("score"), "first_id")
+    close = best_of(fresh.join(held, F.col("a") == F.col("b"), "left_anti"), held, threshold).where("score is not null").drop("tried")
+    found = same.unionByName(close).groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("lost"), "first_id")).alias("m"))
+    return new.join(found, new["norm"] == found["a"]).select("new_id", F.col("m.first_id").alias("existing_id"), (-F.col("m.lost")).alias("score"))
 
 
 def without_duplicates(new: DataFrame, pairs: DataFrame, within_batch: bool = False) -> DataFrame:

@@ -8,13 +8,15 @@ that some record has the column.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clean import age_years
-from ..functions.geo import haversine
+from ..functions.geo import EARTH_MILES, haversine
+from ..sources.scratch import kept
 
 # Default weights, tolerances and limits.
 WEIGHTS = {"proximity": 0.30, "size": 0.25, "price": 0.20, "price_psf": 0.10, "year_built": 0.10, "recency": 0.15}
@@ -74,13 +76,8 @@ def lease_dimensions(as_of: Column) -> Dimensions:
             "building_type": lambda s, c: category(s("building_type"), c("building_type")), "recency": lambda s, c: recency(c("commencement_date"), as_of)}
 
 
-def scored(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, weights: dict[str, float], keep: tuple[str, ...] = ()) -> DataFrame:
-    """``subject_id, id``, the columns to keep, one ``<dimension>_score`` each, ``distance_miles`` and ``match_score``, for every pair.
-
-    The subjects are a stated query set held against all records; they are broadcast block by block, so records are not shuffled.
-    """
-    names = {c: f"s_{c}" for c in subjects.columns if c != "subject_id"}
-    pairs = in_blocks(comps, subjects.withColumnsRenamed(names), "subject_id")
+def _pair_scores(pairs: DataFrame, comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, weights: dict[str, float], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of rows that hold a record and, with ``s_`` before its columns' names, a subject."""
     absent = [n for n in ("building_size", "sale_price", "price_per_sf", "year_built", "leased_sf", "rate_monthly", "rate_annually", "building_type") if n in comps.columns and n not in subjects.columns]
     pairs = pairs.withColumns({f"s_{n}": F.lit(None).cast(dict(comps.dtypes)[n]) for n in absent}) if absent else pairs
     pairs = pairs.withColumn("distance_miles", haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")))
@@ -90,6 +87,138 @@ def scored(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, weight
     return pairs.withColumn("match_score", weighted({n: F.col(f"{n}_score") for n in found}, weights))
 
 
+def _named(subjects: DataFrame) -> DataFrame:
+    return subjects.withColumnsRenamed({c: f"s_{c}" for c in subjects.columns if c != "subject_id"})
+
+
+def scored(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, weights: dict[str, float], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``subject_id, id``, the columns to keep, one ``<dimension>_score`` each, ``distance_miles`` and ``match_score``, for every pair.
+
+    The subjects are a stated query set held against all records; they are broadcast block by block, so records are not shuffled.
+    """
+    return _pair_scores(in_blocks(comps, _named(subjects), "subject_id"), comps, subjects, dimensions, weights, keep)
+
+
+@dataclass
+class Bound:
+    """The most that a dimension can score in a cell, from the subject's column and the least and greatest value of a field in the cell; ``always``: it has a score even where the field is null."""
+
+    field: str
+    most: Callable[[Callable[[str], Column], Callable[[str], Column], Callable[[str], Column]], Column]
+    always: bool = False
+
+
+def _nearest(s: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(s, low), high)
+
+
+def _least_distance(s, low, high) -> Column:
+    """No point of the cell is closer: each term of the haversine at its least."""
+    away = lambda f: F.radians(F.greatest(F.lit(0.0), low(f) - s(f), s(f) - high(f)))
+    wraps = F.greatest(F.abs(s("longitude") - low("longitude")), F.abs(s("longitude") - high("longitude"))) > 180
+    a = F.pow(F.sin(away("latitude") / 2), 2) + F.when(wraps, 0.0).otherwise(
+        F.cos(F.radians(s("latitude"))) * F.least(F.cos(F.radians(low("latitude"))), F.cos(F.radians(high("latitude")))) * F.pow(F.sin(away("longitude") / 2), 2))
+    return EARTH_MILES * 2 * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))
+
+
+def _number_bound(field: str, tolerance: float = TOLERANCE) -> Bound:
+    return Bound(field, lambda s, low, high: numeric(s(field), _nearest(s(field), low(field), high(field)), tolerance))
+
+
+def sale_bounds(as_of: Column) -> dict[str, Bound]:
+    """Bounds of ``sale_dimensions``. Tolerances are at most 1, so a number's score falls on both sides of the subject's."""
+    return {"proximity": Bound("latitude", lambda s, low, high: proximity(_least_distance(s, low, high)), always=True), "size": _number_bound("building_size"), "price": _number_bound("sale_price"),
+            "price_psf": _number_bound("price_per_sf"), "year_built": _number_bound("year_built", YEAR_TOLERANCE), "recency": Bound("closing_date", lambda s, low, high: recency(high("closing_date"), as_of))}
+
+
+def sale_cells(miles: float = 4.0, ratio: float = 1.4) -> tuple[list[Column], list[Column]]:
+    """Columns that make up the wide cells (a square of about ``miles``) and, within them, the narrow ones (size and price in steps of ``ratio``, and what is missing)."""
+    square = [F.floor(F.col(c) / (miles / 69.0)) for c in ("latitude", "longitude")]
+    steps = [F.floor(F.ln(c) / F.ln(F.lit(ratio))) for c in ("building_size", "sale_price")]
+    return square, [*steps, *[F.isnull(c) for c in ("building_size", "sale_price", "price_per_sf", "year_built", "closing_date")]]
+
+
+def _most(ranges: DataFrame, subjects: list[str], bounds: dict[str, Bound], weights: dict[str, float]) -> Column:
+    """The best weighted score that a row of the cell can have. A dimension that some of the cell's rows lack counts as full: a mean cannot rise above that by leaving it out."""
+    subject = lambda f: F.col(f"s_{f}") if f in subjects else F.lit(None).cast("double")
+    top, total = F.lit(0.0), F.lit(0.0)
+    for name, bound in bounds.items():
+        w, known = weights.get(name, 0.0), F.col(f"n_{bound.field}")
+        if w <= 0:
+            continue
+        best = bound.most(subject, lambda f: F.col(f"low_{f}"), lambda f: F.col(f"high_{f}"))
+        if not bound.always:
+            best = F.when(best.isNull(), None).when(known < F.col("n"), 1.0).otherwise(best)
+        top, total = top + F.when(best.isNotNull(), w * best).otherwise(0.0), total + F.when(best.isNotNull(), w).otherwise(0.0)
+    return F.coalesce(F.try_divide(top, total), F.lit(0.0))
+
+
+def _ranges(rows: DataFrame, key: str, fields: list[str], *above: str) -> DataFrame:
+    whole = "n" not in rows.columns
+    low, high, n = (lambda f: F.col(f)), (lambda f: F.col(f)), F.count("*")
+    if not whole:
+        low, high, n = (lambda f: F.col(f"low_{f}")), (lambda f: F.col(f"high_{f}")), F.sum("n")
+    known = lambda f: F.count(f) if whole else F.sum(f"n_{f}")
+    return rows.groupBy(key, *above).agg(n.alias("n"), *[c for f in fields for c in (F.min(low(f)).alias(f"low_{f}"), F.max(high(f)).alias(f"high_{f}"), known(f).alias(f"n_{f}"))])
+
+
+def top_matches(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, bounds: dict[str, Bound], weights: dict[str, float], cells: tuple[list[Column], list[Column]], k: int = TOP,
+                digits: int = 6, first: int = 8, counted: list[int] | None = None) -> DataFrame:
+    """``subject_id, rank, id, match_score``: the k best records of each subject by the score rounded to ``digits``, as ``ranked`` over ``scored``, from a part of the pairs.
+
+    Records are put into wide and narrow cells, which keep the range of each field. A cell's bound is the best score any row in it can have. Each subject first reads the narrow
+    cells with the highest bounds until they hold ``first`` times k rows; its k-th score there is a floor. Then it reads the cells whose bound reaches the floor, wide ones before the narrow ones in
+    them; no other can hold one of its k best. Every dimension with a weight needs a bound. Cells are joined with rows by their key, so a crowded
+    cell is split like any skewed key. Runs jobs: the records with their cells, the ranges and the floors are written. ``counted`` gets the number of pairs scored.
+    """
+    if missing := {n for n in dimensions if weights.get(n, 0) > 0} - set(bounds):
+        raise ValueError(f"no bounds for {sorted(missing)}")
+    fields = sorted({b.field for b in bounds.values()} | {"latitude", "longitude"})
+    rows = comps.withColumn("wide", F.xxhash64(*cells[0])).withColumn("narrow", F.xxhash64("wide", *cells[1]))
+    rows = kept(rows.select("wide", "narrow", "id", *fields), "match-rows")
+    narrow = kept(_ranges(rows, "narrow", fields, "wide"), "narrow-cells")
+    asked = kept(_named(subjects), "subjects")
+    names = subjects.columns
+    wide = in_blocks(_ranges(narrow, "wide", fields), asked, "subject_id")
+    wide = kept(wide.select("subject_id", "wide", "n", _most(wide, names, bounds, weights).alias("most")), "wide-bounds")
+    small = asked.count() <= BROADCAST_ROWS
+    asked = F.broadcast(asked) if small else asked
+
+    def below(some: DataFrame) -> DataFrame:
+        """The narrow cells of some wide ones, with their bounds."""
+        pairs = some.select("subject_id", "wide", *(["floor"] if "floor" in some.columns else [])).join(narrow, "wide").join(asked, "subject_id")
+        return pairs.withColumn("most", _most(pairs, names, bounds, weights))
+
+    def scores(some: DataFrame) -> DataFrame:
+        pairs = some.select("subject_id", "narrow").join(rows, "narrow").join(asked, "subject_id")
+        return _pair_scores(pairs, comps, subjects, dimensions, weights).select("subject_id", "id", F.round("match_score", digits).alias("match_score"))
+
+    start = _first(below(_first(wide, "wide", first * k)), "narrow", first * k)
+    return _by_bounds(start, lambda floor: below(_reached(wide.join(floor, "subject_id", "left"), digits)), scores, k, digits, counted)
+
+
+def _first(cells: DataFrame, key: str, rows: int) -> DataFrame:
+    """Each subject's cells with the highest bounds, until they hold so many rows."""
+    before = F.sum("n").over(W.partitionBy("subject_id").orderBy(F.col("most").desc(), key).rowsBetween(W.unboundedPreceding, -1))
+    return cells.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < rows).drop("before")
+
+
+def _reached(cells: DataFrame, digits: int) -> DataFrame:
+    """Cells whose bound reaches the subject's floor, as far as rounding goes."""
+    return cells.where((F.col("most") > 0) & (F.col("most") >= F.coalesce("floor", F.lit(0.0)) - 10.0**-digits))
+
+
+def _by_bounds(start: DataFrame, cells: Callable[[DataFrame], DataFrame], scores: Callable[[DataFrame], DataFrame], k: int, digits: int, counted: list[int] | None) -> DataFrame:
+    """The k best of each subject: read the cells of ``start``, take the k-th score as a floor, and read those of ``cells(floor)`` whose bound reaches it."""
+    start = kept(start.select("subject_id", "narrow", "n"), "first-cells")
+    found = kept(scores(start), "first-scores")
+    floor = ranked(found, k).where(F.col("rank") == k).select("subject_id", F.col("match_score").alias("floor"))
+    more = kept(_reached(cells(floor), digits).select("subject_id", "narrow", "n").join(start, ["subject_id", "narrow"], "left_anti"), "more-cells")
+    if counted is not None:
+        counted.append(start.unionByName(more).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return ranked(found.unionByName(scores(more)), k).select("subject_id", "rank", "id", "match_score")
+
+
 def in_blocks(records: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """All records beside each of a stated query set. Queries are dealt into blocks of about ``BROADCAST_ROWS`` by hash, and every block is broadcast."""
     n = queries.count() // BROADCAST_ROWS + 1
@@ -111,12 +240,60 @@ def ranked(pairs: DataFrame, k: int = TOP, score: str = "match_score") -> DataFr
     return pairs.where(F.col(score) > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """max(0, cosine similarity) of two vectors; 0 if either has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return F.coalesce(F.greatest(F.lit(0.0), F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))), F.lit(0.0))
 
 
+#: Pivots at most, and the width of the rings around them in radians.
+PIVOTS, RING = 256, 0.1
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int = 5, first: int = 8, counted: list[int] | None = None) -> DataFrame:
+    """``subject_id, rank, id, similarity``: the k vectors (``id, vector``) with the greatest cosine to each query (``subject_id, query``) but the one of its own id; ties by id; similarities of 0 and below are left out.
+
+    Every vector is brought to length 1 once. A few vectors, the least by a hash of their ids, are pivots: at most ``PIVOTS``, so they and the cells around them are broadcast. A vector belongs to the ring around its
+    nearest pivot that holds its angle to it. An angle is at least the difference of two angles to a third vector, so a ring bounds the cosine of all in it, and a query reads only the rings that reach its k-th best so far. Clustered
+    vectors leave most rings unread; vectors without any structure in many dimensions leave few. Vectors of different lengths, with nulls or without a length take no part. Runs jobs. ``counted`` gets the dot products, those with pivots too.
+    """
+    def unit(df: DataFrame, name: str) -> DataFrame:
+        df = df.withColumn("length", F.sqrt(dot(F.col(name), F.col(name)))).where("length > 0 and not isnan(length)")
+        return df.withColumn(name, F.transform(name, lambda x: x / F.col("length"))).drop("length")
+
+    rows = kept(unit(vectors.select("id", "vector"), "vector"), "unit-vectors")
+    n = rows.count()
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, round(n**0.5 / 4))))
+    pivots = some.agg(F.collect_list("vector").alias("pivots"))  # one row of at most PIVOTS vectors
+
+    def angles(df: DataFrame, name: str) -> DataFrame:
+        near = F.transform("pivots", lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(p, F.col(name))))))
+        return df.crossJoin(F.broadcast(pivots)).withColumn("angles", near).drop("pivots")
+
+    placed = angles(rows, "vector").withColumn("angle", F.array_min("angles")).withColumn("pivot", F.array_position("angles", F.col("angle")).cast("int"))
+    placed = kept(placed.withColumn("narrow", F.when(F.col("angle").isNotNull(), F.xxhash64("pivot", F.floor(F.col("angle") / RING)))).drop("angles"), "ring-vectors")
+    rings = placed.groupBy("narrow").agg(F.first("pivot").alias("pivot"), F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    asked = kept(angles(unit(queries.select("subject_id", "query"), "query"), "query"), "unit-queries")
+    at, slack = F.element_at("angles", F.col("pivot")), 1e-6
+    pairs = asked.crossJoin(F.broadcast(rings))  # at most 33 rings a pivot
+    most = F.cos(F.greatest(F.lit(0.0), F.col("low") - at - slack, at - F.col("high") - slack))
+    bounds = kept(pairs.select("subject_id", "narrow", "n", most.alias("most")), "ring-bounds")
+    if counted is not None:
+        counted.append((n + asked.count()) * pivots.select(F.size("pivots")).first()[0])
+    small = asked.count() <= BROADCAST_ROWS // 10
+
+    def scores(cells: DataFrame) -> DataFrame:
+        wanted = cells.select("subject_id", "narrow").join(F.broadcast(asked) if small else asked, "subject_id").drop("angles")
+        both = placed.join(wanted, "narrow").where("id <> subject_id")
+        return both.select("subject_id", "id", F.round(F.greatest(F.lit(0.0), dot(F.col("query"), F.col("vector"))), digits).alias("match_score"))
+
+    found = _by_bounds(_first(bounds, "narrow", first * k), lambda floor: bounds.join(floor, "subject_id", "left"), scores, k, digits, counted)
+    return found.withColumnRenamed("match_score", "similarity")
+
+
 def description(c: Callable[[str], Column] = F.col) -> Column:
     """One line about a sale, leaving out what is missing."""
     part = lambda field, text: F.when(c(field).isNotNull(), text)

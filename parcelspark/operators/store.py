@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import append_state, extract_city, extract_zip, normalize_address, simplify_address
+from ..sources.scratch import kept
 from .radius import bounds_checked
 
 _TEXT, _NUM = T.StringType(), T.DoubleType()
@@ -114,6 +116,54 @@ def geocoded(rows: DataFrame, gazetteer: DataFrame, key: str = "id") -> DataFram
     return bounds_checked(out)
 
 
+#: House numbers that are looked at together, and how far apart the known neighbours of an unknown number may be.
+NUMBERS, GAP = 100, 400
+
+
+def _houses(df: DataFrame, *keep: str) -> DataFrame:
+    """``number, street`` of addresses that begin with a house number; the street is the rest of the normalised address, town and zip code included."""
+    df = df.select(*keep, normalize_address(append_state(F.trim("address"))).alias("__whole"))
+    parts = F.split("__whole", " ", 2)
+    return df.where(F.col("__whole").rlike("^[0-9]{1,6} .")).select(*keep, parts[0].cast("int").alias("number"), parts[1].alias("street"))
+
+
+def interpolated(rows: DataFrame, gazetteer: DataFrame, key: str = "id", gap: int = GAP) -> DataFrame:
+    """``key, latitude, longitude, city, zip_code`` of addresses that lie between two known house numbers of their street, at most ``gap`` apart: in proportion to the numbers; city and zip code of the nearer, or lower, one.
+
+    The neighbours come from an as-of join: known and unknown numbers of a street are sorted together, ``NUMBERS`` numbers at a time, so a street of any length is dealt out, and what a block lacks comes from the
+    first and last known number of the blocks around it. Each number of a street is worked out once, however many rows have it. Addresses without a house number, and those with a neighbour on one side only, are left out.
+    """
+    place = ["number", "latitude", "longitude", "city", "zip_code"]
+    known = _houses(gazetteer, "latitude", "longitude", "city", "zip_code").where("latitude is not null and longitude is not null")
+    known = known.groupBy("street", "number").agg(F.min(F.struct("latitude", "longitude", "city", "zip_code")).alias("p"))
+    known = known.select("street", "number", F.struct("number", "p.latitude", "p.longitude", "p.city", "p.zip_code").alias("place"))
+    wanted = _houses(rows, key)
+    asked = wanted.select("street", "number").distinct().withColumn("place", F.lit(None).cast(known.schema["place"].dataType))
+    both = known.unionByName(asked).withColumn("block", F.floor(F.col("number") / NUMBERS))
+    w = W.partitionBy("street", "block").orderBy("number", F.col("place").isNull())
+    near = both.withColumn("below", F.last("place", True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("above", F.first("place", True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    ends = both.groupBy("street", "block").agg(F.min("place").alias("least"), F.max("place").alias("most"))  # structs compare by number first
+    w = W.partitionBy("street").orderBy("block")
+    ends = ends.select("street", "block", F.last("most", True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("least", True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    near = near.where("place is null").join(ends, ["street", "block"])
+    near = near.select("street", "number", F.coalesce("below", "before").alias("a"), F.coalesce("above", "after").alias("b")).where(F.col("b.number") - F.col("a.number") <= gap)
+    share = F.coalesce(F.try_divide(F.col("number") - F.col("a.number"), F.col("b.number") - F.col("a.number")), F.lit(0.0))
+    between = lambda c: (F.col(f"a.{c}") + share * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c)
+    nearer = lambda c: F.when(share <= 0.5, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    found = near.select("street", F.col("number"), between(place[1]), between(place[2]), nearer(place[3]), nearer(place[4]))
+    return wanted.join(found, ["street", "number"]).select(key, *place[1:])
+
+
+def geocoded_between(rows: DataFrame, gazetteer: DataFrame, key: str = "id", gap: int = GAP) -> DataFrame:
+    """As ``geocoded``; addresses that the gazetteer lacks are placed between their neighbours, ``matched`` being 'interpolated'. Runs a job that writes the rows with what the gazetteer has."""
+    found = kept(geocoded(rows, gazetteer, key), "geocoded")
+    rest = found.where("matched = 'none'")
+    between = interpolated(rest.select(key, "address"), gazetteer, key, gap).withColumnsRenamed({c: f"__{c}" for c in ("latitude", "longitude", "city", "zip_code")})
+    placed = rest.join(between, key, "left").withColumn("matched", F.when(F.col("__latitude").isNotNull(), "interpolated").otherwise("none"))
+    placed = bounds_checked(placed.select(key, "address", *[F.coalesce(f"__{c}", c).alias(c) for c in ("latitude", "longitude", "city", "zip_code")], "matched"))
+    return found.where("matched <> 'none'").unionByName(placed)
+
+
 def component(components: Column, kind: str) -> Column:
     """The long name of the last address component of a kind."""
     return F.try_element_at(F.filter(components, lambda c: F.array_contains(c["types"], kind)), F.lit(-1))["long_name"]

@@ -33,7 +33,8 @@ def query(sql: str | None = None):
     return put
 
 
-NORMAL = "regexp_replace(regexp_replace(lower(trim({c})), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')"
+_SPACE = r"\s\v\x{{001C}}-\x{{001F}}\x{{0085}}\p{{Z}}"
+NORMAL = rf"regexp_replace(regexp_replace(regexp_replace(lower({{c}}), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'), '[^\p{{{{L}}}}\p{{{{N}}}}_{_SPACE}]', '', 'g'), '[{_SPACE}]+', ' ', 'g')"
 for _long, _short in clean.ABBREVIATIONS:
     NORMAL = f"regexp_replace({NORMAL}, '\\b{_long}\\b', '{_short}', 'g')"
 
@@ -63,9 +64,9 @@ def scalar_clean_header(spark, sf_dir):
     return view(spark, sf_dir, "header_cells").select("file_no", "col_idx", clean.clean_header(F.col("header")).alias("header"))
 
 
-@query(f"SELECT new_id AS id, {NORMAL.format(c='address')} AS normalized FROM new_listings UNION ALL SELECT id, {NORMAL.format(c='address')} FROM lease_comps")
+@query(f"SELECT new_id AS id, {NORMAL.format(c='address')} AS normalized FROM new_listings UNION ALL SELECT new_id, {NORMAL.format(c='address')} FROM listing_batch UNION ALL SELECT id, {NORMAL.format(c='address')} FROM lease_comps")
 def scalar_normalize_address(spark, sf_dir):
-    both = view(spark, sf_dir, "new_listings").select(F.col("new_id").alias("id"), "address").union(_leases(spark, sf_dir).select("id", "address"))
+    both = view(spark, sf_dir, "new_listings").union(view(spark, sf_dir, "listing_batch")).select(F.col("new_id").alias("id"), "address").union(_leases(spark, sf_dir).select("id", "address"))
     return both.select("id", clean.normalize_address(F.col("address")).alias("normalized"))
 
 

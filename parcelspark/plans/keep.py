@@ -25,39 +25,50 @@ def query(sql: str | None = None):
 
 
 def _both(spark, sf_dir):
-    return view(spark, sf_dir, "new_listings"), view(spark, sf_dir, "sale_comps").where("id % 100 <> 50")
+    return view(spark, sf_dir, "listing_batch"), view(spark, sf_dir, "sale_comps").select("id", "address")
 
 
-_N = f"n AS (SELECT new_id, address AS na, {NORMAL.format(c='address')} AS a FROM new_listings), e AS (SELECT id AS existing_id, address AS ea, {NORMAL.format(c='address')} AS b FROM sale_comps WHERE id % 100 <> 50)"
-_LEV = f"{_N}, p AS (SELECT new_id, existing_id, na, ea, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS score FROM n JOIN e ON abs(length(a) - length(b)) <= 8 AND levenshtein(a, b) <= 0.05 * greatest(length(a), length(b)))"
+_N = f"n AS (SELECT new_id, address AS na, {NORMAL.format(c='address')} AS a FROM listing_batch), e AS (SELECT id AS existing_id, address AS ea, {NORMAL.format(c='address')} AS b FROM sale_comps)"
+_LEAST = "list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, '')))))"
+# the longest prefix of each end of x that y holds; of equal lengths the first
+_RUN = "list_max(list_transform(generate_series(1, length(x)), lambda i: {{'l': coalesce(list_max(list_filter(generate_series(1, length(x) - i + 1), lambda l: contains(y, x[i:i + l - 1]))), 0), 'k': -i}}))".replace("{{", "{").replace("}}", "}")
+# matching blocks: the longest common run, then the same to its left and right; pairs that share too few characters for 0.85 are left out first
+_RATIO = f"""{_N}, d AS (SELECT DISTINCT x.a, y.b FROM (SELECT DISTINCT a FROM n WHERE a <> '') AS x JOIN (SELECT DISTINCT b FROM e WHERE b <> '') AS y ON 2 * least(length(a), length(b)) >= 0.85 * (length(a) + length(b)) - 1e-9),
+    c AS (SELECT a, b FROM d WHERE 2 * {_LEAST} >= 0.85 * (length(a) + length(b)) - 1e-9),
+    blocks AS (SELECT a, b, a AS x, b AS y, 0 AS m FROM c UNION ALL
+        SELECT a, b, CASE side WHEN 1 THEN x[1:i - 1] ELSE x[i + l:] END AS x, CASE side WHEN 1 THEN y[1:j - 1] ELSE y[j + l:] END AS y, CASE side WHEN 1 THEN l ELSE 0 END AS m
+        FROM (SELECT *, strpos(y, x[i:i + l - 1]) AS j FROM (SELECT a, b, x, y, run.l AS l, -run.k AS i FROM (SELECT a, b, x, y, {_RUN} AS run FROM blocks WHERE x <> '' AND y <> '') AS r WHERE run.l > 0) AS s) AS t, (SELECT unnest([1, 2]) AS side) AS u),
+    r AS (SELECT a, b, 2.0::DOUBLE * sum(m) / (length(a) + length(b)) AS score FROM blocks GROUP BY a, b HAVING score >= 0.85),
+    p AS (SELECT new_id, existing_id, na, ea, score FROM r JOIN n USING (a) JOIN e USING (b))"""
+_RATIO = "RECURSIVE " + _RATIO
 
 
-@query(f"WITH {_N} SELECT new_id, existing_id FROM n JOIN e ON a = b")
+@query(f"WITH {_N} SELECT new_id, existing_id FROM n JOIN e ON a = b AND a <> ''")
 def dup_exact_normalized(spark, sf_dir):
     return d.exact(*_both(spark, sf_dir))
 
 
-@query(f"WITH {_LEV} SELECT new_id, existing_id, round(score, 6) AS score FROM p WHERE score >= 0.95")
+@query(f"WITH {_N} SELECT new_id, existing_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS score FROM n JOIN e ON least(length(a), length(b)) >= 0.85 * greatest(length(a), length(b)) AND 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.85")
 def dup_levenshtein_join(spark, sf_dir):
-    return d.by_levenshtein(*_both(spark, sf_dir), 0.95).select("new_id", "existing_id", F.round("score", 6).alias("score"))
+    return d.by_levenshtein(*_both(spark, sf_dir)).select("new_id", "existing_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {_RATIO} SELECT new_id, existing_id, round(score, 6) AS score FROM p")
 def dup_ratio_join(spark, sf_dir):
-    return d.by_ratio(view(spark, sf_dir, "new_listings"), view(spark, sf_dir, "sale_comps"))
+    return d.by_ratio(*_both(spark, sf_dir)).select("new_id", "existing_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_LEV} SELECT new_id, na AS address FROM n WHERE new_id NOT IN (SELECT new_id FROM p WHERE score >= 0.95)")
+@query(f"WITH {_RATIO} SELECT new_id, na AS address FROM n WHERE new_id NOT IN (SELECT new_id FROM p)")
 def save_anti_join(spark, sf_dir):
     new, stored = _both(spark, sf_dir)
-    return d.without_duplicates(new, d.by_levenshtein(new, stored, 0.95)).select("new_id", "address")
+    return d.without_duplicates(new, d.best(new, stored)).select("new_id", "address")
 
 
-@query(f"""WITH {_LEV} SELECT new_id, existing_id, round(100 * score, 1) AS score_pct, na[1:50] AS new_address, ea[1:50] AS existing_address FROM p WHERE score >= 0.95
+@query(f"""WITH {_RATIO} SELECT new_id, existing_id, round(100 * score, 1) AS score_pct, na[1:50] AS new_address, ea[1:50] AS existing_address FROM p
     QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY score DESC, existing_id) = 1""")
 def dup_report(spark, sf_dir):
     new, stored = _both(spark, sf_dir)
-    return d.report(new, stored, d.by_levenshtein(new, stored, 0.95))
+    return d.report(new, stored, d.best(new, stored))
 
 
 _G = f"""g AS (SELECT * FROM (SELECT id AS gid, address AS ga, latitude, longitude, city, zip_code, {NORMAL.format(c='address')} AS k FROM sale_comps WHERE id % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY k ORDER BY gid) = 1)"""
@@ -81,6 +92,26 @@ def geocode_retry_simplified(spark, sf_dir):
     return store.geocoded(rows, _gazetteer(spark, sf_dir)).select("id", "latitude", "longitude", "matched")
 
 
+_STREETS = f"""h AS (SELECT id, address, {NORMAL.format(c='address')} AS k, latitude, longitude, city, zip_code FROM sale_comps),
+    t AS (SELECT *, CAST(regexp_extract(k, '^([0-9]+) (.+)$', 1) AS INTEGER) AS number, regexp_extract(k, '^([0-9]+) (.+)$', 2) AS street FROM h),
+    g AS (SELECT street, number, latitude, longitude, city, zip_code FROM t WHERE number % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY street, number ORDER BY id) = 1),
+    q AS (SELECT DISTINCT street, number FROM t WHERE number % 3 = 0),
+    b AS (SELECT q.street, q.number, l.number AS ln, u.number AS un, (q.number - l.number) / (u.number - l.number) AS s, l.latitude AS la, u.latitude AS ua, l.longitude AS lo, u.longitude AS uo, l.zip_code AS lz, u.zip_code AS uz
+          FROM q ASOF JOIN g AS l ON q.street = l.street AND q.number >= l.number ASOF JOIN g AS u ON q.street = u.street AND q.number <= u.number WHERE u.number - l.number <= 400)"""
+
+
+@query(f"""WITH {_STREETS} SELECT t.id, round(coalesce(g.latitude, la + s * (ua - la)), 6) AS latitude, round(coalesce(g.longitude, lo + s * (uo - lo)), 6) AS longitude,
+    coalesce(g.zip_code, CASE WHEN s <= 0.5 THEN lz ELSE uz END) AS zip_code, CASE WHEN g.number IS NOT NULL THEN 'full' WHEN b.number IS NOT NULL THEN 'interpolated' ELSE 'none' END AS matched
+    FROM t LEFT JOIN g USING (street, number) LEFT JOIN b USING (street, number)""")
+def geocode_interpolated(spark, sf_dir):
+    """All sales against a gazetteer that lacks every third house number, which is what there is to find."""
+    sales = view(spark, sf_dir, "sale_comps")
+    known = sales.where("(100 + id % 900) % 3 <> 0").withColumn("k", clean.normalize_address(F.col("address")))
+    one = known.groupBy("k").agg(F.min(F.struct("id", "address", "latitude", "longitude", "city", "zip_code")).alias("p")).select("p.address", "p.latitude", "p.longitude", "p.city", "p.zip_code")
+    found = store.geocoded_between(sales.select("id", "address"), one)
+    return found.select("id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "zip_code", "matched")
+
+
 @query("SELECT id, CASE WHEN id % 7 <> 0 THEN city END AS city, zip_code FROM sale_comps")
 def component_lookup(spark, sf_dir):
     part = lambda name, kind: F.struct(name.alias("long_name"), F.array(F.lit(kind), F.lit("political")).alias("types"))

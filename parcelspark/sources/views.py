@@ -38,6 +38,11 @@ VIEWS = {
                150000.0 + CAST(s_suppkey % 7 AS DOUBLE) * 25000.0 AS sale_price, CAST(1975 + s_suppkey % 40 AS DOUBLE) AS year_built FROM supplier""",
     "new_listings": """
         SELECT id AS new_id, replace(replace(upper(address), 'STREET', 'ST.'), 'ROAD', 'RD') || ' ' AS address FROM sale_comps WHERE id % 50 = 0""",
+    "listing_batch": f"""
+        SELECT s_suppkey AS new_id, CASE s_suppkey % 8
+                 WHEN 0 THEN upper(a) WHEN 1 THEN replace(a, 'Road', 'Rd.') || '\u00a0' WHEN 2 THEN replace(replace(a, 'Street', 'Stret'), 'Highway', 'Hiway') WHEN 3 THEN replace(a, ' ', '\u00a0')
+                 WHEN 4 THEN '\t' || replace(a, ', ', '\u2003 ') || '\n' WHEN 5 THEN replace(a, ',', ', Suite 9,') WHEN 6 THEN s_name || ' Plaza, El Paso' ELSE '# ' || replace(a, 'North', 'N') END AS address
+        FROM (SELECT s_suppkey, s_name, CAST(100 + (s_suppkey * 37) % 1100 AS STRING) || ' ' || {_STREET.format(k="s_suppkey")} || ', ' || {_CITY.format(k="s_suppkey")} || ', TX ' || {_ZIP.format(k="s_suppkey")} AS a, s_suppkey AS k FROM supplier) AS b""",
     "raw_values": """
         SELECT o_orderkey AS id, CASE o_orderkey % 14 WHEN 0 THEN '$ ' || n || '.00 ' WHEN 1 THEN n || '.5%' WHEN 2 THEN '$' || n || '/acre Gross' WHEN 3 THEN 'Building ' || CAST(o_custkey % 10 AS STRING) || ' at Park'
                WHEN 4 THEN 'N/A' WHEN 5 THEN 'TBD' WHEN 6 THEN n || ' SF' WHEN 7 THEN '7/14/' || CAST(2000 + o_custkey % 25 AS STRING) WHEN 8 THEN '-' || CAST(o_custkey % 50 AS STRING) || '%'
@@ -96,4 +101,6 @@ def with_views(sql: str) -> str:
     if not views:
         return sql
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {sql[15:]}"
     return f"WITH {views}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {views} {sql}"

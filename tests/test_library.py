@@ -59,6 +59,49 @@ def test_radius_join_is_brute_force(spark):
     assert got == {(x.subject_id, x.id) for x in plain.collect()} and got
 
 
+def test_radius_join_with_crowds(spark):
+    """Half of all records in one block, some at one point: the parts stay even and the pairs are those of the plain join."""
+    r = random.Random(4)
+    block = [(i, 29.76 + r.random() * 0.002, -95.37 + r.random() * 0.002) for i in range(2_000)] + [(i + 2_000, 29.7612, -95.3688) for i in range(2_000)]
+    rows = block + [(i + 4_000, 29 + r.random() * 1.5, -96 + r.random() * 1.3) for i in range(4_000)]
+    comps = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    subjects = spark.createDataFrame([(i, 29.5 + r.random() * 0.5, -95.7 + r.random() * 0.6) for i in range(8)] + [(8, 29.761, -95.369), (9, None, None)], "subject_id long, latitude double, longitude double")
+    records, crowded, full = radius.placed(comps, 3.0, 100)
+    sizes = [x["count"] for x in records.groupBy("y", "x", "v", "u", "salt").count().collect()]
+    assert crowded.count() >= 1 and full.count() >= 1 and sum(sizes) == 8_000 and max(sizes) <= 180 and sum(s > 300 for s in sizes) == 0
+    got = sorted((x.subject_id, x.id, round(x.distance_miles, 6)) for x in radius.radius_join(comps, subjects, 3.0, 100).collect())
+    plain = comps.crossJoin(subjects.withColumnsRenamed({"latitude": "a", "longitude": "b"})).withColumn("m", geo.haversine(F.col("a"), F.col("b"), F.col("latitude"), F.col("longitude"))).where("m <= 3.0")
+    assert got == sorted((x.subject_id, x.id, round(x.m, 6)) for x in plain.collect()) and len(got) > 4_000
+
+
+def test_addresses_between_known_numbers(spark):
+    places = spark.createDataFrame([(f"{n} Oak Street, Katy, TX 77001", 29.0 + n / 1000, -95.0 - n / 1000, f"city {n}", str(n)) for n in (100, 110, 390, 1_000, 1_450)] + [("9 Elm Road, TX", None, None, None, None), ("Oak", 1.0, 1.0, None, None)],
+                                   "address string, latitude double, longitude double, city string, zip_code string")
+    asked = {1: "104 OAK ST., Katy, TX 77001", 2: "110 Oak Street, Katy, TX 77001", 3: "250 Oak Street, Katy, TX 77001", 4: "99 Oak Street, Katy, TX 77001", 5: "1100 Oak Street, Katy, TX 77001", 6: "Oak Street", 7: "8 Elm Road", 8: None, 9: "104 Oak Street, Katy, TX 77001", 10: "106 Oak Street, Katy, TX 77001"}
+    got = {r.id: (r.matched, r.latitude and round(r.latitude, 6), r.city) for r in store.geocoded_between(spark.createDataFrame(list(asked.items()), "id long, address string"), places).collect()}
+    assert got == {1: ("interpolated", 29.104, "city 100"), 2: ("full", 29.11, "city 110"), 3: ("interpolated", 29.25, "city 110"), 4: ("none", None, None), 5: ("none", None, None), 6: ("none", None, None), 7: ("none", None, None),
+                   8: ("none", None, None), 9: ("interpolated", 29.104, "city 100"), 10: ("interpolated", 29.106, "city 110")}
+
+
+def test_nearest_vectors_by_rings(spark):
+    r = random.Random(8)
+    centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(25)]
+    rows = [(i, [c + r.gauss(0, 0.1) for c in centres[i % 25]]) for i in range(3_000)] + [(i + 3_000, [0.5] * 16) for i in range(40)] + [(9_000, None), (9_001, [0.0] * 16), (9_002, [float("nan")] * 16)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = vectors.where("id % 20 = 0").select(F.col("id").alias("subject_id"), F.col("vector").alias("query"))
+    counted = []
+    got = sorted(tuple(x) for x in matching.nearest(vectors, asked, 4, counted=counted).collect())
+    x = np.array([v for _, v in rows[:3_040]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = []
+    for i in range(0, 3_040, 20):
+        score = np.round(x @ x[i], 5)
+        score[i] = -1
+        want += [(i, n + 1, int(j), score[j]) for n, j in enumerate(np.lexsort((np.arange(len(x)), -score))[:4]) if score[j] > 0]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 2e-5 for g, w in zip(got, sorted(want)))
+    assert sum(counted) < 0.3 * len(x) * len(x) / 20
+
+
 def test_fuzzy_joins_are_brute_force(spark):
     r = random.Random(2)
     streets = ["Airport Road", "Eastex Highway", "North Main Street", "Oak"]
@@ -86,7 +129,7 @@ def test_ratio_join_is_whole(spark):
     import __spark_entry__ as e
 
     sf_dir = "/root/testdata/sf0.001"
-    new, stored = view(spark, sf_dir, "new_listings").limit(6).select("new_id", "address"), view(spark, sf_dir, "sale_comps").select("id", "address")
+    new, stored = view(spark, sf_dir, "listing_batch").limit(6).select("new_id", "address"), view(spark, sf_dir, "sale_comps").select("id", "address")
     norm = lambda df: df.withColumn("address", clean.normalize_address(F.col("address"))).collect()
     a, b = norm(new), norm(stored)
     want = {(x.new_id, y.id) for x in a for y in b if SequenceMatcher(None, x.address, y.address).ratio() >= 0.85}
@@ -95,6 +138,77 @@ def test_ratio_join_is_whole(spark):
     assert got == want and want
 
 
+def streets(r, n):
+    """Addresses of many streets, and some that differ from an earlier one by a few letters."""
+    syllables = ["ar", "bel", "cor", "den", "el", "fair", "glen", "hol", "in", "ken", "lan", "mor", "nor", "oak", "pine", "quail", "rose", "sun", "tal", "wood"]
+    out = []
+    for _ in range(n):
+        if out and r.random() < 0.3:
+            a = list(r.choice(out))
+            for _ in range(r.randint(0, 6)):
+                i = r.randrange(len(a))
+                a[i: i + r.randint(0, 1)] = r.choice(["", "x", " ", "7"])
+            out.append("".join(a))
+        else:
+            out.append(f"{r.randint(1, 9999)} {''.join(r.choices(syllables, k=r.randint(2, 3)))} {r.choice(['Street', 'Road', 'Lane', 'Drive'])}, {''.join(r.choices(syllables, k=2))}, TX {r.randint(73000, 79999)}")
+    return out
+
+
+def test_ratio_candidates_are_few_and_best_matches_rise(spark):
+    r = random.Random(9)
+    every = streets(r, 700)
+    stored = list(enumerate(every)) + [(1_000 + i, a) for i, a in enumerate(every[::7])] + [(3_000, "z" * 230), (3_001, "the " * 60)]
+    new = [(i, a) for i, a in enumerate(r.sample(every, 60) + streets(r, 60) + ["", None, "!", "q", "z" * 229, "the " * 59 + "end"])]
+    s, n = spark.createDataFrame(stored, "id long, address string"), spark.createDataFrame(new, "new_id long, address string")
+    norm = lambda rows: {i: a for i, a in zip([x[0] for x in rows], column(spark, clean.normalize_address, [x[1] for x in rows])) if a}
+    a, b = norm(new), norm(stored)
+    pairs = {}
+    for x in set(a.values()):
+        for y in set(b.values()):
+            m = SequenceMatcher(None, x, y)
+            if m.quick_ratio() >= 0.85 and m.ratio() >= 0.85:
+                pairs[x, y] = m.ratio()
+    want = {(i, j): pairs[x, y] for i, x in a.items() for j, y in b.items() if (x, y) in pairs}
+    assert {(x.new_id, x.existing_id): x.score for x in duplicates.by_ratio(n, s).collect()} == want
+    top = {}
+    for (i, j), score in want.items():
+        top[i] = min(top.get(i, (0, 0)), (-score, j))
+    assert {x.new_id: (-x.score, x.existing_id) for x in duplicates.best(n, s).collect()} == top and len(top) > 60
+    assert {x.new_id for x in duplicates.without_duplicates(n, duplicates.best(n, s)).collect()} == {i for i, _ in new} - set(top)
+    fresh, held = (spark.createDataFrame([(x,) for x in set(d.values())], f"{c} string") for d, c in ((a, "a"), (b, "b")))
+    met = duplicates._may_match(fresh, held, 0.85).count()
+    assert met < 0.05 * fresh.count() * held.count()
+    risen = duplicates.best_of(fresh, held.withColumn("first_id", F.lit(1).cast("bigint"))).agg(F.sum("tried")).first()[0]
+    assert risen < met
+
+
+def test_spaces_of_addresses(spark):
+    odd = ["123\u00a0Main Street", "\t5 Oak Road\n", " \u2003 ", "! x", "9\u2009 Elm\u3000\u3000Lane \x1f", "5 R\u00fce Road", "Cafe\u0301 Street", "\u0661 North-East"]
+    assert column(spark, clean.normalize_address, odd) == ["123 main st", "5 oak rd", "", " x", "9 elm ln", "5 r\u00fce rd", "cafe st", "\u0661 northeast"]
+
+
+def test_top_matches_are_those_of_all_pairs(spark):
+    r = random.Random(12)
+    some = lambda x: None if r.random() < 0.15 else x
+    rows = [(i, some(29 + r.random() * 1.5), -96 + r.random() * 1.3, some(r.lognormvariate(9, 1)), some(r.lognormvariate(12, 1)), some(r.random() * 90), some(float(r.randint(1960, 2024))), some(f"{r.randint(1995, 2003)}-0{r.randint(1, 9)}-11")) for i in range(5_000)]
+    rows += [(i + 5_000, *rows[i % 3][1:]) for i in range(200)]  # ties
+    comps = spark.createDataFrame(rows, "id long, latitude double, longitude double, building_size double, sale_price double, price_per_sf double, year_built double, closing_date string").withColumn("closing_date", F.col("closing_date").cast("date"))
+    asked = spark.createDataFrame([(i, 29 + r.random() * 1.5, -96 + r.random() * 1.3, some(r.lognormvariate(9, 1)), some(r.lognormvariate(12, 1)), some(40.0), some(2000.0)) for i in range(12)] + [(99, rows[0][1] or 29.5, *rows[0][2:7]), (100, 60.0, 10.0, None, None, None, None)],
+                                  "subject_id long, latitude double, longitude double, building_size double, sale_price double, price_per_sf double, year_built double")
+    day = F.lit("2002-01-01").cast("date")
+    dims, counted = matching.sale_dimensions(day), []
+    got = [tuple(x) for x in matching.top_matches(comps, asked, dims, matching.sale_bounds(day), matching.WEIGHTS, matching.sale_cells(), 5, counted=counted).collect()]
+    plain = matching.scored(comps, asked, dims, matching.WEIGHTS).withColumn("match_score", F.round("match_score", 6))
+    want = [tuple(x) for x in matching.ranked(plain, 5).select("subject_id", "rank", "id", "match_score").collect()]
+    assert sorted(got) == sorted(want) and len(got) >= 65
+    assert counted[0] < 0.2 * 5_200 * 14
+    with pytest.raises(ValueError):
+        matching.top_matches(comps, asked, dims | {"own": lambda s, c: c("id")}, matching.sale_bounds(day), matching.WEIGHTS | {"own": 1.0}, matching.sale_cells(), 5)
+    own = dims | {"own": lambda s, c: F.when(c("id") % 2 == 0, 1.0).otherwise(0.0)}  # a dimension of the caller's, over all pairs
+    best = matching.ranked(matching.scored(comps, asked, own, {"own": 1.0}), 3).collect()
+    assert all(x.id % 2 == 0 for x in best) and len(best) == 14 * 3
+
+
 def test_assignment_is_brute_force():
     rng = np.random.default_rng(4)
     for rows, cols in [(1, 1), (3, 3), (2, 5), (5, 2), (5, 5)]:
@@ -206,9 +320,9 @@ def test_changes_in_order_latitudes_and_blocks(spark, monkeypatch):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, city string")
     changes = spark.createDataFrame([(1, "z", 1), (1, "c", 2)], "id long, city string, at int")
     assert {(r.id, r.city) for r in store.updated(base, changes, ["city"], order="at").collect()} == {(1, "c"), (2, "b")}
-    far = spark.createDataFrame([(1, 75.0, 10.0)], "id long, latitude double, longitude double")
-    with pytest.raises(ValueError):
-        radius.radius_join(far, far.withColumnRenamed("id", "subject_id"), 5.0)
+    far = spark.createDataFrame([(1, 75.0, 10.0), (2, 75.0, 10.2), (3, 75.0, 10.4), (4, -89.99, 0.0), (5, -89.99, 170.0), (6, None, 1.0)], "id long, latitude double, longitude double")
+    pairs = radius.radius_join(far, far.withColumnRenamed("id", "subject_id"), 5.0)
+    assert {(r.subject_id, r.id) for r in pairs.collect()} == {(i, i) for i in range(1, 6)} | {(1, 2), (2, 1), (2, 3), (3, 2), (4, 5), (5, 4)}
     monkeypatch.setattr(matching, "BROADCAST_ROWS", 3)
     queries = spark.range(10).withColumnRenamed("id", "subject_id")
     pairs = matching.in_blocks(spark.range(4), queries, "subject_id")
