@@ -4,8 +4,8 @@ A tile (see ``vectors``) keeps one list of its candidates per component, sorted
 slice, each list from the end where its own component's sign makes the contribution largest. A candidate's score lies
 between what has been read of it plus the least that the rest of each list can add, and the same plus the value last read of each list
 it has not appeared in. Candidates whose upper bound is below the k-th best lower bound cannot qualify, seen or not;
-reading stops as soon as few are left, and their scores are then worked out in whole numbers. Every block gives its best k, and a window over the blocks
-the best of all.
+reading stops as soon as few are left, and their scores are then worked out in whole numbers. Bounds are in single precision and parts of the largest component, widened by more than it can lose. Every block gives
+its best k, and a window over the blocks the best of all.
 
 Defined results: see ``search``.
 """
@@ -24,56 +24,73 @@ from . import vectors
 
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 #: Lists are read in so many slices at most.
-SLICES = 16
+SLICES = 10
+#: Queries that read together have so many pairs with candidates at most.
+TOGETHER = 1 << 19
 
 
 class Lists:
-    """The candidates of a block and their sorted lists."""
+    """The candidates of a block, and one sorted list per component: its values, and every candidate's place in it."""
 
     def __init__(self, rows: pa.Table):
         self.ids = rows.column("id").to_numpy()
         self.whole = vectors.matrix(rows.column("vec"))
-        self.at = np.ascontiguousarray(np.argsort(self.whole, axis=0, kind="stable").T.astype(np.int32))
-        self.value = np.take_along_axis(self.whole.T, self.at, axis=1).astype(np.float64)
+        n, self.width = self.whole.shape
+        order = np.argsort(self.whole, axis=0, kind="stable")
+        unit = float(np.abs(self.whole.astype(np.float64)).max()) or 1.0
+        self.real = (self.whole / unit).astype(np.float32)
+        self.value = np.take_along_axis(self.real, order, axis=0)
+        self.place = np.empty((n, self.width), np.int32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
 
 
-def top(tile: Lists, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and scores of the best ``k`` candidates but the query's own, best first, ties to smaller ids; and how many entries of each list were read."""
+def top(tile: Lists, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query the ids and scores of the best ``k`` candidates but its own, best first, ties to smaller ids; and how many entries of each list were read.
+
+    Queries read together: a list is read from its high end by those that weigh it above 0 and from its low end by those below, so a slice of both ends is one matrix product.
+    """
     n = len(tile.ids)
-    rows = np.flatnonzero(tile.ids != own)
-    lists = np.flatnonzero(query)
-    weight = query[lists].astype(np.float64)[:, None]
-    falling = weight > 0
-    known, unread = np.zeros(n), np.ones((n, len(lists)))
-    least = np.where(falling[:, 0], tile.value[lists, 0], tile.value[lists, -1]) * weight[:, 0]
-    most = np.abs(weight[:, 0]) * np.maximum(np.abs(tile.value[lists, 0]), np.abs(tile.value[lists, -1]))
-    slack = 1e-12 * most.sum()  # for sums that doubles do not hold
-    enough, step, depth = max(8 * k, n // 32), max(1, -(-n // SLICES)), 0
-    column = np.arange(len(lists))[:, None]
-    while depth < n and len(rows) > enough and len(lists):
-        place = np.arange(depth, min(n, depth + step))
-        place = np.where(falling, n - 1 - place, place)
-        seen = tile.at[lists[:, None], place]
-        added = tile.value[lists[:, None], place] * weight
-        known += np.bincount(seen.ravel(), added.ravel(), n)
-        unread[seen, column] = 0
-        depth += place.shape[1]
-        open_, so_far = unread[rows], known[rows]
-        lower = so_far + open_ @ least - slack
-        kth = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
-        rows = rows[so_far + open_ @ added[:, -1] + slack >= kth]
-    score = tile.whole[rows] @ query
-    best = np.lexsort((tile.ids[rows], -score))[:k]
-    return tile.ids[rows][best], score[best], depth
+    out: list = [None] * len(queries)
+    open_, depth, enough, step = np.arange(len(queries)), 0, max(8 * k, n // 16), max(1, -(-n // SLICES))
+    scaled = queries / np.maximum(1.0, np.abs(queries.astype(np.float64)).max(axis=1, keepdims=True))
+    weight = np.concatenate([np.maximum(scaled, 0), np.minimum(scaled, 0)], axis=1).astype(np.float32)
+    far = np.concatenate([tile.value[0], tile.value[-1]]) * weight  # the other end of each list: the least that what is unread can add
+    most = np.maximum(np.abs(tile.value[0]), np.abs(tile.value[-1]))
+    slack = (np.abs(scaled) @ most * (8 * tile.width + 8) * 2.0**-24)[:, None]  # more than single precision loses
+    known = np.zeros((len(queries), n), np.float32)
+    mine = tile.ids == own[:, None]
+    while len(open_):
+        end = min(n, depth + step)
+        high, low = tile.place >= n - end, tile.place < end
+        slice_ = np.concatenate([tile.real * (high & (tile.place < n - depth)), tile.real * (low & (tile.place >= depth))], axis=1)
+        known += weight[open_] @ slice_.T
+        depth = end
+        unread = np.concatenate([~high, ~low], axis=1).astype(np.float32)
+        last = np.concatenate([tile.value[n - end], tile.value[end - 1]]) * weight[open_]
+        lower = known + far[open_] @ unread.T - slack[open_]
+        lower[mine[open_]] = -np.inf
+        kth = np.partition(lower, n - k, axis=1)[:, n - k, None] if n >= k else np.full((len(open_), 1), -np.inf)
+        may = (known + last @ unread.T + slack[open_] >= kth) & ~mine[open_]
+        done = (may.sum(axis=1) <= enough) | (depth >= n)
+        for i in np.flatnonzero(done):
+            rows = np.flatnonzero(may[i])
+            score = tile.whole[rows] @ queries[open_[i]]
+            best = np.lexsort((tile.ids[rows], -score))[:k]
+            out[open_[i]] = (tile.ids[rows][best], score[best], depth)
+        open_, known = open_[~done], known[~done]
+    return out
 
 
 def _answer(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile, asked in vectors.tiles(batches, Lists):
-            queries, ids = vectors.matrix(asked.column("vec"), tile.whole.shape[1]), asked.column("id").to_numpy()
-            found = [top(tile, q, own, k)[:2] for q, own in zip(queries, ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                                             names=["query_id", "vec_id", "score"])
+            queries, ids = vectors.matrix(asked.column("vec"), tile.width), asked.column("id").to_numpy()
+            together = max(1, TOGETHER // len(tile.ids))
+            for low in range(0, len(ids), together):
+                part = slice(low, low + together)
+                found = top(tile, queries[part], ids[part], k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
+                                                 names=["query_id", "vec_id", "score"])
     return run
 
 

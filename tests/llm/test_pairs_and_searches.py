@@ -148,13 +148,16 @@ def test_topk_reads_only_part_of_the_lists():
     x[:10] += 200
     rows = pa.table({"id": np.arange(4_000), "vec": pa.array(x.tolist(), pa.list_(pa.int64()))})
     tile = topk.Lists(rows)
-    ids, score, depth = topk.top(tile, x[0], 0, 5)
+    ids, score, depth = topk.top(tile, x[:1], np.array([0]), 5)[0]
     exact = x @ x[0]
     exact[0] = -(2**60)
     assert score.tolist() == sorted(exact.tolist(), reverse=True)[:5] and (exact[ids] == score).all() and depth < 2_000
-    assert topk.top(tile, np.zeros(8, np.int64), 3, 5)[0].tolist() == [0, 1, 2, 4, 5]
+    assert topk.top(tile, np.zeros((1, 8), np.int64), np.array([3]), 5)[0][0].tolist() == [0, 1, 2, 4, 5]
+    big = np.array([[2**31, 5], [2**31, -5], [-(2**31), 2**20], [7, 0]])
+    huge = topk.Lists(pa.table({"id": np.arange(4), "vec": pa.array(big.tolist(), pa.list_(pa.int64()))}))
+    assert topk.top(huge, np.array([[2**20, 3]]), np.array([9]), 2)[0][1].tolist() == [2**51 + 15, 2**51 - 15]
     ties = topk.Lists(pa.table({"id": np.arange(900)[::-1].copy(), "vec": pa.array([[5, -5]] * 900, pa.list_(pa.int64()))}))
-    assert topk.top(ties, np.array([1, -1]), 1, 3)[0].tolist() == [0, 2, 3]
+    assert topk.top(ties, np.array([[1, -1]]), np.array([1]), 3)[0][0].tolist() == [0, 2, 3]
 
 
 def test_topk_edges(spark):
