@@ -1,8 +1,10 @@
-"""The property store as versioned Parquet: load, append, update, delete, count; and geocoding against a gazetteer."""
+"""The property store as bucketed, versioned Parquet: load, append, update, delete, count; and geocoding against a gazetteer."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -67,37 +69,88 @@ def deleted(base: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return base.join(ids.select(key).distinct(), key, "left_anti")
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first; the change was not made and can be tried again."""
+
+
 class Store:
-    """A table kept as versions: a change writes a new folder and then a one-row pointer to it, so readers never see half a change."""
+    """A table as Parquet folders by hash bucket of the id, and numbered versions that name the folders and buckets that are live.
 
-    def __init__(self, spark, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    A change reads and writes only the buckets that its ids fall into; an append writes only what is new. A version is a small file that is created only if its number is free, so readers see a change
+    whole or not at all, and of two writers that start from the same version the second gets ``Conflict`` instead of undoing the first. Ids are whole numbers; ``buckets`` holds for the life of the store.
+    """
 
-    def read(self) -> DataFrame:
+    def __init__(self, spark, path: str, schema: T.StructType, buckets: int = 64):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+
+    def _file(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def version(self) -> tuple[int, dict[str, list[int]]]:
+        """The newest version's number, and its live buckets by folder; one that is still being written does not count."""
+        fs, where = self._file(f"{self.path}/versions")
+        names = sorted((f.getPath().getName() for f in fs.listStatus(where)), reverse=True) if fs.exists(where) else []
+        for name in names:
+            row = self.spark.read.schema("live map<string,array<int>>").json(f"{self.path}/versions/{name}").first()
+            if row and row["live"] is not None:
+                return int(name.split(".")[0]), row["live"]
+        return 0, {}
+
+    def _commit(self, after: int, live: dict[str, list[int]]) -> None:
+        fs, where = self._file(f"{self.path}/versions/{after + 1:012d}.json")
         try:
-            last = self.spark.read.schema("version string, at bigint").json(f"{self.path}/versions").orderBy(F.desc("at")).first()
+            out = fs.create(where, False)
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = None
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{last['version']}") if last else self.spark.createDataFrame([], self.schema)
+            if fs.exists(where):
+                raise Conflict(f"version {after + 1} is there already") from e
+            raise
+        out.write(bytearray(json.dumps({"live": {k: sorted(v) for k, v in live.items() if v}}), "utf-8"))
+        out.close()
+
+    def _bucket(self, key: str = "id"):
+        return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(self.buckets)).cast("int")
+
+    def _rows(self, live: dict[str, list[int]]) -> DataFrame:
+        paths = [f"{self.path}/{folder}/bucket={b}" for folder, some in live.items() for b in some]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _written(self, df: DataFrame) -> tuple[str, list[int]]:
+        """A new folder with the rows, and its buckets. Tasks share out large buckets."""
+        folder = f"data-{uuid.uuid4().hex}"
+        conformed(df, self.schema).withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        fs, where = self._file(f"{self.path}/{folder}")
+        names = [f.getPath().getName() for f in fs.listStatus(where)]
+        return folder, [int(n.split("=")[1]) for n in names if n.startswith("bucket=")]
+
+    def _changed(self, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Write the buckets of ``ids`` anew."""
+        number, live = self.version()
+        hit = {r["b"] for r in ids.select(self._bucket().alias("b")).distinct().collect()}  # at most `buckets`
+        folder, some = self._written(change(self._rows({f: [b for b in bs if b in hit] for f, bs in live.items()})))
+        self._commit(number, {f: [b for b in bs if b not in hit] for f, bs in live.items()} | {folder: some})
+
+    def read(self) -> DataFrame:
+        return self._rows(self.version()[1])
 
     def write(self, df: DataFrame) -> None:
-        version = f"data-{uuid.uuid4().hex}"
-        conformed(df, self.schema).write.parquet(f"{self.path}/{version}")
-        self.spark.range(1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("at")).write.mode("append").json(f"{self.path}/versions")
+        number, _ = self.version()
+        folder, some = self._written(df)
+        self._commit(number, {folder: some})
 
     def append(self, new: DataFrame) -> None:
-        self.write(appended(self.read(), conformed(new.withColumn("created_at", F.current_timestamp()), self.schema)))
+        number, live = self.version()
+        folder, some = self._written(new.withColumn("created_at", F.current_timestamp()))
+        self._commit(number, {**live, folder: some})
 
     def update(self, changes: DataFrame, columns: list[str], order: str | None = None) -> None:
-        self.write(updated(self.read(), changes, columns, order=order))
+        self._changed(changes, lambda rows: updated(rows, changes, columns, order=order))
 
     def delete(self, ids: DataFrame) -> None:
-        self.write(deleted(self.read(), ids))
+        self._changed(ids, lambda rows: deleted(rows, ids))
 
     def clear(self) -> None:
-        self.write(self.spark.createDataFrame([], self.schema))
+        self._commit(self.version()[0], {})
 
 
 def geocoded(rows: DataFrame, gazetteer: DataFrame, key: str = "id") -> DataFrame:

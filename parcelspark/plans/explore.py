@@ -175,6 +175,13 @@ def density_grid(spark, sf_dir):
     return radius.density(_sales(spark, sf_dir), "price_per_sf").withColumn("weight", F.round("weight", 4))
 
 
+@query("""WITH c AS (SELECT CAST(floor(latitude / 0.05) AS BIGINT) AS y, CAST(floor(longitude / 0.05) AS BIGINT) AS x, sum(price_per_sf) AS w FROM sale_comps WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND price_per_sf IS NOT NULL GROUP BY 1, 2),
+    o AS (SELECT a.v AS dy, b.v AS dx, pow(1 - (a.v * a.v + b.v * b.v) / 16.0, 2) AS k FROM (SELECT unnest(generate_series(-3, 3)) AS v) AS a, (SELECT unnest(generate_series(-3, 3)) AS v) AS b WHERE a.v * a.v + b.v * b.v < 16)
+    SELECT y + dy AS cell_y, x + dx AS cell_x, round(sum(w * k), 3) AS heat FROM c CROSS JOIN o GROUP BY 1, 2""")
+def density_smoothed(spark, sf_dir):
+    return radius.smoothed(radius.density(_sales(spark, sf_dir), "price_per_sf")).withColumn("heat", F.round("heat", 3))
+
+
 @query("SELECT round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude FROM sale_comps")
 def map_center(spark, sf_dir):
     return radius.center(_sales(spark, sf_dir)).select(F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))

@@ -216,3 +216,12 @@ def stream_ingest_dedupe(spark, sf_dir):
     stored, checkpoint = folder(spark, "stream-store"), folder(spark, "stream-checkpoint")
     # a pattern, as a stream's plain path must be a folder, and the table may be one file
     return arrivals.run_arrivals(spark, f"{sf_dir}/orders.parque[t]", schema, stored, checkpoint, address)
+
+
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""")
+def stream_hourly_events(spark, sf_dir):
+    """Events per hour and type as a stream with a watermark of a day: hours that no late event can reach any more."""
+    schema = view(spark, sf_dir, "events").select("ts", "event_type", "value").schema
+    found = arrivals.hourly_events(spark, f"{sf_dir}/events.parque[t]", schema, folder(spark, "hourly-events"), folder(spark, "stream-checkpoint"))
+    return found.select("hour", "event_type", "n", F.round("total", 4).alias("total"))

@@ -28,6 +28,13 @@ def _both(spark, sf_dir):
     return view(spark, sf_dir, "listing_batch"), view(spark, sf_dir, "sale_comps").select("id", "address")
 
 
+def _stored(spark, sf_dir, name):
+    """A new store with all sales in it."""
+    sales = store.Store(spark, folder(spark, name), store.SALE)
+    sales.append(view(spark, sf_dir, "sale_comps").drop("closing_date"))
+    return sales
+
+
 _N = f"n AS (SELECT new_id, address AS na, {NORMAL.format(c='address')} AS a FROM listing_batch), e AS (SELECT id AS existing_id, address AS ea, {NORMAL.format(c='address')} AS b FROM sale_comps)"
 _LEAST = "list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, '')))))"
 # the longest prefix of each end of x that y holds; of equal lengths the first
@@ -130,14 +137,18 @@ def append_union(spark, sf_dir):
 
 @query("SELECT id, CASE WHEN id % 50 = 0 THEN upper(city) ELSE city END AS city, CASE WHEN id % 50 = 0 THEN NULL ELSE sale_price END AS sale_price, zip_code FROM sale_comps")
 def update_by_id(spark, sf_dir):
-    base = view(spark, sf_dir, "sale_comps").select("id", "city", "sale_price", "zip_code")
-    changes = base.where("id % 50 = 0").select("id", F.upper("city").alias("city"), F.lit(None).cast("double").alias("sale_price"))
-    return store.updated(base, changes, ["city", "sale_price"])
+    """All sales in a store, some of them changed there."""
+    sales = _stored(spark, sf_dir, "update-store")
+    base = sales.read()
+    sales.update(base.where("id % 50 = 0").select("id", F.upper("city").alias("city"), F.lit(None).cast("double").alias("sale_price")), ["city", "sale_price"])
+    return sales.read().select("id", "city", "sale_price", "zip_code")
 
 
 @query("SELECT id, address FROM sale_comps WHERE id NOT IN (SELECT new_id FROM new_listings)")
 def delete_by_ids(spark, sf_dir):
-    return store.deleted(view(spark, sf_dir, "sale_comps"), view(spark, sf_dir, "new_listings").select(F.col("new_id").alias("id"))).select("id", "address")
+    sales = _stored(spark, sf_dir, "delete-store")
+    sales.delete(view(spark, sf_dir, "new_listings").select(F.col("new_id").alias("id")))
+    return sales.read().select("id", "address")
 
 
 @query("SELECT 'sale_comps' AS store, count(*) AS n, count(latitude) AS geocoded, count(*) - count(building_size) AS no_size FROM sale_comps UNION ALL SELECT 'lease_comps', count(*), count(latitude), count(*) - count(leased_sf) FROM lease_comps")
@@ -173,9 +184,7 @@ def popup_text(spark, sf_dir):
 @query("SELECT 'sale_comps' AS store, CAST(0 AS INTEGER) AS n")
 def delete_all(spark, sf_dir):
     """A store with all sales in it, cleared."""
-    kept_at = folder(spark, "clear-store")
-    sales = store.Store(spark, kept_at, store.SALE)
-    sales.append(view(spark, sf_dir, "sale_comps").drop("closing_date"))
+    sales = _stored(spark, sf_dir, "clear-store")
     sales.clear()
     return sales.read().agg(F.count("*").cast("int").alias("n")).select(F.lit("sale_comps").alias("store"), "n")
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import shutil
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -13,6 +14,7 @@ from parcelspark.operators import duplicates, flow, ingest, mapping, matching, r
 from parcelspark.operators.filters import Filter, filtered, page, page_after
 from parcelspark.sources.files import read_cells
 from parcelspark.sources.views import view
+from parcelspark.streaming import arrivals
 
 
 def column(spark, fn, values):
@@ -327,3 +329,86 @@ def test_changes_in_order_latitudes_and_blocks(spark, monkeypatch):
     queries = spark.range(10).withColumnRenamed("id", "subject_id")
     pairs = matching.in_blocks(spark.range(4), queries, "subject_id")
     assert pairs.count() == 40 and pairs.distinct().count() == 40
+
+
+def test_store_changes_only_its_buckets_and_refuses_a_second_writer(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, str(tmp_path / "s"), store.SALE, buckets=8)
+    s.append(spark.range(200).select("id", F.lit("a").alias("address"), F.col("id").cast("double").alias("sale_price")))
+    number, before = s.version()
+    s.update(spark.createDataFrame([(5, 1.5)], "id long, sale_price double"), ["sale_price"])
+    after = s.version()[1]
+    assert number == 1 and s.version()[0] == 2 and len(after) == 2
+    (old, left), (new, moved) = [(k, after[k]) for k in (next(iter(before)), next(k for k in after if k not in before))]
+    assert len(moved) == 1 and sorted(left + moved) == sorted(before[old]) and len(before[old]) == 8
+    assert {(r.id, r.sale_price) for r in s.read().collect()} == {(i, 1.5 if i == 5 else float(i)) for i in range(200)}
+    s.append(spark.createDataFrame([(900, "b")], "id long, address string"))
+    assert sorted(map(len, s.version()[1].values()))[-1] == 7 and s.read().count() == 201
+    held, other = s.read(), store.Store(spark, str(tmp_path / "s"), store.SALE, buckets=8)
+    plain = store.deleted
+
+    def meanwhile(rows, ids):
+        monkeypatch.setattr(store, "deleted", plain)
+        other.delete(spark.createDataFrame([(7,)], "id long"))
+        return plain(rows, ids)
+
+    monkeypatch.setattr(store, "deleted", meanwhile)
+    with pytest.raises(store.Conflict):
+        s.delete(spark.createDataFrame([(8,)], "id long"))
+    assert {7, 8} & {r.id for r in s.read().collect()} == {8} and held.count() == 201  # the first change is there, the second is not, and readers keep their version
+    s.delete(spark.createDataFrame([(8,), (12_345,)], "id long"))
+    assert s.read().where("id in (7, 8)").count() == 0 and s.read().count() == 199
+
+
+def test_arrivals_keep_their_state(spark, tmp_path):
+    """A batch reads nothing that was stored before: known addresses stay known after the stored files are gone."""
+    source, stored, checkpoint = (str(tmp_path / n) for n in ("in", "stored", "checkpoint"))
+    schema = "id long, address string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: arrivals.run_arrivals(spark, source, schema, stored, checkpoint, ["id AS new_id", "address"])
+    put([(4, "1 Oak Street"), (3, "1 oak st."), (5, None), (6, "!")])
+    assert {(r.new_id, r.normalized) for r in run().collect()} == {(3, "1 oak st"), (5, ""), (6, "")}
+    shutil.rmtree(stored)
+    put([(1, "1 OAK ST"), (2, "2 Oak Street"), (7, "2 oak street"), (8, None)])
+    put([(9, "2 Oak St"), (10, "3 Oak St")])
+    assert {r.new_id for r in run().collect()} in ({2, 8, 10}, {9, 8, 10})  # whichever of the two files comes first
+    known = str(tmp_path / "known")
+    spark.createDataFrame([(1, "3 Oak Street")], schema).write.parquet(known)
+    stream = spark.readStream.schema(schema).parquet(source).selectExpr("id AS new_id", "address")
+    arrivals.save_new(stream, str(tmp_path / "other"), str(tmp_path / "c2"), spark.readStream.schema(schema).parquet(known)).awaitTermination()
+    assert {r.new_id for r in spark.read.parquet(str(tmp_path / "other")).collect()} == {1, 2, 5, 6, 8}
+
+
+def test_hours_of_events(spark, tmp_path):
+    rows = [("2024-01-01 10:05:00", "a", 1.0), ("2024-01-01 10:55:00", "a", 2.0), ("2024-01-01 11:00:00", "a", 4.0), ("2024-01-02 11:30:00", "b", 1.0)]
+    spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "e"))
+    got = arrivals.hourly_events(spark, str(tmp_path / "e"), "ts timestamp, event_type string, value double", str(tmp_path / "out"), str(tmp_path / "c")).collect()
+    assert [(str(r.hour), r.event_type, r.n, r.total) for r in got] == [("2024-01-01 10:00:00", "a", 2, 3.0)]
+
+
+def test_smoothed_density(spark):
+    cells = spark.createDataFrame([(0, 0, 2.0), (1, 2, 1.0)], "cell_y long, cell_x long, weight double")
+    got = {(r.cell_y, r.cell_x): r.heat for r in radius.smoothed(cells, 2).collect()}
+    want = {}
+    for y, x, w in ((0, 0, 2.0), (1, 2, 1.0)):
+        for dy in range(-2, 3):
+            for dx in range(-2, 3):
+                if dy * dy + dx * dx < 9:
+                    want[y + dy, x + dx] = want.get((y + dy, x + dx), 0) + w * (1 - (dy * dy + dx * dx) / 9) ** 2
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_mapping_of_files_as_a_whole(spark, tmp_path):
+    """Close spellings, the greatest total, the file's name, vectors, and which header names the unit of a rate."""
+    (tmp_path / "tenant list.csv").write_text("Adress,Tennant,Size SF,Rental Rate,Asking Rate /mo,Lease Trm\n1 Oak Street,Eve,1000,24.0,2.0,36\n2 Oak Street,Fay,2000,30.0,2.5,24\n")
+    (tmp_path / "more leases.csv").write_text("Property Address,Tenant,Leased SF,Asking Rate /mo,Lease Term\n5 Oak Street,Gus,1000,5.25,36\n6 Oak Street,Hal,2000,6.5,24\n")
+    (tmp_path / "leases 3.csv").write_text("Property Address,Tenant,Leased SF,Asking Rate /mo,Lease Term,Where it is\n7 Oak Street,Ida,1000,$5.25,36,near\n8 Oak Street,Jon,2000,$6.50,24,far\n")
+    places = spark.createDataFrame([("1 Oak Street, TX", 29.1, -95.0, "Katy", "77001")], "address string, latitude double, longitude double, city string, zip_code string")
+    rows = {r.address[:1]: r for r in flow.ingested(read_cells(spark, str(tmp_path)), places)["LEASE"].collect()}
+    assert set(rows) == set("125678")
+    assert (rows["1"].tenant_name, rows["1"].term_months, rows["1"].leased_sf, rows["1"].latitude) == ("Eve", 36.0, 1000.0, 29.1)
+    assert rows["5"].rate_monthly == 5.25 and rows["5"].rate_annually == 63.0  # plain numbers: the mapped header names the unit
+    assert rows["7"].rate_annually == 5.25  # money texts: the level of the rates decides
+    heads = spark.createDataFrame([("where it is", [1.0, 0.0]), ("tenant", [0.0, 1.0])], "header string, header_vector array<double>")
+    fields = spark.createDataFrame([("address", [0.0, 1.0]), ("notes", [0.9, 0.1])], "field string, field_vector array<double>")
+    noted = {r.address[:1]: r for r in flow.ingested(read_cells(spark, str(tmp_path)), places, vectors=(heads, fields))["LEASE"].collect()}
+    assert noted["7"].notes == "near" and noted["8"].notes == "far" and rows["7"].notes is None and noted["7"].raw_address_data == "Ida"
