@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ SHIFT = 1 << 24
 #: So many of the most frequent pairs are broadcast at most (20 bytes each).
 BROADCAST_PAIRS = 1_000_000
 #: Texts are aligned in runs of about so many characters; a longer text is a run of its own.
-RUN = 1 << 20
+RUN = 1 << 18
 #: Units, of 16 characters each, that a task remembers before it starts again.
 UNITS = 250_000
 #: Where a text is cut into units.
@@ -207,15 +208,15 @@ def _pair(a: bytes, b: bytes) -> Pair:
     return _PAIRS[key]
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > RUN:
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    start, so_far = 0, 0
+    for i, n in enumerate(sizes):
+        if so_far and so_far + n > RUN:
             yield start, i
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
+            start, so_far = i, 0
+        so_far += n
+    if sizes:
+        yield start, len(sizes)
 
 
 def distinct_texts(docs: DataFrame, text: str, a_vocabulary: str, b_vocabulary: str) -> DataFrame:
@@ -228,9 +229,8 @@ def distinct_texts(docs: DataFrame, text: str, a_vocabulary: str, b_vocabulary:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*files.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for low, high in _runs(texts):
-                found = pair.aligned(texts[low:high])
+            for low, high in _runs(pc.utf8_length(batch.column("text")).to_pylist()):
+                found = pair.aligned(batch.column("text").slice(low, high - low).to_pylist())
                 keep = [i for i, f in enumerate(found) if f is not None]
                 rows = [found[i] for i in keep]
                 some = batch.slice(low, high - low).take(pa.array(keep, pa.int64()))
