@@ -9,8 +9,8 @@ make up a source. The whole part of that number is certain copies; the rest is a
 The random part is drawn by Pareto order sampling: documents are ranked by q = (u / (1 - u)) / (p / (1 - p)), u being
 a uniform number made from the document's id and text, and the sample is the first of that order up to a fixed size, which is the source's
 sum of p times size. The size is counted in words: the first documents whose sizes together stay within it are taken, and what is
-left, less than the size of the next document, is filled from later ranks that fit (``rounds`` - 1 times). So a source
-ends at most a small document below its target and never above.
+left, less than the size of the next document, is filled from later ranks that fit (``rounds`` - 1 times). Then the document whose size is nearest to what is
+still left is taken too, if the source ends nearer to its target with it. So a source ends within half the size of its smallest open document of its target, a little above or below.
 
 Ranks are not sorted per source. Each source's q axis is cut into ``BINS`` bins, sizes are summed per bin, and only the one
 bin in which the sum crosses the fixed size is ordered row by row; so a source with a third of all rows costs one task at
@@ -76,6 +76,8 @@ def wants(sizes: DataFrame, weights: Sequence[float], share: float, cap: float,
     rows = filled(rows, [source], F.col("target"), "class")
     rest = F.try_divide("target", F.col("source_size").cast("double"))
     rows = rows.withColumn("wanted", F.least(F.lit(float(cap)), F.coalesce(F.try_divide("given", F.col("class_size").cast("double")), rest, F.lit(0.0))))
+    whole = F.round("wanted")  # a number that is whole but for rounding is whole: its documents are certain
+    rows = rows.withColumn("wanted", F.when(F.abs(F.col("wanted") - whole) < 1e-9, whole).otherwise(F.col("wanted")))
     part = (F.col("wanted") - F.floor("wanted")) * F.col("class_size")
     return rows.withColumn("fixed", F.sum(part).over(W.partitionBy(source))).select("source", "class", "source_size", "target", "wanted", "fixed")
 
@@ -117,17 +119,19 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     size = n_words(F.col(text_col))
     docs = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
     docs = docs.withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size")) - 1))
-    docs = written(docs, "mix-sizes")
+    docs = written(docs.withColumn("nth", F.monotonically_increasing_id()), "mix-sizes")  # tells interchangeable rows apart
     want = written(wants(docs, weights, share, cap, tilt), "mix-wants")
     u, p = uniform(F.col("key"), seed), F.col("wanted") - F.floor("wanted")
     state = joined(docs, want, "source", "class").drop("class").withColumn("whole", F.floor("wanted")) \
         .withColumn("q", F.when((p > 0) & (F.col("size") > 0), (u / (1 - u)) / (p / (1 - p)))) \
         .withColumnRenamed("fixed", "need").withColumn("picked", F.lit(False))
-    for k in range(rounds):
+    for _ in range(rounds):
         state = written(_sampled(state).withColumn("picked", F.col("picked") | F.col("now")), "mix-round")
-        if k + 1 < rounds:
-            took = written(state.where("now").groupBy("source").agg(F.sum("size").alias("got")), "mix-took")
-            state = joined(state, took, "source", how="left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).drop("got", "now")
+        took = written(state.where("now").groupBy("source").agg(F.sum("size").alias("got")), "mix-took")
+        state = joined(state, took, "source", how="left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).drop("got", "now")
+    off = F.abs(F.col("size") - F.col("need"))
+    last = state.where(F.col("q").isNotNull() & ~F.col("picked") & (off < F.col("need"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "key", "nth")).alias("last"))
+    state = joined(state, written(last, "mix-last"), "source", how="left").withColumn("picked", F.col("picked") | F.coalesce(F.col("nth") == F.col("last.nth"), F.lit(False)))
     copies = (F.col("whole") + F.col("picked").cast("int")).cast("long")
     return state.select("id", "key", "source", "size", "source_size", "target", "wanted", "q", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
