@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -37,17 +38,22 @@ def clean_header(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"(?U)\s+", " ")
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once; written out, a value that is used often makes code that is too long to compile."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def to_float(c: Column) -> Column:
     """The number in a spreadsheet cell: percent and per-unit forms, currency, or the first run of digits if it is no noise."""
-    text = stripped(c)
-    s = F.regexp_replace(text, r"sf|SF|[,$]", "")
-    percent = F.nullif(F.regexp_extract(s, r"^([\d.]+)\s*%", 1), F.lit(""))
-    per_unit = F.nullif(F.regexp_extract(s, r"^([\d.]+)\s*/\s*\w+", 1), F.lit(""))
-    pieces = r"(?s)^([^0-9]*)([0-9]+\.?[0-9]*)(.*)$"
-    run = F.regexp_extract(s, pieces, 2)
-    rest = F.length(F.trim(F.concat(F.regexp_extract(s, pieces, 1), F.regexp_extract(s, pieces, 3))))
-    some = F.when((run != "") & ((F.length(run) >= 2) | (rest <= 2 * F.length(run))), parsed(run))
-    return F.when(text.isin(PLACEHOLDERS), None).when(percent.isNotNull(), parsed(percent)).otherwise(F.coalesce(parsed(per_unit), parsed(s), some))
+    def number(s: Column) -> Column:
+        percent = F.nullif(F.regexp_extract(s, r"^([\d.]+)\s*%", 1), F.lit(""))
+        per_unit = F.nullif(F.regexp_extract(s, r"^([\d.]+)\s*/\s*\w+", 1), F.lit(""))
+        pieces = r"(?s)^([^0-9]*)([0-9]+\.?[0-9]*)(.*)$"
+        rest = F.length(F.trim(F.concat(F.regexp_extract(s, pieces, 1), F.regexp_extract(s, pieces, 3))))
+        some = bound(F.regexp_extract(s, pieces, 2), lambda run: F.when((run != "") & ((F.length(run) >= 2) | (rest <= 2 * F.length(run))), parsed(run)))
+        return F.when(percent.isNotNull(), parsed(percent)).otherwise(F.coalesce(parsed(per_unit), parsed(s), some))
+
+    return bound(stripped(c), lambda text: F.when(~text.isin(PLACEHOLDERS), bound(F.regexp_replace(text, r"sf|SF|[,$]", ""), number)))
 
 
 def to_float_2(c: Column) -> Column:
@@ -69,11 +75,15 @@ def normalize_address(c: Column) -> Column:
     """Lower case without punctuation, runs of any white space as one space, abbreviated. White space at the ends goes first, as punctuation beside it may not."""
     c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"^{SPACES}+|{SPACES}+$", "")
     c = F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_" + SPACES[1:], ""), f"{SPACES}+", " ")
-    # plain addresses take one pass over their words; others have word boundaries besides spaces
     short = F.create_map(*[F.lit(w) for pair in ABBREVIATIONS for w in pair])
-    by_word = F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
-    by_pattern = reduce(lambda a, x: F.regexp_replace(a, rf"(?U)\b{x[0]}\b", x[1]), ABBREVIATIONS, c)
-    return F.when(c.rlike("[^a-z0-9_ ]"), by_pattern).otherwise(by_word)
+
+    def abbreviated(c: Column) -> Column:
+        # plain addresses take one pass over their words; others have word boundaries besides spaces
+        by_word = F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
+        by_pattern = reduce(lambda a, x: F.regexp_replace(a, rf"(?U)\b{x[0]}\b", x[1]), ABBREVIATIONS, c)
+        return F.when(c.rlike("[^a-z0-9_ ]"), by_pattern).otherwise(by_word)
+
+    return bound(c, abbreviated)
 
 
 def extract_zip(c: Column, last: bool = False) -> Column:

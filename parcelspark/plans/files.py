@@ -224,4 +224,4 @@ def stream_hourly_events(spark, sf_dir):
     """Events per hour and type as a stream with a watermark of a day: hours that no late event can reach any more."""
     schema = view(spark, sf_dir, "events").select("ts", "event_type", "value").schema
     found = arrivals.hourly_events(spark, f"{sf_dir}/events.parque[t]", schema, folder(spark, "hourly-events"), folder(spark, "stream-checkpoint"))
-    return found.select("hour", "event_type", "n", F.round("total", 4).alias("total"))
+    return found.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))

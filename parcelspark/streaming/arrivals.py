@@ -37,7 +37,7 @@ def save_new(stream: DataFrame, stored_path: str, checkpoint: str, stored: DataF
 
 def busiest_hours(events: DataFrame) -> DataFrame:
     """Count and sum of events per hour and type, late ones up to a day."""
-    return events.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def run_arrivals(spark: SparkSession, source: str, schema, stored_path: str, checkpoint: str, address: list[str], files: int = 1) -> DataFrame:

@@ -1,5 +1,6 @@
 """Edge tables, properties and brute-force versions of the property operators."""
 
+import csv
 import itertools
 import random
 import shutil
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions import clean, geo
 from parcelspark.operators import duplicates, flow, ingest, mapping, matching, radius, rates, stats, store
 from parcelspark.operators.filters import Filter, filtered, page, page_after
-from parcelspark.sources.files import read_cells
+from parcelspark.sources.files import MISSING, read_cells
 from parcelspark.sources.views import view
 from parcelspark.streaming import arrivals
 
@@ -305,6 +306,35 @@ def test_csv_files_to_stored_records(spark, tmp_path):
     assert found["SALE"].columns == store.SALE.names and found["LEASE"].columns == store.LEASE.names
 
 
+@pytest.mark.parametrize("size", [40, 64, 97, 1 << 20])
+def test_large_files_are_cut_anywhere(spark, tmp_path, size):
+    """Files read in byte ranges of every kind of length give the cells of a csv reader, whatever lies at the cuts."""
+    r = random.Random(size)
+    texts = ["a", "", "12", "x y", "two\nlines", "\n", "a,b", 'say ""hi""', '"', "five\" pipe", "three\n\nlines, and\nmore", "\r\n", "é" * 9, ",", '""', "end\n"]
+
+    def cell(t):
+        return f'"{t.replace(chr(34), chr(34) * 2)}"' if any(c in t for c in ',\n\r') or t.startswith('"') or r.random() < 0.2 else t
+
+    for k in range(4):
+        rows = [[r.choice(texts) for _ in range(r.randint(1, 6))] for _ in range(60)]
+        end = "\r\n" if k % 2 else "\n"
+        body = "".join(("" if r.random() < 0.1 else ",".join(map(cell, row))) + end for row in rows)
+        if k == 3:
+            body = body.rstrip("\r\n") + ',"never closed, and\nso on'
+        (tmp_path / f"f{k}.csv").write_text(body, encoding="utf-8", newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = {(r.file_no[-6:], r.row_idx, r.col_idx): r.value for r in read_cells(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {}
+    for k in range(4):
+        with open(tmp_path / f"f{k}.csv", newline="", encoding="utf-8") as f:
+            rows = [row for row in csv.reader(f) if row]
+        want |= {(f"f{k}.csv", i, j): v for i, row in enumerate(rows) for j, v in enumerate(row) if v not in MISSING}
+    assert got == want and len(want) > 300
+
+
 def test_wide_files_keep_their_cells(spark, tmp_path):
     (tmp_path / "wide.csv").write_text(",".join(f"h{i}" for i in range(90)) + "\n" + ",".join(str(i) for i in range(90)) + "\n")
     cells = read_cells(spark, str(tmp_path / "wide.csv"))
