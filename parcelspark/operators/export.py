@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def to_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    """Part files with a header each; quotes are doubled, and cells with separators, quotes or line breaks are quoted."""
+    df.write.option("header", True).option("escape", '"').csv(path)
 
 
 def _escaped(c: Column) -> Column:

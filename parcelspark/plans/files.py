@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_header, confidence_status, label
-from ..operators import flow
+from ..operators import export, flow
 from ..operators import ingest as g
 from ..operators import mapping as m
 from ..operators.matching import cosine
+from ..sources.files import read_cells
 from ..sources.scratch import folder
 from ..sources.views import view, with_views
 from ..streaming import arrivals
@@ -92,6 +93,24 @@ def header_dedup(spark, sf_dir):
     return g.headers(_cells(spark, sf_dir)).select("file_no", "col_idx", "header")
 
 
+@query(f"WITH {_DATA}, f AS (SELECT file_no, row_idx FROM (SELECT DISTINCT file_no, row_idx FROM dt) QUALIFY row_number() OVER (PARTITION BY file_no ORDER BY row_idx) <= 6) SELECT file_no, row_idx, col_idx, value FROM dt JOIN f USING (file_no, row_idx)")
+def data_row_cap(spark, sf_dir):
+    """At most six rows of each file."""
+    cells = _cells(spark, sf_dir)
+    return g.data_cells(cells, g.headers(cells), 6).select("file_no", "row_idx", "col_idx", "value")
+
+
+@query("""SELECT id, address, notes || ' "' || city || E'"\\n' || zip_code AS remark, CAST(CAST(year_built AS INTEGER) AS VARCHAR) AS built FROM sale_comps""")
+def csv_round_trip(spark, sf_dir):
+    """All sales exported as CSV files and read again cell by cell: commas, quotes and line breaks in cells, and missing ones."""
+    sales = view(spark, sf_dir, "sale_comps")
+    remark = F.concat("notes", F.lit(' "'), "city", F.lit('"\n'), "zip_code")
+    path = folder(spark, "csv-export")
+    export.to_csv(sales.select("id", "address", remark.alias("remark"), F.col("year_built").cast("int").alias("built")), path)
+    rows = read_cells(spark, path).where("row_idx > 0").groupBy("file_no", "row_idx").agg(*[F.max(F.when(F.col("col_idx") == i, F.col("value"))).alias(n) for i, n in enumerate(("id", "address", "remark", "built"))])
+    return rows.select(F.col("id").cast("bigint").alias("id"), "address", "remark", "built")
+
+
 @query(f"WITH {_PROFILE} SELECT * FROM profiles")
 def column_profile(spark, sf_dir):
     cells = _cells(spark, sf_dir)
