@@ -2,12 +2,13 @@
 
 The builder closes elements that HTML closes by implication (paragraphs before blocks, list items, table parts, options, the
 head before body content), ignores stray end tags and treats void and raw-text elements as such. The renderer emits all visible text: it
-skips the head, scripts, styles, templates and elements hidden by attribute or inline style, collapses white space outside
+skips the head, scripts, styles, templates and elements hidden by attribute or inline style (``visibility`` is inherited and can be turned on again; rules in style sheets are not looked at), collapses white space outside
 ``pre``, sets blocks on lines of their own (with an empty line around paragraphs, headings, lists and tables), marks and indents list
 items, and pads table cells so that columns align, cells of several rows or columns included. Both walk with explicit stacks, so depth is no limit.
 
 Layout is bounded, text never is: indents stop at ``MOST_INDENT``, columns are padded to ``MOST_WIDTH`` at most (a longer cell is written whole and shifts what
-follows on its line), a gap in a table line is ``MOST_GAP`` spaces at most, and cells span columns and rows among the first ``MOST_COLUMNS`` only. So output is linear in the page.
+follows on its line), a gap in a table line is ``MOST_GAP`` spaces at most, cells span columns and rows among the first ``MOST_COLUMNS`` only, and tables in more than ``MOST_NESTED`` others are written cell by cell. So output is linear in the page, and so is the time, unclosed tags and
+quotes and deep nesting included.
 
 Defined results: null and empty pages give an empty text; text without tags is rendered as it is; broken markup never fails. Rows are
 independent, so an empty table gives an empty result, repeated rows repeat, and further columns stay as they are.
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,9 +27,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
+#: Comments and declarations as a whole; of a tag its beginning, up to what may be quoted.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>"'<]*)""", re.S)
+SPECIAL = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+DISPLAY, VISIBILITY = (re.compile(rf"(?:^|;)\s*{name}\s*:\s*([a-z-]+)", re.I) for name in ("display", "visibility"))
 SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,7 +49,7 @@ CLOSES = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "body": ({"head"}, set()),
 }
-MOST_INDENT, MOST_WIDTH, MOST_GAP, MOST_COLUMNS = 60, 60, 200, 1000
+MOST_INDENT, MOST_WIDTH, MOST_GAP, MOST_COLUMNS, MOST_NESTED = 60, 60, 200, 1000, 16
 #: An end tag does not close elements outside of these.
 SCOPES = frozenset({"table", "td", "th", "caption", "html", "template"})
 
@@ -61,27 +65,59 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in ATTRIBUTE.findall(text)}
 
 
+class TagEnds:
+    """Where a tag ends: the first ``>`` that is not in quotes. Each quote and each ``>`` of a page is looked at once, however many tags are never closed."""
+
+    def __init__(self, page: str):
+        self.page, self.places = page, [m.start() for m in SPECIAL.finditer(page)]
+        self.last = {c: page.rfind(c) for c in "\"'"}
+        self.known: dict[int, int] = {}
+
+    def find(self, at: int) -> int:
+        """Its place, or -1."""
+        path, end = [], -1
+        while True:
+            i = bisect_left(self.places, at)
+            if i == len(self.places):
+                break
+            s = self.places[i]
+            if s in self.known:
+                end = self.known[s]
+                break
+            path.append(s)
+            c = self.page[s]
+            if c == ">":
+                end = s
+                break
+            if s >= self.last[c]:
+                break
+            at = self.page.find(c, s + 1) + 1
+        self.known.update(dict.fromkeys(path, end))
+        return end
+
+
 def build(page: str) -> Node:
-    """The tree of a page; text children are strings, already unescaped."""
+    """The tree of a page; text children are strings, already unescaped. Time is in proportion to the page: where the open elements of each name are is kept, so none are searched for."""
     root = Node("#root")
-    stack, at, end, opened = [root], 0, len(page), Counter()
+    stack, at, end = [root], 0, len(page)
+    opened: defaultdict[str, list[int]] = defaultdict(list)
+    ends = TagEnds(page)
 
     def pop_to(i: int) -> None:
-        opened.subtract(n.tag for n in stack[i:])
-        del stack[i:]
+        while len(stack) > i:
+            opened[stack.pop().tag].pop()
 
     def push(node: Node) -> None:
-        opened[node.tag] += 1
+        opened[node.tag].append(len(stack))
         stack.append(node)
 
+    def nearest(tags) -> int:
+        """The place of the innermost open element of these; 0 if there is none."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close(tags: set, stop: set) -> None:
-        if not any(opened[t] for t in tags):  # else every tag of a deep page would look through all that is open
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in stop:
-                return
-            if stack[i].tag in tags:
-                pop_to(i)
+        while (i := nearest(tags)) > nearest(stop):
+            pop_to(i)
 
     def text(raw: str) -> None:
         if raw:
@@ -94,9 +130,16 @@ def build(page: str) -> Node:
         if not found:
             text(page[at:])
             break
+        name, attrs = found[2], ""
+        if name:
+            close_at = ends.find(found.end())
+            if close_at < 0:  # no tag, but text
+                text(page[at: found.end()])
+                at = found.end()
+                continue
+            attrs = page[found.end(): close_at]
         text(page[at: found.start()])
-        at = found.end()
-        name = found[2]
+        at = close_at + 1 if name else found.end()
         if not name:
             continue
         name = name.lower()
@@ -104,12 +147,9 @@ def build(page: str) -> Node:
             if name == "br":
                 stack[-1].children.append(Node("br"))
                 continue
-            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
-                if stack[i].tag == name:
-                    pop_to(i)
-                    break
-                if stack[i].tag in SCOPES and name not in ("table", "html", "body", "tr", "tbody", "thead", "tfoot"):
-                    break
+            i = nearest((name,))
+            if i and (name in ("table", "html", "body", "tr", "tbody", "thead", "tfoot") or i >= nearest(SCOPES)):
+                pop_to(i)
             continue
         if name not in HEAD and stack[-1].tag == "head":
             pop_to(len(stack) - 1)
@@ -120,9 +160,9 @@ def build(page: str) -> Node:
         if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             stack[-1].children.append(Node("tr"))
             push(stack[-1].children[-1])
-        node = Node(name, found[3])
+        node = Node(name, attrs)
         stack[-1].children.append(node)
-        if name in VOID or found[3].endswith("/") and name in ("svg", "path"):
+        if name in VOID or attrs.endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -143,16 +183,24 @@ def unseen(node: Node) -> bool:
     low = node.attrs.lower()
     if "hidden" in low or "display" in low or "dialog" == node.tag:
         found = attributes(node.attrs)
-        return "hidden" in found and found["hidden"].lower() != "until-found" or bool(HIDING.search(found.get("style", ""))) \
+        return "hidden" in found and found["hidden"].lower() != "until-found" or DISPLAY.findall(found.get("style", ""))[-1:] == ["none"] \
             or node.tag == "dialog" and "open" not in found
     return False
 
 
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether the element's own text is seen: ``visibility`` is inherited, and can be turned on again further in."""
+    if not node.attrs or "visibility" not in node.attrs.lower():
+        return inherited
+    said = [v.lower() for v in VISIBILITY.findall(attributes(node.attrs).get("style", "")) if v.lower() in ("visible", "hidden", "collapse")]
+    return said[-1] == "visible" if said else inherited
+
+
 class Flow:
     """Lines of a block context: the page, or a table cell."""
 
     def __init__(self):
-        self.lines, self.line, self.gap, self.indent, self.marker = [], [], 0, "", ""
+        self.lines, self.line, self.gap, self.indent, self.marker = [], [], 0, 0, ""
 
     def words(self, text: str) -> None:
         text = SPACE.sub(" ", text)
@@ -169,7 +217,7 @@ class Flow:
         if self.lines:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        lead = self.indent[: min(MOST_INDENT, len(self.indent) - len(self.marker))] + self.marker if self.marker else self.indent[:MOST_INDENT]
+        lead = " " * min(MOST_INDENT, self.indent - len(self.marker)) + self.marker
         self.marker = ""
         self.lines.append((lead + body).rstrip())
 
@@ -235,11 +283,13 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 
 def render(page: str) -> str:
     flows, tables, lists = [Flow()], [], []
-    walk: list[tuple[Node | str, bool, int]] = [(build(page), True, 0)]
+    walk: list[tuple[Node | str, bool, int, bool]] = [(build(page), True, 0, True)]
     while walk:
-        node, enter, pre = walk.pop()
+        node, enter, pre, seen = walk.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if not seen:
+                continue
             if tables and tables[-1] is not None and len(flows) == tables[-1]["depth"]:
                 if not node.strip():
                     continue  # white space between cells
@@ -256,6 +306,7 @@ def render(page: str) -> str:
         if enter:
             if unseen(node):
                 continue
+            seen = visible(node, seen)
             if tag == "br":
                 flow.flush(True)
                 continue
@@ -273,23 +324,25 @@ def render(page: str) -> str:
                 if lists and lists[-1][0] == "ol":
                     marker = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
-                flow.indent += " " * len(marker)
-                flow.marker = marker
+                flow.indent += len(marker)
+                flow.marker = marker if seen else ""
                 node.attrs = len(marker)
             elif tag in ("blockquote", "dd"):
-                flow.indent += "  "
+                flow.indent += 2
             elif tag == "table":
-                tables.append({"rows": [], "depth": len(flows)})
+                tables.append({"rows": [], "depth": len(flows)} if len(tables) < MOST_NESTED else None)
+            elif tag in ("tr", "td", "th") and tables and tables[-1] is None:
+                flow.block(0)
             elif tag == "tr" and tables:
                 tables[-1]["rows"].append([])
             elif tag in ("td", "th") and tables:
                 if not tables[-1]["rows"]:
                     tables[-1]["rows"].append([])
                 flows.append(Flow())
-            walk.append((node, False, pre))
-            walk.extend((c, True, pre) for c in reversed(node.children))
+            walk.append((node, False, pre, seen))
+            walk.extend((c, True, pre, seen) for c in reversed(node.children))
             continue
-        if tag in ("td", "th") and tables and len(flows) > tables[-1]["depth"]:
+        if tag in ("td", "th") and tables and tables[-1] is not None and len(flows) > tables[-1]["depth"]:
             cell = flows.pop()
             cell.flush()
             found = attributes(node.attrs) if "span" in node.attrs.lower() else {}
@@ -298,7 +351,7 @@ def render(page: str) -> str:
         if tag == "table":
             done = tables.pop()
             flow.flush()
-            for line in aligned(done["rows"]):
+            for line in aligned(done["rows"]) if done else ():
                 flow.line.append(line)
                 flow.flush()
         elif tag in ("ul", "ol", "menu", "dir"):
@@ -306,10 +359,10 @@ def render(page: str) -> str:
             lists.pop()
         elif tag == "li":
             flow.flush()
-            flow.indent, flow.marker = flow.indent[: len(flow.indent) - node.attrs], ""
+            flow.indent, flow.marker = flow.indent - node.attrs, ""
         elif tag in ("blockquote", "dd"):
             flow.flush()
-            flow.indent = flow.indent[:-2]
+            flow.indent -= 2
         if tag in BLOCK:
             flow.block(1 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu", "dir")) else 0)
         elif tag == "caption":

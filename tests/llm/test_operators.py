@@ -619,6 +619,29 @@ def test_all_visible_words_in_order(spark):
     assert rows.limit(0).select(html_text.rendered("html")).count() == 0
 
 
+def test_html_time_is_linear():
+    """Pages that made the tree builder search, at n and 2n: unclosed tags and quotes, and deep nesting of every kind."""
+    import time
+
+    pages = [lambda n: "<p><button>" + "<div>" * n, lambda n: "<b><td>" + "<div>" * n + "</b>" * n, lambda n: "<b " * n, lambda n: "<b" * n, lambda n: "<b \"\" '" * n, lambda n: "<a '\"" * n + "x>", lambda n: "<ul><li>" * n + "x",
+             lambda n: "<table><tr><td>x" * n, lambda n: "<table><tr><td>" * (n // 2) + "x<br>" * n, lambda n: "<li>x</p></td>" * n, lambda n: "<!" * n, lambda n: "<option><p>" * n]
+
+    def seconds(page):
+        start = time.process_time()
+        html_text.render(page)
+        return time.process_time() - start
+
+    for page in pages:
+        assert seconds(page(20_000)) <= 3.0 * seconds(page(10_000)) + 0.25
+
+
+def test_html_visibility_is_inherited():
+    assert html_text.render('<div style="visibility:hidden">no<span style="visibility:visible">yes</span> no</div>') == "yes"
+    assert html_text.render('<p style="visibility: hidden">a<b>b</b></p><p style="display:none">c<i style="visibility:visible">d</i></p>e') == "e"
+    assert html_text.render('<ul><li style="visibility:collapse">x<p style="VISIBILITY: Visible">y</ul><p style="visibility:hidden;visibility:visible">z') .split() == ["y", "z"]
+    assert html_text.render("<a \" <b>x</b>") == "<a \" x" and html_text.render("1 <b 2 > 3 </b> < 4") == "1 3 < 4"
+
+
 # 10
 def test_repeated_passages_are_brute_force(spark):
     rng = random.Random(10)
