@@ -264,6 +264,34 @@ def loess_rent_time(spark, sf_dir):
     return stats.loess(_rated(spark, sf_dir), "commencement_date", "rate_monthly")
 
 
+def _lowess_sql(date: str, value: str, table: str, more: str = "", rounds: int = 3) -> str:
+    """Row by row where the query works day by day: positions of all rows, and the neighbourhood's first row from pairs of rows k apart."""
+    parts = [f"o AS MATERIALIZED (SELECT date_diff('day', DATE '1970-01-01', {date}) AS day, CAST({value} AS DOUBLE) AS y FROM {table} WHERE {date} IS NOT NULL AND {value} IS NOT NULL)",
+             "xs AS MATERIALIZED (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FROM o)", "z AS (SELECT count(*) AS size, greatest(1, CAST(floor(2.0::DOUBLE / 3 * count(*) + 1e-10) AS BIGINT)) AS k FROM o)",
+             "ds AS MATERIALIZED (SELECT day, min(pos) AS start, max(pos) AS last, count(*) AS n FROM xs GROUP BY day)", "p AS (SELECT a.day + b.day AS s, min(a.pos) AS l FROM z, xs AS a JOIN xs AS b ON b.pos = a.pos + z.k GROUP BY 1)",
+             "q AS (SELECT ds.day AS x0, coalesce(p.l, z.size - z.k) AS l, k FROM z, ds ASOF LEFT JOIN p ON 2 * ds.day <= p.s)",
+             "hs AS (SELECT x0, l, l + k - 1 AS e, greatest(x0 - a.day, b.day - x0) AS h FROM q JOIN xs AS a ON a.pos = l JOIN xs AS b ON b.pos = l + k - 1)",
+             "ne AS MATERIALIZED (SELECT x0, day, day - x0 AS u, (least(e, last) - greatest(l, start) + 1) / n * CASE WHEN h = 0 THEN 1.0 ELSE pow(1 - pow(abs(day - x0) / h, 3), 3) END::DOUBLE AS w FROM hs JOIN ds ON last >= l AND start <= e)", "w0 AS (SELECT day, y, 1.0::DOUBLE AS r FROM o)"]
+    for i in range(rounds + 1):
+        parts += [f"t{i} AS (SELECT day, sum(r) AS rn, sum(r * y) AS ry FROM w{i} GROUP BY day)",
+                  f"e{i} AS (SELECT x0, sum(w * rn) AS s0, sum(w * rn * u) AS s1, sum(w * rn * u * u) AS s2, sum(w * ry) AS t0, sum(w * ry * u) AS t1 FROM ne JOIN t{i} USING (day) GROUP BY x0)",
+                  f"f{i} AS MATERIALIZED (SELECT x0 AS day, coalesce(CASE WHEN s0 * s2 - s1 * s1 > 1e-9 * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) END, t0 / nullif(s0, 0)) AS fitted FROM e{i})",
+                  f"r{i} AS MATERIALIZED (SELECT day, y, abs(y - coalesce(fitted, y)) AS off FROM o JOIN f{i} USING (day))", f"m{i} AS (SELECT quantile_disc(off, 0.5) AS m FROM r{i})",
+                  f"v{i} AS (SELECT day, y, CASE WHEN m = 0 THEN CASE WHEN off > 0 THEN 1.0 ELSE 0.0 END ELSE off / (6 * m) END AS part FROM r{i}, m{i})",
+                  f"w{i + 1} AS (SELECT day, y, CASE WHEN part >= 0.999 THEN 0.0 WHEN part <= 0.001 THEN 1.0 ELSE pow(1 - part * part, 2) END AS r FROM v{i})"]
+    return f"WITH {more} {', '.join(parts)} SELECT day, round(fitted, 3) AS fitted FROM f{rounds}"
+
+
+@query(_lowess_sql("closing_date", "price_per_sf", "sale_comps"))
+def lowess_psf_time(spark, sf_dir):
+    return stats.lowess(_sales(spark, sf_dir), "closing_date", "price_per_sf").select("day", F.round("fitted", 3).alias("fitted"))
+
+
+@query(_lowess_sql("commencement_date", "rate_monthly", "l", _LR + ","))
+def lowess_rent_time(spark, sf_dir):
+    return stats.lowess(_rated(spark, sf_dir), "commencement_date", "rate_monthly").select("day", F.round("fitted", 3).alias("fitted"))
+
+
 @query("""WITH t AS (SELECT * FROM sale_comps ORDER BY sale_price DESC, id LIMIT 3), r AS (SELECT *, row_number() OVER (ORDER BY sale_price DESC, id) AS nth FROM t)
     SELECT field, max(value) FILTER (WHERE nth = 1) AS first, max(value) FILTER (WHERE nth = 2) AS second, max(value) FILTER (WHERE nth = 3) AS third
     FROM (SELECT nth, 'id' AS field, CAST(id AS VARCHAR) AS value FROM r UNION ALL SELECT nth, 'city', city FROM r UNION ALL SELECT nth, 'zip_code', zip_code FROM r UNION ALL SELECT nth, 'closing_date', CAST(closing_date AS VARCHAR) FROM r) GROUP BY field""")

@@ -241,6 +241,43 @@ def test_stats_edges(spark):
         assert r.fitted == pytest.approx(3.0 * (r.day - 18262 + 1), abs=1e-2)
 
 
+def lowess(x, y, share=2 / 3, rounds=3):
+    """Row by row, with neighbourhoods slid along the sorted rows; a day that one cuts counts by the part inside."""
+    order = np.argsort(x, kind="stable")
+    x, y = np.array(x, float)[order], np.array(y, float)[order]
+    n, k, r, fit = len(x), max(1, int(share * len(x) + 1e-10)), np.ones(len(x)), {}
+    for step in range(rounds + 1):
+        left = 0
+        for d in sorted(set(x)):
+            while left + k < n and 2 * d > x[left] + x[left + k]:
+                left += 1
+            h = max(d - x[left], x[left + k - 1] - d)
+            inside = np.zeros(n)
+            inside[left: left + k] = 1
+            for e in set(x):
+                inside[x == e] = inside[x == e].mean()
+            w = inside * r * (np.clip(1 - (np.abs(x - d) / h) ** 3, 0, None) ** 3 if h else 1)
+            s0, mean = w.sum(), (w * x).sum() / w.sum()
+            spread = (w * (x - mean) ** 2).sum() / s0
+            fit[d] = (w * y).sum() / s0 if spread <= 1e-9 else (w * y * (1 + (d - mean) * (x - mean) / spread)).sum() / s0
+        off = np.abs(y - np.array([fit[d] for d in x]))
+        m = np.sort(off)[(n + 1) // 2 - 1]
+        part = off / (6 * m) if m else (off > 0).astype(float)
+        r = np.where(part >= 0.999, 0, np.where(part <= 0.001, 1, (1 - np.minimum(part, 1) ** 2) ** 2))
+    return fit
+
+
+def test_robust_local_regression(spark):
+    r = random.Random(3)
+    for rows in ([(18_000 + r.randint(0, 60), 0.0) for _ in range(150)], [(18_000, 1.0)] * 3, [(18_000, 1.0), (18_003, 5.0)]):
+        rows = [(d, y or 3 + d / 50 + r.gauss(0, 0.2) + (40 if r.random() < 0.05 else 0)) for d, y in rows]
+        df = spark.createDataFrame(rows + [(None, 1.0), (18_001, None)], "d int, y double").withColumn("d", F.date_from_unix_date("d"))
+        got = {x.day: x.fitted for x in stats.lowess(df, "d", "y").collect()}
+        want = lowess([d for d, _ in rows], [y for _, y in rows])
+        assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], abs=1e-6) for d in want)
+    assert stats.lowess(df.where("false"), "d", "y").count() == 0
+
+
 def test_filters_and_pages(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else float(i % 5), "a+b" if i % 2 else None) for i in range(23)], "id int, v double, t string")
     assert {r.id for r in filtered(df, [Filter("v", "range", 1, 2), Filter("t", "literal", "A+B"), Filter("gone", "range", 1)]).collect()} == {i for i in range(23) if i % 4 and 1 <= i % 5 <= 2 and i % 2}
