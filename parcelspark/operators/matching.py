@@ -22,8 +22,8 @@ from ..sources.scratch import kept
 WEIGHTS = {"proximity": 0.30, "size": 0.25, "price": 0.20, "price_psf": 0.10, "year_built": 0.10, "recency": 0.15}
 LEASE_WEIGHTS = {"proximity": 0.30, "size": 0.25, "rate_monthly": 0.20, "rate_annually": 0.10, "building_type": 0.10, "recency": 0.15}
 TOLERANCE, YEAR_TOLERANCE, RADIUS, YEARS, TOP = 0.5, 0.15, 25.0, 3.0, 20
-#: A subject side of at most so many rows is broadcast; the size is counted first.
-BROADCAST_ROWS = 100_000
+#: A subject side of at most so many rows and bytes is broadcast; both are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def proximity(distance: Column, radius: float = RADIUS) -> Column:
@@ -181,7 +181,7 @@ def top_matches(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, b
     names = subjects.columns
     wide = in_blocks(_ranges(narrow, "wide", fields), asked, "subject_id")
     wide = kept(wide.select("subject_id", "wide", "n", _most(wide, names, bounds, weights).alias("most")), "wide-bounds")
-    small = asked.count() <= BROADCAST_ROWS
+    small = _parts(asked) == 1
     asked = F.broadcast(asked) if small else asked
 
     def below(some: DataFrame) -> DataFrame:
@@ -219,9 +219,15 @@ def _by_bounds(start: DataFrame, cells: Callable[[DataFrame], DataFrame], scores
     return ranked(found.unionByName(scores(more)), k).select("subject_id", "rank", "id", "match_score")
 
 
+def _parts(df: DataFrame) -> int:
+    """Into how many parts a table must be dealt so that each may be broadcast: by rows, and by bytes as written out in text, which is more than they take in memory. A job."""
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return max(found["n"] // BROADCAST_ROWS, found["bytes"] // BROADCAST_BYTES) + 1
+
+
 def in_blocks(records: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """All records beside each of a stated query set. Queries are dealt into blocks of about ``BROADCAST_ROWS`` by hash, and every block is broadcast."""
-    n = queries.count() // BROADCAST_ROWS + 1
+    """All records beside each of a stated query set. Queries are dealt by hash into blocks of about ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` at most, and every block is broadcast."""
+    n = _parts(queries)
     block = F.pmod(F.xxhash64(key), F.lit(n))
     out = None
     for k in range(n):
@@ -283,7 +289,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int = 5,
     bounds = kept(pairs.select("subject_id", "narrow", "n", most.alias("most")), "ring-bounds")
     if counted is not None:
         counted.append((n + asked.count()) * pivots.select(F.size("pivots")).first()[0])
-    small = asked.count() <= BROADCAST_ROWS // 10
+    small = _parts(asked) == 1
 
     def scores(cells: DataFrame) -> DataFrame:
         wanted = cells.select("subject_id", "narrow").join(F.broadcast(asked) if small else asked, "subject_id").drop("angles")
