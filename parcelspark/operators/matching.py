@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.clean import age_years
+from ..functions.clean import age_years, bound
 from ..functions.geo import EARTH_MILES, haversine
 from ..sources.scratch import kept
 
@@ -122,7 +122,7 @@ def _least_distance(s, low, high) -> Column:
 
 
 def _number_bound(field: str, tolerance: float = TOLERANCE) -> Bound:
-    return Bound(field, lambda s, low, high: numeric(s(field), _nearest(s(field), low(field), high(field)), tolerance))
+    return Bound(field, lambda s, low, high: bound(_nearest(s(field), low(field), high(field)), lambda c: numeric(s(field), c, tolerance)))
 
 
 def sale_bounds(as_of: Column) -> dict[str, Bound]:
@@ -138,19 +138,27 @@ def sale_cells(miles: float = 4.0, ratio: float = 1.4) -> tuple[list[Column], li
     return square, [*steps, *[F.isnull(c) for c in ("building_size", "sale_price", "price_per_sf", "year_built", "closing_date")]]
 
 
-def _most(ranges: DataFrame, subjects: list[str], bounds: dict[str, Bound], weights: dict[str, float]) -> Column:
-    """The best weighted score that a row of the cell can have. A dimension that some of the cell's rows lack counts as full: a mean cannot rise above that by leaving it out."""
+def _most(cells: DataFrame, subjects: list[str], bounds: dict[str, Bound], weights: dict[str, float]) -> DataFrame:
+    """``cells`` with ``most``, the best weighted score that a row of the cell can have.
+
+    Where some of the cell's rows lack a field, a row may have its dimension or not, so the best is the greatest mean over the fixed dimensions and any of those: it takes in each one that lies above the mean itself,
+    which repeated means find after a few steps.
+    """
     subject = lambda f: F.col(f"s_{f}") if f in subjects else F.lit(None).cast("double")
-    top, total = F.lit(0.0), F.lit(0.0)
-    for name, bound in bounds.items():
-        w, known = weights.get(name, 0.0), F.col(f"n_{bound.field}")
-        if w <= 0:
-            continue
-        best = bound.most(subject, lambda f: F.col(f"low_{f}"), lambda f: F.col(f"high_{f}"))
-        if not bound.always:
-            best = F.when(best.isNull(), None).when(known < F.col("n"), 1.0).otherwise(best)
-        top, total = top + F.when(best.isNotNull(), w * best).otherwise(0.0), total + F.when(best.isNotNull(), w).otherwise(0.0)
-    return F.coalesce(F.try_divide(top, total), F.lit(0.0))
+    used = [(weights[n], b) for n, b in bounds.items() if weights.get(n, 0.0) > 0]
+    best = F.array(*[b.most(subject, lambda f: F.col(f"low_{f}"), lambda f: F.col(f"high_{f}")) for _, b in used])
+    free = F.array(*[F.lit(b.always) | (F.col(f"n_{b.field}") == F.col("n")) for _, b in used])
+
+    def mean(v: Column, least: Column) -> Column:
+        taken = [v["best"][i].isNotNull() & (v["fixed"][i] | (v["best"][i] > least)) for i in range(len(used))]
+        top = sum((F.when(t, w * v["best"][i]).otherwise(0.0) for i, (t, (w, _)) in enumerate(zip(taken, used))), F.lit(0.0))
+        return F.coalesce(F.try_divide(top, sum((F.when(t, w).otherwise(0.0) for t, (w, _) in zip(taken, used)), F.lit(0.0))), least)
+
+    def greatest(v: Column) -> Column:
+        steps = F.aggregate(F.sequence(F.lit(1), F.lit(len(used) + 1)), F.lit(0.0), lambda m, _: mean(v, m))
+        return F.when(F.forall(v["fixed"], lambda f: f), mean(v, F.lit(0.0))).otherwise(steps)
+
+    return cells.withColumn("most", bound(F.struct(best.alias("best"), free.alias("fixed")), greatest))
 
 
 def _ranges(rows: DataFrame, key: str, fields: list[str], *above: str) -> DataFrame:
@@ -180,14 +188,14 @@ def top_matches(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, b
     asked = kept(_named(subjects), "subjects")
     names = subjects.columns
     wide = in_blocks(_ranges(narrow, "wide", fields), asked, "subject_id")
-    wide = kept(wide.select("subject_id", "wide", "n", _most(wide, names, bounds, weights).alias("most")), "wide-bounds")
+    wide = kept(_most(wide, names, bounds, weights).select("subject_id", "wide", "n", "most"), "wide-bounds")
     small = _parts(asked) == 1
     asked = F.broadcast(asked) if small else asked
 
     def below(some: DataFrame) -> DataFrame:
         """The narrow cells of some wide ones, with their bounds."""
         pairs = some.select("subject_id", "wide", *(["floor"] if "floor" in some.columns else [])).join(narrow, "wide").join(asked, "subject_id")
-        return pairs.withColumn("most", _most(pairs, names, bounds, weights))
+        return _most(pairs, names, bounds, weights)
 
     def scores(some: DataFrame) -> DataFrame:
         pairs = some.select("subject_id", "narrow").join(rows, "narrow").join(asked, "subject_id")
