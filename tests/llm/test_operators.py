@@ -753,7 +753,7 @@ def near_of(i):
 def test_digests_of_queries(spark):
     from parcelspark.llm import queries as q
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == list(range(1, 14))
     found = q.op5_personal_data(spark, "/root/testdata/sf0.001").collect()
     for r in found[:50]:
         assert re.fullmatch("[0-9a-f]{64}", r.base_sha256)
