@@ -8,9 +8,11 @@ different line gets a number of its own. The join:
    its own substrings, for each n from m - tau to m and only at the starts that tau edits allow (those that leave at most i - 1 edits before the
    i-th segment and tau + 1 - i after it). Segments and substrings meet in an equi-join on a hash of segment number and characters.
 2. A segment that more than ``CROWD`` lines have, such as the fixed part of a template, would bring all of them together. What is left of both lines without
-   it lies within tau edits too; so there the rests are cut and probed in the same way, and lines meet by both hashes.
-3. Of lines that meet, lengths must be within tau, and tau edits change the counts of letters by 2 tau at most (a bound that crowds keep before they
-   meet). The rest is verified by edit distance, computed in a band of 2 tau + 1 diagonals with bit-parallel column steps.
+   it lies within tau edits too; so there the rests are cut and probed in the same way, and lines meet by all hashes so far. This goes on as long as a key is
+   crowded: every level leaves two thirds of a rest, and lines whose rest has tau characters or fewer meet at last, being within 2 tau edits. A pair
+   that shares the first segment is followed there alone, one that shares the last there or by the first; so a crowd by a later segment in which all lines have one
+   and the same first (or last) segment is left out, and a fixed text around a number has one way down instead of two at each level.
+3. Of lines that meet, lengths must be within tau, and tau edits change the counts of letters by 2 tau at most. The rest is verified by edit distance, computed in a band of 2 tau + 1 diagonals with bit-parallel column steps.
 4. Links make connected classes, of which the first line (least document id, then line number) stays.
 
 What lines share with many others (first and last, class) comes back to their occurrences by joins that adaptive execution splits. The lines of
@@ -23,13 +25,15 @@ occurrences at the same place, of which all or none stay. An empty table gives a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, digest, free_names, row_key, written
 
 EDITS, MIN_CHARS = 2, 20
-#: Lines that may share a segment before what is left of them is compared as well; any value gives the same links.
+#: Lines that may share a segment before what is left of them is compared as well, and a quarter of that for further pieces; any value gives the same links.
 CROWD = 64
 #: Counted modulo 8, three bits each.
 LETTERS = "etaonirshdlucmfpgwby "
@@ -51,13 +55,13 @@ def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
     return start.cast("int"), (short + (F.lit(tau + 1 - i) < longer).cast("int")).cast("int")
 
 
-def _segments(line: Column, n: Column, tau: int) -> list[tuple[Column, Column, Column]]:
-    """Number, start and length of each segment of a line of n characters."""
-    return [(F.lit(i), *_segment(n, i, tau)) for i in range(1, tau + 2)]
+def _segments(n: Column, tau: int) -> list[tuple[Column, Column, int, Column, Column]]:
+    """The same of each segment of a line of n characters itself."""
+    return [(F.lit(True), n, i, *_segment(n, i, tau)) for i in range(1, tau + 2)]
 
 
-def _substrings(m: Column, tau: int, least: int) -> list[tuple[Column, Column, Column, Column]]:
-    """Whether to probe, and number, start and length, of the substrings of a line of m characters that may be a segment of a line of up to m characters."""
+def _substrings(m: Column, tau: int, least: int) -> list[tuple[Column, Column, int, Column, Column]]:
+    """Whether to probe, and other line's length n, number, start and length, of the substrings of a line of m characters that may be a segment of a line of n <= m characters."""
     out = []
     for delta in range(tau + 1):
         n = m - delta
@@ -65,27 +69,35 @@ def _substrings(m: Column, tau: int, least: int) -> list[tuple[Column, Column, C
             start, size = _segment(n, i, tau)
             for shift in range(max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
                 at = start + shift
-                out.append(((n >= least) & (at >= 0) & (at + size <= m), F.lit(i), at, size))
+                out.append(((n >= least) & (at >= 0) & (at + size <= m), n, i, at, size))
     return out
 
 
-def _hash(line: Column, i: Column, at: Column, size: Column) -> Column:
-    return F.xxhash64(i, F.substring(line, at + 1, size))
+def _hash(line: Column, i: int, at: Column, size: Column, path: Column | None) -> Column:
+    return F.xxhash64(*([] if path is None else [path]), F.lit(i), F.substring(line, at + 1, size))
 
 
-def _pieces(line: Column, n: Column, tau: int) -> Column:
-    return F.array(*[_hash(line, *p) for p in _segments(line, n, tau)])
+def _pieces(line: Column, n: Column, tau: int, path: Column | None = None) -> Column:
+    return F.array(*[_hash(line, *p, path) for _, _, *p in _segments(n, tau)])
 
 
-def _probes(line: Column, m: Column, tau: int, least: int) -> Column:
+def _probes(line: Column, m: Column, tau: int, least: int, path: Column | None = None) -> Column:
     # takes out repeated hashes as well as nulls, and has generated code, unlike a filter
-    return F.array_except(F.array(*[F.when(ok, _hash(line, *p)) for ok, *p in _substrings(m, tau, least)]), F.array(F.lit(None).cast("bigint")))
+    return F.array_except(F.array(*[F.when(ok, _hash(line, *p, path)) for ok, _, *p in _substrings(m, tau, least)]), F.array(F.lit(None).cast("bigint")))
+
+
+def _taken(line: Column, where: list, tau: int, path: Column | None = None) -> Column:
+    """Array of struct(path, at, size, head, tail), or null: each piece's hash and place, and hashes of what is where the other line's first and last segments
+    are; these are null where a pair that shares those is not followed elsewhere."""
+    whole = F.length(line)
 
+    def one(n: Column, i: int, at: Column, size: Column) -> Column:
+        first, last = _segment(n, 1, tau)[1], _segment(n, tau + 1, tau)[1]
+        head = F.xxhash64(F.substring(line, 1, first)) if i > 1 else F.lit(None).cast("bigint")
+        tail = F.xxhash64(F.substring(line, whole - last + 1, last)) if 1 < i <= tau else F.lit(None).cast("bigint")
+        return F.struct(_hash(line, i, at, size, path).alias("path"), at.alias("at"), size.alias("size"), head.alias("head"), tail.alias("tail"))
 
-def _rests(line: Column, where: list, whole: Column) -> Column:
-    """Array of struct(h, rest): each piece's hash and the line without that piece."""
-    rest = lambda at, size: F.concat(F.substring(whole, 1, at), F.substring(whole, at + size + 1, F.length(whole)))
-    return F.array_compact(F.array(*[F.when(ok, F.struct(_hash(line, i, at, size).alias("h"), rest(at, size).alias("rest"))) for ok, i, at, size in where]))
+    return F.array(*[F.when(ok, one(*p)) for ok, *p in where])
 
 
 def letters(line: Column, n: Column) -> Column:
@@ -146,46 +158,63 @@ def _within(a: Column, b: Column, tau: int) -> Column:
 
 
 def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """``x, y``: numbers of lines that may be within ``edits``; each pair once."""
+    """``x, y``: numbers of lines that may be within ``edits``; each pair once. Runs jobs: one to find crowds, and some more for each level of them."""
     line, n = F.col("line"), F.col("n")
     names = ["num", "n"]
-    parts = lines.select(*names, F.explode(_pieces(line, n, edits)).alias("h"))
-    probes = lines.select(*names, F.explode(_probes(line, n, edits, min_chars)).alias("h"))
-    heavy = written(parts.groupBy("h").count().where(F.col("count") > crowd).select("h"), "line-crowds")
+    parts = lines.select(*names, F.explode(_pieces(line, n, edits)).alias("path"))
+    probes = lines.select(*names, F.explode(_probes(line, n, edits, min_chars)).alias("path"))
+
+    def crowds(parts: DataFrame, crowd: int) -> DataFrame:
+        return written(parts.groupBy("path").count().where(F.col("count") > crowd).select("path"), "line-crowds")
+
+    def small(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= broadcast_rows else keys
 
-    def together(x: DataFrame, y: DataFrame, *on: str, near: bool = False) -> DataFrame:
+    def together(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
         longer = F.col("y.n") - F.col("x.n")
         # of lines of one length each finds the other
         bound = longer.between(0, edits) & ((longer > 0) | (F.col("x.num") < F.col("y.num")))
-        if near:
-            bound = bound & (letters_apart(F.col("x.bag"), F.col("y.bag")) <= 2 * edits)
-        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
-        for c in same:
-            bound = c & bound
-        return x.join(y, bound).select(F.col("x.num").alias("x"), F.col("y.num").alias("y"))
+        return x.join(y, (F.col("x.path") == F.col("y.path")) & bound).select(F.col("x.num").alias("x"), F.col("y.num").alias("y"))
 
+    heavy = crowds(parts, crowd)
     if heavy.isEmpty():
-        return together(parts, probes, "h").distinct()
-    small = F.broadcast(heavy) if heavy.count() <= broadcast_rows else heavy
-    light = together(parts.join(small, "h", "left_anti"), probes, "h")
-    rest, r = F.col("rest"), F.length("rest")
-    held = [*names, "bag", "h"]
+        return together(parts, probes).distinct()
+    keys = small(heavy)
+    met = [together(parts.join(keys, "path", "left_anti"), probes)]
     # the lines that have a crowded segment, and those of lengths that may find one
-    owners = parts.join(small, "h").select("num", "n")
+    owners = parts.join(keys, "path").select("num", "n")
     lengths = owners.select(F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("n")).distinct()  # one row for each length at most
-    finders = lines.join(F.broadcast(lengths), "n").select(*names, F.explode(_probes(line, n, edits, min_chars)).alias("h")).join(small, "h").select("num")
+    finders = lines.join(F.broadcast(lengths), "n").select(*names, F.explode(_probes(line, n, edits, min_chars)).alias("path")).join(keys, "path").select("num")
     few = written(owners.select("num").union(finders).distinct(), "line-crowded")
-    some = written(lines.join(F.broadcast(few) if few.count() <= broadcast_rows else few, "num"), "line-crowded")
-
-    def split(where: list) -> DataFrame:
-        """The crowded pieces only, with what is left of their lines and the letters of those."""
-        found = some.select(*names, "line", F.explode(_rests(line, where, line)).alias("p")).select(*names, "line", "p.h", "p.rest").join(small, "h")
-        return found.select(*names, letters(line, n).alias("bag"), "h", "rest")
-
-    first = split([(F.lit(True), *p) for p in _segments(line, n, edits)]).select(*held, F.explode(_pieces(rest, r, edits)).alias("g"))
-    second = split(_substrings(n, edits, min_chars)).select(*held, F.explode(_probes(rest, r, edits, 0)).alias("g")).distinct()
-    return light.union(together(first, second, "h", "g", near=True)).distinct()
+    some = written(lines.join(small(few), "num").select(*names, F.col("line").alias("rest")), "line-crowded")
+    # each side's lines, by the pieces taken out so far (at first none), and what is left of them
+    owners = finders = some
+    path, least = None, min_chars
+    rest, r = F.col("rest"), F.length("rest")
+    while True:
+        cut = F.concat(F.substring(rest, F.lit(1), F.col("at")), F.substring(rest, F.col("at") + F.col("size") + 1, r))
+        held = lambda side, where: side.select(*names, "rest", F.explode(_taken(rest, where, edits, path)).alias("p")).where("p is not null") \
+            .select(*names, "rest", "p.*").join(keys, "path").select(*names, "path", cut.alias("rest"), "head", "tail")  # noqa: E731, B023
+        owners = written(held(owners, _segments(r, edits)), "line-crowded")
+        finders = written(held(finders, _substrings(r, edits, least)).distinct(), "line-crowded")
+        values = owners.select("path", "head", "tail").union(finders.select("path", "head", "tail")).groupBy("path") \
+            .agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("head", "tail")])
+        differ = [F.col(f"min_{c}").isNull() | (F.col(f"min_{c}") != F.col(f"max_{c}")) for c in ("head", "tail")]
+        open_ = small(written(values.where(differ[0] & differ[1]).select("path"), "line-crowds"))
+        owners, finders = owners.join(open_, "path"), finders.join(open_, "path")
+        # the shortest rests meet as they are
+        met.append(together(owners.where(r <= edits), finders.where(r <= 2 * edits)))
+        owners, finders = owners.where(r > edits), finders.where(r > edits)
+        path, least = F.col("path"), edits + 1
+        parts = owners.select(*names, F.explode(_pieces(rest, r, edits, path)).alias("path"))
+        probes = finders.select(*names, F.explode(_probes(rest, r, edits, least, path)).alias("path"))
+        heavy = crowds(parts, max(1, crowd // 4))
+        if heavy.isEmpty():
+            met.append(together(parts, probes))
+            return reduce(DataFrame.union, met).distinct()
+        keys = small(heavy)
+        met.append(together(parts.join(keys, "path", "left_anti"), probes))
 
 
 def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = 500_000, crowd: int = CROWD) -> DataFrame:

@@ -207,6 +207,32 @@ def test_lines_of_a_template_are_brute_force(spark):
         assert {frozenset((bytes(r.a).decode(), bytes(r.b).decode())) for r in rows} == want and len(rows) == len(want) > 500
 
 
+def near_numbers(numbers):
+    """Pairs within two edits, found among those that are equal without two characters at most."""
+    near, found = defaultdict(set), set()
+    for x in numbers:
+        for i in range(len(x) + 1):
+            for j in range(i + 1):
+                near[x[:j] + x[j + 1: i] + x[max(i, j) + 1:]].add(x)
+    for group in near.values():
+        found |= {(a, b) for a in group for b in group if a < b and edits(a, b) <= 2}
+    return found
+
+
+def test_lines_of_a_template_do_not_all_meet(spark):
+    """Lines that differ in a long random number only: pairs that meet grow with lines and links, not with their square."""
+    rng = random.Random(21)
+    numbers = [str(rng.randint(10**8, 10**9 - 1)) for _ in range(4000)]
+    numbers += [changed(rng, x, 1).replace(" ", "0") for x in numbers[:20]]
+    head, tail = "this is a fixed template line of some report with the number ", " is the number of this report, as every report says at its end"
+    for n, line in ((1000, lambda x: x + tail), (4000, lambda x: head + x)):
+        some = sorted({*numbers[:n], *numbers[4000:]})
+        found = spark.createDataFrame([(i, line(x)) for i, x in enumerate(some)], "num long, line string").withColumn("n", F.length("line"))
+        met = [tuple(sorted((some[r.x], some[r.y]))) for r in line_dedup._met(found, line_dedup.EDITS, line_dedup.MIN_CHARS, line_dedup.CROWD).collect()]
+        want = near_numbers(some)
+        assert want <= set(met) and len(met) == len(set(met)) <= 10 * (len(some) + len(want)) and len(want) > 10, (n, len(want), len(met))
+
+
 def test_line_dedup_of_null_and_shared_ids(spark):
     texts = ["one line\nmine", "two line\nyours", "other\none line", "two line\nhis", "her\ntwo line"]
     left = line_dedup.drop_duplicate_lines(table(spark, texts, [None, None, 1, 2, 2])).collect()
