@@ -249,9 +249,12 @@ def blended(weighted_score: Column, similarity: Column, alpha: float = 0.3) -> C
 
 
 def ranked(pairs: DataFrame, k: int = TOP, score: str = "match_score") -> DataFrame:
-    """The k best of each subject with a positive score; ids break ties. Spark keeps at most k rows of each subject per task before the shuffle."""
+    """The k best of each subject with a positive score; ids break ties. Spark keeps at most k rows of each subject per task before the shuffle.
+
+    Scores are filtered after the ranks, where the rest comes last: a filter below them would go down to the joins and work every score out there once more, written out, which is too long to compile.
+    """
     w = W.partitionBy("subject_id").orderBy(F.col(score).desc(), "id")
-    return pairs.where(F.col(score) > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col(score) > 0))
 
 
 def dot(a: Column, b: Column) -> Column:

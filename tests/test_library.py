@@ -479,3 +479,11 @@ def test_mapping_of_files_as_a_whole(spark, tmp_path):
     fields = spark.createDataFrame([("address", [0.0, 1.0]), ("notes", [0.9, 0.1])], "field string, field_vector array<double>")
     noted = {r.address[:1]: r for r in flow.ingested(read_cells(spark, str(tmp_path)), places, vectors=(heads, fields))["LEASE"].collect()}
     assert noted["7"].notes == "near" and noted["8"].notes == "far" and rows["7"].notes is None and noted["7"].raw_address_data == "Ida"
+
+
+def test_scores_are_not_worked_out_again_in_joins(spark):
+    """A ranking's filter stays above the scores: the lease query had them all, written out, in the condition of a join below."""
+    import __spark_entry__ as e
+
+    plan = e.queries()["match_leases_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ATAN2") == 1 and all("ATAN2" not in line for line in plan.splitlines() if "Join" in line)
