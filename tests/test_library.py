@@ -487,3 +487,12 @@ def test_scores_are_not_worked_out_again_in_joins(spark):
 
     plan = e.queries()["match_leases_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ATAN2") == 1 and all("ATAN2" not in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_records_beside_many_subjects_use_all_cores(spark):
+    """150 million pairs of a small file came in one task."""
+    records = spark.range(0, 1_000, 1, 1)
+    asked = lambda n: spark.range(n).withColumnRenamed("id", "subject_id")
+    many = matching.in_blocks(records, asked(40), "subject_id")
+    assert many.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and many.distinct().count() == 40_000
+    assert matching.in_blocks(records, asked(2), "subject_id").rdd.getNumPartitions() == 1
