@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.clean import age_years, bound
+from ..functions.clean import age_years
 from ..functions.geo import EARTH_MILES, haversine
 from ..sources.scratch import kept
 
@@ -124,7 +124,7 @@ def _least_distance(s, low, high) -> Column:
 
 
 def _number_bound(field: str, tolerance: float = TOLERANCE) -> Bound:
-    return Bound(field, lambda s, low, high: bound(_nearest(s(field), low(field), high(field)), lambda c: numeric(s(field), c, tolerance)))
+    return Bound(field, lambda s, low, high: numeric(s(field), _nearest(s(field), low(field), high(field)), tolerance))
 
 
 def sale_bounds(as_of: Column) -> dict[str, Bound]:
@@ -148,19 +148,19 @@ def _most(cells: DataFrame, subjects: list[str], bounds: dict[str, Bound], weigh
     """
     subject = lambda f: F.col(f"s_{f}") if f in subjects else F.lit(None).cast("double")
     used = [(weights[n], b) for n, b in bounds.items() if weights.get(n, 0.0) > 0]
-    best = F.array(*[b.most(subject, lambda f: F.col(f"low_{f}"), lambda f: F.col(f"high_{f}")) for _, b in used])
-    free = F.array(*[F.lit(b.always) | (F.col(f"n_{b.field}") == F.col("n")) for _, b in used])
+    best = {f"best_{i}": b.most(subject, lambda f: F.col(f"low_{f}"), lambda f: F.col(f"high_{f}")) for i, (_, b) in enumerate(used)}
+    fixed = {f"fixed_{i}": F.lit(b.always) | (F.col(f"n_{b.field}") == F.col("n")) for i, (_, b) in enumerate(used)}
 
-    def mean(v: Column, least: Column) -> Column:
-        taken = [v["best"][i].isNotNull() & (v["fixed"][i] | (v["best"][i] > least)) for i in range(len(used))]
-        top = sum((F.when(t, w * v["best"][i]).otherwise(0.0) for i, (t, (w, _)) in enumerate(zip(taken, used))), F.lit(0.0))
+    def mean(least: Column) -> Column:
+        taken = [F.col(f"best_{i}").isNotNull() & (F.col(f"fixed_{i}") | (F.col(f"best_{i}") > least)) for i in range(len(used))]
+        top = sum((F.when(t, w * F.col(f"best_{i}")).otherwise(0.0) for i, (t, (w, _)) in enumerate(zip(taken, used))), F.lit(0.0))
         return F.coalesce(F.try_divide(top, sum((F.when(t, w).otherwise(0.0) for t, (w, _) in zip(taken, used)), F.lit(0.0))), least)
 
-    def greatest(v: Column) -> Column:
-        steps = F.aggregate(F.sequence(F.lit(1), F.lit(len(used) + 1)), F.lit(0.0), lambda m, _: mean(v, m))
-        return F.when(F.forall(v["fixed"], lambda f: f), mean(v, F.lit(0.0))).otherwise(steps)
-
-    return cells.withColumn("most", bound(F.struct(best.alias("best"), free.alias("fixed")), greatest))
+    # a projection for each step, so that it is compiled; the row number keeps filters on the result from being written out below them
+    cells = cells.withColumns(best | fixed).withColumn("most", F.lit(0.0))
+    for _ in range(len(used) + 1):
+        cells = cells.withColumn("most", mean(F.col("most")))
+    return cells.withColumn("nth", F.monotonically_increasing_id()).where("nth >= 0").drop("nth", *best, *fixed)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -190,8 +190,8 @@ def top_matches(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, b
         raise ValueError(f"no bounds for {sorted(missing)}")
     fields = sorted({b.field for b in bounds.values()} | {"latitude", "longitude"})
     rows = comps.withColumn("wide", F.xxhash64(*cells[0])).withColumn("narrow", F.xxhash64("wide", *cells[1]))
-    rows = kept(rows.select("wide", "narrow", "id", *fields), "match-rows")
-    narrow = kept(_ranges(rows, "narrow", fields, "wide"), "narrow-cells")
+    rows = kept(spread(rows.select("wide", "narrow", "id", *fields), "narrow"), "match-rows")
+    narrow = kept(spread(_ranges(rows, "narrow", fields, "wide"), "narrow"), "narrow-cells")
     asked = kept(_named(subjects), "subjects")
     names = subjects.columns
     wide = in_blocks(_ranges(narrow, "wide", fields), asked, "subject_id")
@@ -201,11 +201,11 @@ def top_matches(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, b
 
     def below(some: DataFrame) -> DataFrame:
         """The narrow cells of some wide ones, with their bounds."""
-        pairs = some.select("subject_id", "wide", *(["floor"] if "floor" in some.columns else [])).join(narrow, "wide").join(asked, "subject_id")
+        pairs = spread(some.select("subject_id", "wide", *(["floor"] if "floor" in some.columns else [])), "subject_id", "wide").join(narrow, "wide").join(asked, "subject_id")
         return _most(pairs, names, bounds, weights)
 
     def scores(some: DataFrame) -> DataFrame:
-        pairs = some.select("subject_id", "narrow").join(rows, "narrow").join(asked, "subject_id")
+        pairs = spread(some.select("subject_id", "narrow"), "subject_id", "narrow").join(rows, "narrow").join(asked, "subject_id")
         return _pair_scores(pairs, comps, subjects, dimensions, weights).select("subject_id", "id", F.round("match_score", digits).alias("match_score"))
 
     start = _first(below(_first(wide, "wide", first * k)), "narrow", first * k)

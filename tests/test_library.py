@@ -496,3 +496,15 @@ def test_records_beside_many_subjects_use_all_cores(spark):
     many = matching.in_blocks(records, asked(40), "subject_id")
     assert many.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and many.distinct().count() == 40_000
     assert matching.in_blocks(records, asked(2), "subject_id").rdd.getNumPartitions() == 1
+
+
+def test_bounds_of_cells_are_compiled(spark):
+    """No function of functions, which is interpreted row by row, and no filter on the result below its steps."""
+    day = F.lit("2002-01-01").cast("date")
+    cells = spark.range(5).selectExpr("id AS n", *[f"cast(id AS double) AS {k}_{f}" for f in ("latitude", "longitude", "building_size", "sale_price", "price_per_sf", "year_built") for k in ("low", "high", "s")],
+                                      *[f"id AS n_{f}" for f in ("latitude", "building_size", "sale_price", "price_per_sf", "year_built", "closing_date")], "current_date() AS low_closing_date", "current_date() AS high_closing_date")
+    found = matching._most(cells, ["latitude", "longitude", "building_size", "sale_price", "price_per_sf", "year_built"], matching.sale_bounds(day), matching.WEIGHTS).where("most >= 0.5")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "lambda" not in plan and plan.count("ATAN2") == 1 and found.where("most > 1.000001").count() == 0
