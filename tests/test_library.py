@@ -508,3 +508,11 @@ def test_bounds_of_cells_are_compiled(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert "lambda" not in plan and plan.count("ATAN2") == 1 and found.where("most > 1.000001").count() == 0
+
+
+def test_candidates_are_compared_on_all_cores(spark):
+    """Counts of addresses are few bytes; all their pairs came in a part or two."""
+    r = random.Random(5)
+    fresh, held = (spark.createDataFrame([(x,) for x in {a.lower() for a in streets(r, n)}], f"{c} string").coalesce(1) for c, n in (("a", 50), ("b", 400)))
+    pairs = duplicates.candidates(fresh, held, lambda na, nb: F.ceil(0.3 * (na + nb)), 0.5)
+    assert len({x.part for x in pairs.select(F.spark_partition_id().alias("part")).distinct().collect()}) >= spark.sparkContext.defaultParallelism
