@@ -510,6 +510,16 @@ def test_bounds_of_cells_are_compiled(spark):
     assert "lambda" not in plan and plan.count("ATAN2") == 1 and found.where("most > 1.000001").count() == 0
 
 
+def test_ratios_of_many_pairs_are_those_of_difflib():
+    r = random.Random(3)
+    first = ["".join(r.choices("abc 1é", k=r.randint(0, 30))) for _ in range(1_500)] + ["a" * 250, "\0a", "q", "日本x", ""]
+    second = ["".join(c for c in x if r.random() > 0.1) if i % 2 else "".join(r.choices("abc 1é", k=r.randint(0, 30))) for i, x in enumerate(first[:1_500])] + ["a" * 249, "\0a", "q", "x日本", ""]
+    want = [SequenceMatcher(None, x, y).ratio() if x or y else 0.0 for x, y in zip(first, second)]
+    got = duplicates.ratios(first, second)
+    assert [g for g, x, y in zip(got, first, second) if x or y] == [w for w, x, y in zip(want, first, second) if x or y]
+    assert all(g == w if w >= 0.85 else g < 0.85 for g, w, x in zip(duplicates.ratios(first, second, 0.85), want, first) if x)
+
+
 def test_candidates_are_compared_on_all_cores(spark):
     """Counts of addresses are few bytes; all their pairs came in a part or two."""
     r = random.Random(5)
