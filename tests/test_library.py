@@ -526,3 +526,27 @@ def test_candidates_are_compared_on_all_cores(spark):
     fresh, held = (spark.createDataFrame([(x,) for x in {a.lower() for a in streets(r, n)}], f"{c} string").coalesce(1) for c, n in (("a", 50), ("b", 400)))
     pairs = duplicates.candidates(fresh, held, lambda na, nb: F.ceil(0.3 * (na + nb)), 0.5)
     assert len({x.part for x in pairs.select(F.spark_partition_id().alias("part")).distinct().collect()}) >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("size", [1, 7, 1_000])
+def test_best_matches_of_a_batch_are_compared_together(monkeypatch, size):
+    """Groups over several batches; no pair goes through ``difflib`` on its own."""
+    import difflib
+
+    import pandas as pd
+
+    r = random.Random(6)
+    every = [a.lower() for a in streets(r, 160)]
+    rows, want = [], []
+    for a in sorted(set(every[:25])):
+        own = []
+        for k, b in enumerate(every):
+            m = SequenceMatcher(None, a, b)
+            own.append((a, 0, b, k % 40, m.quick_ratio(), m.ratio()))
+        own.sort(key=lambda x: (-x[4], x[3]))
+        rows += [x[:5] for x in own]
+        want.append((a, *min((-x[5], x[3]) for x in own)))
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    frame = pd.DataFrame(rows, columns=["a", "salt", "b", "first_id", "bound"])
+    got = pd.concat(duplicates._rising(0.85)(iter([frame[k: k + size] for k in range(0, len(frame), size)])))
+    assert [(x.a, -x.score, x.first_id) for x in got.itertuples()] == want and got["tried"].sum() < len(frame) / 4
