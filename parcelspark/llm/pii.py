@@ -5,7 +5,7 @@ check (parts up to 255, Luhn, numbers of digits). Beside them high-recall genera
 addresses with spelt-out or bracketed signs, runs of digits in any grouping (each both as a card and as a phone), long tokens. A candidate has format
 features (digits, groups, separators, checks) and context features (characters around it, cue words before it), and gradient-boosted trees score it.
 
-What the trees learn goes beyond the rules. At most ``max_docs`` documents, chosen by hash, give places in their texts. There
+What the trees learn goes beyond the rules. All documents give places in their texts (with ``max_docs`` a part of them, chosen by hash). There
 ``FORMS`` puts invented values: the rules' formats, obfuscated and regrouped forms of them that the rules do not know, keys and tokens; and as negatives numbers, versions, dates, checksums
 and words of like shapes. Cue words stand before some of either. What the documents hold by themselves is added: candidates on the rules' finds are positives; others are
 negatives, but those behind a cue word are left out, since nobody knows what they are. The features that repeat a rule's own check are hidden at random in training, so that trees do not
@@ -263,12 +263,11 @@ def _invented() -> list[tuple[str, int, Column]]:
     return [(kind, 1, v) for kind, vs in good.items() for v in vs] + [(kind, 0, v) for kind, vs in bad.items() for v in vs]
 
 
-def examples(docs: DataFrame, max_docs: int, id_col: str, text_col: str, seed: int) -> DataFrame:
+def examples(docs: DataFrame, max_docs: int | None, id_col: str, text_col: str, seed: int) -> DataFrame:
     """``tenth`` (of the documents), ``own`` (found in a document as it stands), ``label``, ``kind``, ``features``: candidates to learn and to measure on."""
-    total = docs.count()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     some = docs.select(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text).alias("draw"), text.alias("text"))
-    if total > max_docs:
+    if max_docs is not None and (total := docs.count()) > max_docs:
         some = some.where(F.pmod("draw", F.lit(1 << 30)) < int((1 << 30) * (max_docs / total)))
     some = some.withColumn("tenth", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.lit(10)).cast("int"))
     # written first: a filter on candidates would otherwise be pushed below all the steps that make them
@@ -301,19 +300,23 @@ def examples(docs: DataFrame, max_docs: int, id_col: str, text_col: str, seed: i
     return own.union(made)
 
 
-def fit(docs: DataFrame, max_docs: int = 8_000, trees: int = 16, depth: int = 4, precision: float = 0.95, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> Model:
-    """Fit, calibrate and measure on examples from at most about ``max_docs`` documents, chosen by hash of id and text."""
-    rows = written(examples(docs, max_docs, id_col, text_col, seed), "pii-examples")
+def fit(docs: DataFrame, max_docs: int | None = None, trees: int = 16, depth: int = 4, precision: float = 0.95, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> Model:
+    """Fit, calibrate and measure on examples from all documents, or from about ``max_docs`` of them, chosen by hash of id and text.
+
+    Examples with equal features and labels are one row that weighs as many, so what is learnt from grows with the kinds of examples and not with their number.
+    """
+    rows = examples(docs, max_docs, id_col, text_col, seed).groupBy("tenth", "own", "label", "kind", "features").agg(F.count("*").alias("n"))
+    rows = written(rows, "pii-examples")
     hidden = F.transform("features", lambda v, i: F.when(i.isin(*CHECKS) & (F.pmod(F.xxhash64(F.lit(seed), "features", i), F.lit(10)) < 3), 0.0).otherwise(v))
-    learn = rows.where("tenth > 1").select(F.col("label").cast("double").alias("label"), array_to_vector(F.when(F.col("own"), F.col("features")).otherwise(hidden)).alias("features"))
+    learn = rows.where("tenth > 1").select(F.col("label").cast("double").alias("label"), F.col("n").cast("double").alias("weight"), array_to_vector(F.when(F.col("own"), F.col("features")).otherwise(hidden)).alias("features"))
     if learn.select("label").distinct().count() < 2:
         return Model([], {})
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, subsamplingRate=1.0).fit(learn)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, subsamplingRate=1.0, weightCol="weight").fit(learn)
     jvm = [model._java_obj.trees()[i] for i in range(model.getNumTrees)]
     fitted = Model([(t.rootNode(), w) for t, w in zip(jvm, model.treeWeights)], {})
-    scored = rows.where("tenth <= 1").select("tenth", "kind", "label", F.round(fitted.score(F.col("features")), 3).alias("score"))
+    scored = rows.where("tenth <= 1").select("tenth", "kind", "label", "n", F.round(fitted.score(F.col("features")), 3).alias("score"))
     # distinct rounded scores of a few small trees
-    table = scored.groupBy("tenth", "kind", "score").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.col("score").desc()).collect()
+    table = scored.groupBy("tenth", "kind", "score").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).orderBy(F.col("score").desc()).collect()
     for kind in range(len(KINDS)):
         good = n = 0
         for r in (r for r in table if r["tenth"] == 0 and r["kind"] == kind):

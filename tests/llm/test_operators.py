@@ -278,6 +278,19 @@ def pii_model(spark):
     return pii.fit(table(spark, texts), max_docs=1200)
 
 
+def test_personal_data_is_learnt_from_all_documents(spark, monkeypatch):
+    """The default was at most about 8,000 documents: every document gives examples, and equal ones weigh as many."""
+    seen = []
+    real = pii.examples
+    monkeypatch.setattr(pii, "examples", lambda docs, max_docs, *more: (seen.append(max_docs), real(docs, max_docs, *more))[1])
+    docs = table(spark, ["call 555 123 4567 or +1 415 555 0100 now, order 12345678901"] * 9_000)
+    model = pii.fit(docs, trees=1, depth=2)
+    assert seen == [None] and model.trees
+    own = real(docs, None, "doc_id", "text", 11).where("own").groupBy("label").count().collect()
+    assert sum(r["count"] for r in own) % 9_000 == 0 and sum(r["count"] for r in own) > 0
+    assert sum(n for n, _, _ in model.report.values()) > 500
+
+
 def test_personal_data_model_is_right_on_held_out_spans(pii_model):
     """Of a tenth of the documents that neither the trees nor the thresholds have seen: positives, of them found, and all found."""
     assert set(pii_model.report) == set(pii.KINDS)
