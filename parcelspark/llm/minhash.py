@@ -19,7 +19,7 @@ dissimilar to the hub; such pairs are found by what they share of their differen
   of x and the j-th of y, no more than min(d(x) - i, d(y) - j) + 1 are shared. So only a prefix of the changes is probed, and what a
   hub's own peculiarities add to everybody's changes comes last and lengthens no prefix.
 - Prefixes depend on the partner's u, so texts are dealt into classes by u and each probes the prefix that each class needs. A
-  change that one text alone makes takes a place in the order but is not probed.
+  change that no possible partner in that class makes (no text, or no dissimilar one for a text that is similar to the hub) is shared with none of them: it comes first in the order and is not probed.
 - Where many texts meet at a change they are first held against one of them; after that only texts that are not yet connected meet.
 
 Meetings are verified by exact similarity. No pair of candidates whose classes would differ without it is lost. Links make connected classes.
@@ -220,21 +220,27 @@ def _probes(stars: DataFrame, threshold: float) -> DataFrame:
     odd = stars.where("crowd").groupBy("a").agg(F.min("sim").alias("low")).where(F.col("low") < threshold).select("a")
     d = F.size("change")
     inside = stars.where("crowd").join(odd, "a").select("a", F.col("b").alias("key"), (F.col("sim") < threshold).alias("wide"), "own", "size", d.alias("d"), (d - slack * F.col("size")).alias("u"), "change")
+    inside = inside.withColumn("step", F.greatest(F.col("own") / F.lit(float(STEPS)), F.lit(1.0))).withColumn("mine", F.floor(F.col("u") / F.col("step")).cast("int"))
     inside = written(inside, "near-inside")
-    made = inside.select("a", F.explode("change").alias("h")).groupBy("a", "h").agg(F.count("*").alias("n")).where("n > 1")
+    # which classes make a change, as bits: with any text, with two or more, with a wide one
+    bit = lambda c: F.pmod(F.col(c), F.lit(64))
+    made = inside.select("a", bit("mine").alias("bit"), "wide", F.explode("change").alias("h")).groupBy("a", "h", "bit").agg(F.count("*").alias("n"), F.count_if("wide").alias("n_wide"))
+    bits = lambda on: F.bit_or(F.when(on, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("bigint")))
+    made = made.groupBy("a", "h").agg(F.sum("n").alias("n"), F.sum("n_wide").alias("n_wide"), bits(F.col("n") > 0).alias("any"), bits(F.col("n") > 1).alias("twice"), bits(F.col("n_wide") > 0).alias("far"))
+    made = made.where("n > 1 and n_wide > 0").drop("n_wide")
     shared = inside.select("a", "key", F.explode("change").alias("h")).join(made, ["a", "h"]).groupBy("a", "key") \
-        .agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("order"))  # at most one entry for each change of a text
-    step = F.col("own") / F.lit(float(STEPS))
-    level = lambda u: F.floor(u / F.col("step")).cast("int")
-    rows = inside.drop("change").withColumn("step", F.greatest(step, F.lit(1.0))).withColumn("mine", level(F.col("u"))).join(shared, ["a", "key"])
+        .agg(F.array_sort(F.collect_list(F.struct("n", "h", "any", "twice", "far"))).alias("order"))  # at most one entry for each change of a text
+    rows = inside.drop("change").join(shared, ["a", "key"])
     classes = rows.groupBy("a", "mine").agg(F.max("wide").alias("any_wide")).select("a", F.col("mine").alias("other"), "any_wide")
     rows = rows.join(classes, "a").where("wide or any_wide")
     # a pair has one wide text at least, so it shares more than (u - slack * own) / 2 changes, or (u + slack * own) / 2 with a wide partner
     least = F.greatest(F.lit(1.0), (F.col("u") + F.greatest(F.col("other") * F.col("step"), F.when(F.col("wide"), -slack * F.col("own")).otherwise(slack * F.col("own")))) / 2)
+    mask = lambda e: F.when(~F.col("wide"), e["far"]).when(bit("mine") == bit("other"), e["twice"]).otherwise(e["any"])
+    rows = rows.withColumn("order", F.transform(F.filter("order", lambda e: F.getbit(mask(e), bit("other")) == 1), lambda e: e["h"]))
     unique = F.col("d") - F.size("order")
     last = F.floor(F.col("d") - least + 1 + 1e-6).cast("int") - unique
-    rows = rows.where(last > 0).select("a", "mine", "other", "key", "wide", "size", "d", "u", unique.alias("unique"), F.posexplode(F.slice("order", F.lit(1), last)).alias("nth", "change"))
-    return rows.select("a", F.col("change.h").alias("h"), "mine", "other", "key", "wide", "size", "d", "u", (F.col("unique") + F.col("nth") + 1).alias("at"))
+    rows = rows.where(last > 0).select("a", "mine", "other", "key", "wide", "size", "d", "u", unique.alias("unique"), F.posexplode(F.slice("order", F.lit(1), last)).alias("nth", "h"))
+    return rows.select("a", "h", "mine", "other", "key", "wide", "size", "d", "u", (F.col("unique") + F.col("nth") + 1).alias("at"))
 
 
 def _meeting(x: str, y: str, threshold: float) -> Column:

@@ -563,6 +563,30 @@ def test_a_large_group_around_a_changed_hub_is_brute_force(spark):
     assert got == want and len(set(want.values())) > 20
 
 
+def test_changes_that_no_partner_makes_are_not_probed(spark, monkeypatch):
+    """Near copies that are similar to their hub, and a few dissimilar ones: what only similar copies change is no meeting place."""
+    rng, texts = random.Random(19), []
+    base = words(rng, 150)
+    places = [(rng.randrange(150), rng.choice(VOCAB)) for _ in range(40)]
+    for i in range(400):
+        w = list(base)
+        for at, word in rng.sample(places, 2 if i % 20 else 9):
+            w[at] = word
+        texts.append(" ".join(w))
+    rows, plain = {}, minhash.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows[name] = out
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    want = similar(spark, texts)
+    assert {r.id: r.class_id for r in minhash.classes(table(spark, texts)).collect()} == want
+    made = rows["near-inside"].select(F.sum(F.size("change"))).first()[0]
+    assert 0 < rows["near-probes"].count() < made, (rows["near-probes"].count(), made)
+
+
 def test_near_duplicates_of_large_and_null_ids(spark):
     near = " ".join(f"w{i}" for i in range(60))
     texts, ids = [near, near + " x", near + " y", "other text of its own", "z", "z"], [2**60 + 1, None, None, 2**53 + 1, None, None]
