@@ -7,9 +7,11 @@ that some record has the column.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -276,6 +278,58 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Pivots at most, and the width of the rings around them in radians.
 PIVOTS, RING = 256, 0.1
+#: Vectors that a task holds at a time, about, and the pairs that are worked out together, at most.
+TILE, TOGETHER = 32_768, 1 << 20
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Arrays of one length as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _tile_best(k: int, digits: int):
+    """Of rows sorted by ring, part and kind, the k vectors of each part (kind 0) with the greatest positive rounded dot product with each query (kind 1) but that of its own id, ties by id."""
+    def best(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, asked: np.ndarray, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        found = []
+        step = max(1, TOGETHER // len(ids))
+        for low in range(0, len(own), step):
+            some = slice(low, low + step)
+            score = asked[some] @ vectors.T
+            score[own[some, None] == ids] = 0.0
+            place = np.floor(score * 10.0**digits + 0.5)
+            least = np.partition(place, -k, axis=1)[:, -k] if k < len(ids) else np.zeros(len(score))
+            row, col = np.nonzero((place >= least[:, None]) & (place > 0))
+            order = np.lexsort((col, -place[row, col], row))  # columns are in the order of ids
+            row, col = row[order], col[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((own[some][row[first]], ids[col[first]], score[row[first], col[first]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*found), kinds)], names=["subject_id", "id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, tile = None, [], None
+        for batch in batches:
+            narrow, part, kind = (batch.column(c).to_numpy() for c in ("narrow", "part", "kind"))
+            cuts = [0, *(np.flatnonzero((np.diff(narrow) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(kind)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                rows = batch.slice(low, high - low)
+                if of != (of := (narrow[low], part[low])):
+                    held, tile = [], None
+                if kind[low] == 0:
+                    held.append(rows)
+                    continue
+                if held:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    ids, vectors = whole.column("id").to_numpy(), _matrix(whole.column("vector").chunk(0))
+                    order = np.argsort(ids, kind="stable")
+                    held, tile = [], (ids[order], vectors[order])
+                if tile is not None:
+                    same = np.flatnonzero(rows.column("vector").value_lengths().to_numpy() == tile[1].shape[1])
+                    if len(same):
+                        rows = rows.take(pa.array(same))
+                        yield best(*tile, rows.column("subject_id").to_numpy(zero_copy_only=False), _matrix(rows.column("vector")), [rows.schema.field("subject_id").type, rows.schema.field("id").type, pa.float64()])
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int = 5, first: int = 8, counted: list[int] | None = None) -> DataFrame:
@@ -283,13 +337,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int = 5,
 
     Every vector is brought to length 1 once. A few vectors, the least by a hash of their ids, are pivots: at most ``PIVOTS``, so they and the cells around them are broadcast. A vector belongs to the ring around its
     nearest pivot that holds its angle to it. An angle is at least the difference of two angles to a third vector, so a ring bounds the cosine of all in it, and a query reads only the rings that reach its k-th best so far. Clustered
-    vectors leave most rings unread; vectors without any structure in many dimensions leave few. Vectors of different lengths, with nulls or without a length take no part. Runs jobs. ``counted`` gets the dot products, those with pivots too.
+    vectors leave most rings unread; vectors without any structure in many dimensions leave few. A ring is read in parts of about ``TILE`` vectors: the queries that want it stream past each part, which gives the k best of each query, so no row is made for
+    a pair. Vectors of different numbers of components, with nulls or without a finite length take no part. Runs jobs. ``counted`` gets the dot products, those with pivots too.
     """
     def unit(df: DataFrame, name: str) -> DataFrame:
-        df = df.withColumn("length", F.sqrt(dot(F.col(name), F.col(name)))).where("length > 0 and not isnan(length)")
+        df = df.withColumn("length", F.sqrt(dot(F.col(name), F.col(name)))).where("length > 0 and length < double('infinity')")
         return df.withColumn(name, F.transform(name, lambda x: x / F.col("length"))).drop("length")
 
-    rows = kept(unit(vectors.select("id", "vector"), "vector"), "unit-vectors")
+    rows = kept(unit(spread(vectors.select("id", "vector")), "vector"), "unit-vectors")
     n = rows.count()
     some = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, round(n**0.5 / 4))))
     pivots = some.agg(F.collect_list("vector").alias("pivots"))  # one row of at most PIVOTS vectors
@@ -298,22 +353,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int = 5,
         near = F.transform("pivots", lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(p, F.col(name))))))
         return df.crossJoin(F.broadcast(pivots)).withColumn("angles", near).drop("pivots")
 
-    placed = angles(rows, "vector").withColumn("angle", F.array_min("angles")).withColumn("pivot", F.array_position("angles", F.col("angle")).cast("int"))
+    placed = angles(spread(rows), "vector").withColumn("angle", F.array_min("angles")).withColumn("pivot", F.array_position("angles", F.col("angle")).cast("int"))
     placed = kept(placed.withColumn("narrow", F.when(F.col("angle").isNotNull(), F.xxhash64("pivot", F.floor(F.col("angle") / RING)))).drop("angles"), "ring-vectors")
     rings = placed.groupBy("narrow").agg(F.first("pivot").alias("pivot"), F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-    asked = kept(angles(unit(queries.select("subject_id", "query"), "query"), "query"), "unit-queries")
+    asked = kept(angles(unit(spread(queries.select("subject_id", "query")), "query"), "query"), "unit-queries")
     at, slack = F.element_at("angles", F.col("pivot")), 1e-6
-    pairs = asked.crossJoin(F.broadcast(rings))  # at most 33 rings a pivot
+    pairs = spread(asked.drop("query")).crossJoin(F.broadcast(rings))  # at most 33 rings a pivot
     most = F.cos(F.greatest(F.lit(0.0), F.col("low") - at - slack, at - F.col("high") - slack))
     bounds = kept(pairs.select("subject_id", "narrow", "n", most.alias("most")), "ring-bounds")
     if counted is not None:
         counted.append((n + asked.count()) * pivots.select(F.size("pivots")).first()[0])
-    small = _parts(asked) == 1
+    parts = F.ceil(F.col("n") / TILE).cast("int")  # of a ring
+    held = placed.where("id is not null").join(F.broadcast(rings.select("narrow", "n")), "narrow").select("narrow", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "id", F.lit(None).cast(asked.schema["subject_id"].dataType).alias("subject_id"), "vector")
+    kinds = {c: t for df in (asked, placed) for c, t in df.dtypes}
 
     def scores(cells: DataFrame) -> DataFrame:
-        wanted = cells.select("subject_id", "narrow").join(F.broadcast(asked) if small else asked, "subject_id").drop("angles")
-        both = placed.join(wanted, "narrow").where("id <> subject_id")
-        return both.select("subject_id", "id", F.round(F.greatest(F.lit(0.0), dot(F.col("query"), F.col("vector"))), digits).alias("match_score"))
+        wanted = cells.join(asked.where("subject_id is not null"), "subject_id").select("narrow", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast(placed.schema["id"].dataType).alias("id"), "subject_id", F.col("query").alias("vector"))
+        tiles = spread(held.unionByName(wanted), "narrow", "part").sortWithinPartitions("narrow", "part", "kind")
+        best = tiles.mapInArrow(_tile_best(k, digits), f"subject_id {kinds['subject_id']}, id {kinds['id']}, score double")
+        return best.select("subject_id", "id", F.round("score", digits).alias("match_score"))
 
     found = _by_bounds(_first(bounds, "narrow", first * k), lambda floor: bounds.join(floor, "subject_id", "left"), scores, k, digits, counted)
     return found.withColumnRenamed("match_score", "similarity")

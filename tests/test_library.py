@@ -105,6 +105,35 @@ def test_nearest_vectors_by_rings(spark):
     assert sum(counted) < 0.3 * len(x) * len(x) / 20
 
 
+def test_nearest_vectors_make_no_row_for_a_pair(spark, monkeypatch):
+    """Vectors without structure and many copies: scores written are some for each query and part of a ring, and a ring of several parts gives the same."""
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) for _ in range(24)]) for i in range(1_500)]
+    rows += [(i, rows[7][1]) for i in range(1_500, 2_000)] + [(2_000, [1.0] * 3), (2_001, [float("inf")] * 24)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = vectors.where("id % 20 = 7").select(F.col("id").alias("subject_id"), F.col("vector").alias("query"))
+    made, plain = {}, matching.kept
+
+    def counted(df, name):
+        made[name] = plain(df, name)
+        return made[name]
+
+    monkeypatch.setattr(matching, "kept", counted)
+    x = np.array([v for _, v in rows[:2_000]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = []
+    for i in range(7, 2_000, 20):
+        score = np.round(x @ x[i], 5)
+        score[i] = -1
+        want += [(i, n + 1, int(j)) for n, j in enumerate(np.lexsort((np.arange(len(x)), -score))[:4])]
+    for tile in (32_768, 50):
+        monkeypatch.setattr(matching, "TILE", tile)
+        got = matching.nearest(vectors, asked, 4).orderBy("subject_id", "rank").collect()
+        assert [tuple(g)[:3] for g in got] == want
+        cells = made["first-cells"].select(F.sum(F.ceil(F.col("n") / tile))).first()[0]
+        assert made["first-scores"].count() <= 4 * cells
+
+
 def test_fuzzy_joins_are_brute_force(spark):
     r = random.Random(2)
     streets = ["Airport Road", "Eastex Highway", "North Main Street", "Oak"]
