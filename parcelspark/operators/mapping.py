@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import kept
+from ..sources.scratch import kept, spread
 from .ingest import FILE
 from .matching import cosine
 
@@ -155,18 +155,39 @@ def assigned(gain: np.ndarray) -> list[int]:
     return out
 
 
+#: Different sets of scores whose assignments a task remembers.
+MEMO = 10_000
+
+
+def _solved(fields: np.ndarray, cols: np.ndarray, score: np.ndarray, gain: np.ndarray, threshold: float) -> list[tuple[str, int, float]]:
+    """(field, col_idx, confidence) of the assignment of greatest total gain; pairs that are not there gain 0."""
+    names, i = np.unique(fields.astype(str), return_inverse=True)
+    places, j = np.unique(cols, return_inverse=True)
+    grid, plain = np.zeros((len(names), len(places))), np.full((len(names), len(places)), -np.inf)
+    grid[i, j], plain[i, j] = gain, score
+    return [(str(names[f]), int(places[c]), round(min(float(plain[f, c]), 1.0), 3)) for f, c in enumerate(assigned(grid)) if c >= 0 and plain[f, c] >= threshold]
+
+
 def exact_assignment(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The assignment of greatest total score per file; a file has at most 21 fields and its own columns, so a group is small."""
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(gain=rows["score"] + rows["level"] * 1e-3 + rows["alias_length"] * 1e-6 - rows["col_idx"] * 1e-9)
-        grid = rows.pivot(index="field", columns="col_idx", values="gain").sort_index()
-        plain = rows.pivot(index="field", columns="col_idx", values="score").sort_index()
-        found = assigned(grid.fillna(0.0).to_numpy())
-        out = [(rows[FILE].iloc[0], grid.index[i], int(grid.columns[j]), round(min(plain.iat[i, j], 1.0), 3)) for i, j in enumerate(found) if j >= 0 and plain.iat[i, j] >= threshold]
-        return pd.DataFrame(out, columns=[FILE, "field", "col_idx", "confidence"])
+    """The assignment of greatest total score per file; a file has at most 21 fields and its own columns, so a group is small. Files with the same scores have the same assignment, which a task works out once."""
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                key = (tuple(r.field), r.col_idx.tobytes(), r.score.tobytes(), r.level.tobytes(), r.alias_length.tobytes())
+                if (found := known.get(key)) is None:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    gain = r.score + r.level * 1e-3 + r.alias_length * 1e-6 - r.col_idx * 1e-9
+                    found = known[key] = _solved(r.field, r.col_idx, r.score, gain, threshold)
+                out += [(r[0], *x) for x in found]
+            yield pd.DataFrame(out, columns=[FILE, "field", "col_idx", "confidence"])
 
     kind = dict(scores.dtypes)[FILE]
-    return scores.groupBy(FILE).applyInPandas(solve, f"{FILE} {kind}, field string, col_idx int, confidence double")
+    names = ["field", "col_idx", "score", "level", "alias_length"]
+    grids = spread(scores, FILE).groupBy(FILE).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("pairs"))
+    return grids.select(FILE, *[F.col("pairs")[n].alias(n) for n in names]).mapInPandas(solve, f"{FILE} {kind}, field string, col_idx int, confidence double")
 
 
 def address_candidates(heads: DataFrame, similarity, most: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import ingest as g
 from ..operators import mapping as m
 from ..operators.matching import cosine
 from ..sources.files import read_cells
-from ..sources.scratch import folder
+from ..sources.scratch import folder, kept, spread
 from ..sources.views import view, with_views
 from ..streaming import arrivals
 from .explore import NORMAL
@@ -29,7 +29,8 @@ def query(sql: str | None = None):
 
 
 def _cells(spark, sf_dir):
-    return view(spark, sf_dir, "cells")
+    """Written once, as every step reads them and the given tables that they are multiplied from lie in one part or two."""
+    return kept(spread(view(spark, sf_dir, "cells"), "file_no", "row_idx"), "cells")
 
 
 def _list(words: list[str]) -> str:

@@ -407,6 +407,22 @@ def test_wide_files_keep_their_cells(spark, tmp_path):
     assert cells.count() == 180 and cells.where("col_idx = 89 and row_idx = 1").first().value == "89"
 
 
+def test_files_with_equal_scores_are_solved_together(spark):
+    r = random.Random(31)
+    kinds = [[(f, c, r.choice([100.0, round(r.uniform(0.4, 1.3), 3)]), r.randint(0, 3), r.randint(0, 9)) for f in ("address", "buyer", "notes", "seller") for c in range(5)] for _ in range(6)]
+    rows = [(n, *x) for n in range(300) for x in r.sample(kinds[n % 6], 20)]
+    scores = spark.createDataFrame(rows, "file_no long, field string, col_idx int, score double, level int, alias_length int")
+    got = {}
+    for x in mapping.exact_assignment(scores).collect():
+        got.setdefault(x.file_no, {})[x.field] = (x.col_idx, x.confidence)
+    for n in range(300):
+        at = {(f, c): (s, s + v * 1e-3 + a * 1e-6 - c * 1e-9) for f, c, s, v, a in kinds[n % 6]}
+        names = sorted({f for f, _ in at})
+        best = max(itertools.permutations(range(5), 4), key=lambda p: sum(at[f, c][1] for f, c in zip(names, p)))
+        assert got[n] == {f: (c, round(min(at[f, c][0], 1.0), 3)) for f, c in zip(names, best) if at[f, c][0] >= mapping.THRESHOLD}
+    assert "FlatMapGroupsInPandas" not in mapping.exact_assignment(scores)._jdf.queryExecution().toString()
+
+
 def test_mutual_best_goes_on_until_nothing_is_left(spark):
     rows = [(0, f"f{i}", j, 1.0 + i + j) for i in range(7) for j in range(7)] + [(1, "f0", 0, 0.1)]
     scores = spark.createDataFrame(rows, "file_no long, field string, col_idx int, score double").withColumns({"level": F.lit(0), "alias_length": F.lit(0)})
