@@ -55,49 +55,28 @@ def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
     return start.cast("int"), (short + (F.lit(tau + 1 - i) < longer).cast("int")).cast("int")
 
 
-def _segments(n: Column, tau: int) -> list[tuple[Column, Column, int, Column, Column]]:
-    """The same of each segment of a line of n characters itself."""
-    return [(F.lit(True), n, i, *_segment(n, i, tau)) for i in range(1, tau + 2)]
+def _places(lengths: DataFrame, tau: int, least: int) -> DataFrame:
+    """For each length ``r`` of the given ones ``own, i, at, size, ends``: number, start and length of the segments of a line of r characters (``own``), and of its
+    substrings that may be a segment of a line of r - tau to r characters; ``ends`` has the lengths of those lines' first and last segments.
 
+    All this depends on the length alone, so lines get it by a join with a small table. As expressions of each line it made methods too long for the JVM to compile.
+    """
+    r = F.col("r")
+
+    def one(n: Column, i: int, shift: int, own: bool) -> Column:
+        start, size = _segment(n, i, tau)
+        at = start + shift
+        ends = F.struct(_segment(n, 1, tau)[1].alias("first"), _segment(n, tau + 1, tau)[1].alias("last"))
+        found = F.struct(F.lit(own).alias("own"), F.lit(i).alias("i"), at.alias("at"), size.alias("size"), ends.alias("end"))
+        return F.when((F.lit(own) | (n >= least)) & (at >= 0) & (at + size <= r), found)
 
-def _substrings(m: Column, tau: int, least: int) -> list[tuple[Column, Column, int, Column, Column]]:
-    """Whether to probe, and other line's length n, number, start and length, of the substrings of a line of m characters that may be a segment of a line of n <= m characters."""
-    out = []
+    out = [one(r, i, 0, True) for i in range(1, tau + 2)]
     for delta in range(tau + 1):
-        n = m - delta
         for i in range(1, tau + 2):
-            start, size = _segment(n, i, tau)
             for shift in range(max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
-                at = start + shift
-                out.append(((n >= least) & (at >= 0) & (at + size <= m), n, i, at, size))
-    return out
-
-
-def _hash(line: Column, i: int, at: Column, size: Column, path: Column | None) -> Column:
-    return F.xxhash64(*([] if path is None else [path]), F.lit(i), F.substring(line, at + 1, size))
-
-
-def _pieces(line: Column, n: Column, tau: int, path: Column | None = None) -> Column:
-    return F.array(*[_hash(line, *p, path) for _, _, *p in _segments(n, tau)])
-
-
-def _probes(line: Column, m: Column, tau: int, least: int, path: Column | None = None) -> Column:
-    # takes out repeated hashes as well as nulls, and has generated code, unlike a filter
-    return F.array_except(F.array(*[F.when(ok, _hash(line, *p, path)) for ok, _, *p in _substrings(m, tau, least)]), F.array(F.lit(None).cast("bigint")))
-
-
-def _taken(line: Column, where: list, tau: int, path: Column | None = None) -> Column:
-    """Array of struct(path, at, size, head, tail), or null: each piece's hash and place, and hashes of what is where the other line's first and last segments
-    are; these are null where a pair that shares those is not followed elsewhere."""
-    whole = F.length(line)
-
-    def one(n: Column, i: int, at: Column, size: Column) -> Column:
-        first, last = _segment(n, 1, tau)[1], _segment(n, tau + 1, tau)[1]
-        head = F.xxhash64(F.substring(line, 1, first)) if i > 1 else F.lit(None).cast("bigint")
-        tail = F.xxhash64(F.substring(line, whole - last + 1, last)) if 1 < i <= tau else F.lit(None).cast("bigint")
-        return F.struct(_hash(line, i, at, size, path).alias("path"), at.alias("at"), size.alias("size"), head.alias("head"), tail.alias("tail"))
-
-    return F.array(*[F.when(ok, one(*p)) for ok, *p in where])
+                out.append(one(r - delta, i, shift, False))
+    every = lengths.select("r").distinct().select("r", F.explode(F.array(*out)).alias("p")).where("p is not null")
+    return every.groupBy("r", "p.own", "p.i", "p.at", "p.size").agg(F.collect_set("p.end").alias("ends"))  # at most tau + 1
 
 
 def letters(line: Column, n: Column) -> Column:
@@ -159,17 +138,24 @@ def _within(a: Column, b: Column, tau: int) -> Column:
 
 def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int, broadcast_rows: int = 500_000) -> DataFrame:
     """``x, y``: numbers of lines that may be within ``edits``; each pair once. Runs jobs: one to find crowds, and some more for each level of them."""
-    line, n = F.col("line"), F.col("n")
-    names = ["num", "n"]
-    parts = lines.select(*names, F.explode(_pieces(line, n, edits)).alias("path"))
-    probes = lines.select(*names, F.explode(_probes(line, n, edits, min_chars)).alias("path"))
-
-    def crowds(parts: DataFrame, crowd: int) -> DataFrame:
-        return written(parts.groupBy("path").count().where(F.col("count") > crowd).select("path"), "line-crowds")
+    names, i = ["num", "n"], F.col("i")
 
     def small(keys: DataFrame) -> DataFrame:
         return F.broadcast(keys) if keys.count() <= broadcast_rows else keys
 
+    def places(lengths: DataFrame, least: int) -> list[DataFrame]:
+        """Of substrings, and of segments."""
+        both = written(_places(lengths, edits, least), "line-places")
+        fits = both.count() <= broadcast_rows
+        return [F.broadcast(both.where(c)) if fits else both.where(c) for c in ("not own", "own")]
+
+    def hashed(side: DataFrame, where: DataFrame, text: str, *path: str, more: tuple = ()) -> DataFrame:
+        """One row for each of those places, with ``path``: the hash of what is there and of the pieces taken out before."""
+        return side.join(where, "r").select(*names, *more, F.xxhash64(*path, "i", F.substring(text, F.col("at") + 1, F.col("size"))).alias("path"))
+
+    def crowds(parts: DataFrame, crowd: int) -> DataFrame:
+        return written(parts.groupBy("path").count().where(F.col("count") > crowd).select("path"), "line-crowds")
+
     def together(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
         longer = F.col("y.n") - F.col("x.n")
@@ -177,44 +163,53 @@ def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int, broadcast_row
         bound = longer.between(0, edits) & ((longer > 0) | (F.col("x.num") < F.col("y.num")))
         return x.join(y, (F.col("x.path") == F.col("y.path")) & bound).select(F.col("x.num").alias("x"), F.col("y.num").alias("y"))
 
+    lines = lines.withColumn("r", F.col("n"))
+    of_substrings, of_segments = places(lines, min_chars)
+    parts, probes = hashed(lines, of_segments, "line"), hashed(lines, of_substrings, "line")
     heavy = crowds(parts, crowd)
     if heavy.isEmpty():
         return together(parts, probes).distinct()
     keys = small(heavy)
-    met = [together(parts.join(keys, "path", "left_anti"), probes)]
+    met = [written(together(parts.join(keys, "path", "left_anti"), probes), "line-met")]
     # the lines that have a crowded segment, and those of lengths that may find one
     owners = parts.join(keys, "path").select("num", "n")
     lengths = owners.select(F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("n")).distinct()  # one row for each length at most
-    finders = lines.join(F.broadcast(lengths), "n").select(*names, F.explode(_probes(line, n, edits, min_chars)).alias("path")).join(keys, "path").select("num")
+    finders = hashed(lines.join(F.broadcast(lengths), "n"), of_substrings, "line").join(keys, "path").select("num")
     few = written(owners.select("num").union(finders).distinct(), "line-crowded")
-    some = written(lines.join(small(few), "num").select(*names, F.col("line").alias("rest")), "line-crowded")
+    some = written(lines.join(small(few), "num").select(*names, F.col("line").alias("rest"), "r"), "line-crowded")
     # each side's lines, by the pieces taken out so far (at first none), and what is left of them
     owners = finders = some
-    path, least = None, min_chars
-    rest, r = F.col("rest"), F.length("rest")
+    path: tuple = ()
+    rest, r = F.col("rest"), F.col("r")
+    cut = F.concat(F.substring(rest, F.lit(1), F.col("at")), F.substring(rest, F.col("at") + F.col("size") + 1, r))
+    # of what is where the other line's first and last segments are; null where a pair that shares those is not followed elsewhere
+    head = F.when(i > 1, F.xxhash64(F.substring(rest, F.lit(1), F.col("first"))))
+    tail = F.when((i > 1) & (i <= edits), F.xxhash64(F.substring(rest, r - F.col("last") + 1, F.col("last"))))
+
+    def held(side: DataFrame, where: DataFrame) -> DataFrame:
+        found = hashed(side, where, "rest", *path, more=("rest", "r", "i", "at", "size", "ends")).join(keys, "path")
+        found = found.select("*", F.inline("ends")).select(*names, "path", cut.alias("rest"), head.alias("head"), tail.alias("tail"))
+        return found.withColumn("r", F.length("rest"))
+
     while True:
-        cut = F.concat(F.substring(rest, F.lit(1), F.col("at")), F.substring(rest, F.col("at") + F.col("size") + 1, r))
-        held = lambda side, where: side.select(*names, "rest", F.explode(_taken(rest, where, edits, path)).alias("p")).where("p is not null") \
-            .select(*names, "rest", "p.*").join(keys, "path").select(*names, "path", cut.alias("rest"), "head", "tail")  # noqa: E731, B023
-        owners = written(held(owners, _segments(r, edits)), "line-crowded")
-        finders = written(held(finders, _substrings(r, edits, least)).distinct(), "line-crowded")
+        owners, finders = written(held(owners, of_segments), "line-crowded"), written(held(finders, of_substrings).distinct(), "line-crowded")
         values = owners.select("path", "head", "tail").union(finders.select("path", "head", "tail")).groupBy("path") \
             .agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("head", "tail")])
         differ = [F.col(f"min_{c}").isNull() | (F.col(f"min_{c}") != F.col(f"max_{c}")) for c in ("head", "tail")]
         open_ = small(written(values.where(differ[0] & differ[1]).select("path"), "line-crowds"))
         owners, finders = owners.join(open_, "path"), finders.join(open_, "path")
         # the shortest rests meet as they are
-        met.append(together(owners.where(r <= edits), finders.where(r <= 2 * edits)))
+        met.append(written(together(owners.where(r <= edits), finders.where(r <= 2 * edits)), "line-met"))
         owners, finders = owners.where(r > edits), finders.where(r > edits)
-        path, least = F.col("path"), edits + 1
-        parts = owners.select(*names, F.explode(_pieces(rest, r, edits, path)).alias("path"))
-        probes = finders.select(*names, F.explode(_probes(rest, r, edits, least, path)).alias("path"))
+        of_substrings, of_segments = places(owners.select("r").union(finders.select("r")), edits + 1)
+        path = ("path",)
+        parts, probes = hashed(owners, of_segments, "rest", *path), hashed(finders, of_substrings, "rest", *path)
         heavy = crowds(parts, max(1, crowd // 4))
         if heavy.isEmpty():
             met.append(together(parts, probes))
             return reduce(DataFrame.union, met).distinct()
         keys = small(heavy)
-        met.append(together(parts.join(keys, "path", "left_anti"), probes))
+        met.append(written(together(parts.join(keys, "path", "left_anti"), probes), "line-met"))
 
 
 def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = 500_000, crowd: int = CROWD) -> DataFrame:

@@ -233,6 +233,19 @@ def test_lines_of_a_template_do_not_all_meet(spark):
         assert want <= set(met) and len(met) == len(set(met)) <= 10 * (len(some) + len(want)) and len(want) > 10, (n, len(want), len(met))
 
 
+def test_hashes_of_lines_are_compiled(spark, capsys):
+    """The JVM interprets methods of more than 8,000 bytes for ever."""
+    found = spark.createDataFrame([(i, f"{i} is the number of a line {i}") for i in range(20)], "num long, line string").withColumn("n", F.length("line"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        line_dedup._met(found, line_dedup.EDITS, line_dedup.MIN_CHARS, line_dedup.CROWD).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000, sizes
+
+
 def test_line_dedup_of_null_and_shared_ids(spark):
     texts = ["one line\nmine", "two line\nyours", "other\none line", "two line\nhis", "her\ntwo line"]
     left = line_dedup.drop_duplicate_lines(table(spark, texts, [None, None, 1, 2, 2])).collect()
