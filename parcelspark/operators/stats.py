@@ -61,17 +61,32 @@ def _after(rows: DataFrame, table: DataFrame, key: str, at: str, value: str) ->
     return both.withColumn(value, F.first("__v", True).over(w)).where("__t = 0").drop("__k", "__t", "__v")
 
 
+def lower_median(rows: DataFrame, value: str, times: str) -> DataFrame:
+    """``m``: the lower median of a value of at least 0 that counts ``times`` times in each row; exact.
+
+    Counts of bins a few thousandths of their values wide tell which bin has it, so only that bin's different values are sorted. Both sorts are of one task, of bins and of a bin's values.
+    """
+    rows = rows.select(F.col(value).alias("v"), F.col(times).alias("n")).withColumn("bin", F.when(F.col("v") > 0, F.floor(F.ln("v") * 512)).otherwise(F.lit(-(2**62))))
+    upto = W.orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    bins = rows.groupBy(F.col("bin").alias("at")).agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto)).withColumn("size", F.sum("n").over(W.partitionBy()))
+    place = bins.where(2 * F.col("upto") >= F.col("size")).agg(F.min(F.struct("at", (F.col("upto") - F.col("n")).alias("before"), "size")).alias("p")).select("p.*")
+    inside = rows.join(F.broadcast(place), F.col("bin") == F.col("at")).groupBy("v").agg(F.sum("n").alias("n"), F.max("before").alias("before"), F.max("size").alias("size"))
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    return inside.where(2 * F.col("upto") >= F.col("size")).agg(F.min("v").alias("m"))
+
+
 def lowess(df: DataFrame, date: str, value: str, share: float = 2 / 3, rounds: int = 3) -> DataFrame:
     """``day, fitted``: robust local linear regression on days (since 1970), at every day that has a value.
 
     The neighbourhood of a day is the ``share`` of all rows nearest to it: k rows in a row in the order of days, found from running counts per day. Weights fall as (1 - d^3)^3 with the distance in parts of the
     farthest neighbour's; a day that the neighbourhood cuts counts by the part that is inside. Then ``rounds`` times rows weigh (1 - u^2)^2 by their residual u in parts of six (lower) medians, 0 from 0.999 on and 1 up to
-    0.001, and the fit is repeated. Rows are summed per day in every round; what is joined and sorted beyond that has a row per day, or per two days near to each other. Runs jobs: rows, days and each fit are written.
+    0.001, and the fit is repeated. Equal values of a day have equal residuals, so they are one row with a count from the beginning on. Rows are summed per day in every round; what is joined and sorted beyond that has a row per day,
+    or per two days near to each other, or is a part of the medians. Runs jobs: rows, days and each fit are written.
     """
     rows = df.where(F.col(date).isNotNull() & F.col(value).isNotNull()).select(F.datediff(F.col(date), F.lit("1970-01-01").cast("date")).alias("day"), F.col(value).cast("double").alias("y"))
-    rows = kept(rows, "lowess-rows")
+    rows = kept(rows.groupBy("day", "y").agg(F.count("*").alias("times")), "lowess-rows")
     order = W.orderBy("day")
-    days = rows.groupBy("day").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(order)).withColumn("nth", F.row_number().over(order))  # a row for each day
+    days = rows.groupBy("day").agg(F.sum("times").alias("n")).withColumn("upto", F.sum("n").over(order)).withColumn("nth", F.row_number().over(order))  # a row for each day
     days = kept(days.withColumn("start", F.col("upto") - F.col("n")).withColumn("last", F.col("upto") - 1), "lowess-days")
     size = days.agg(F.max("upto")).first()[0]
     if not size:
@@ -93,7 +108,7 @@ def lowess(df: DataFrame, date: str, value: str, share: float = 2 / 3, rounds: i
     near = kept(near.select("x0", "day", u.cast("double").alias("u"), w.alias("w")), "lowess-near")
     weighed, fits = rows.withColumn("r", F.lit(1.0)), None
     for step in range(rounds + 1):
-        sums = weighed.groupBy("day").agg(F.sum("r").alias("rn"), F.sum(F.col("r") * F.col("y")).alias("ry"))
+        sums = weighed.groupBy("day").agg(F.sum(F.col("r") * F.col("times")).alias("rn"), F.sum(F.col("r") * F.col("y") * F.col("times")).alias("ry"))
         each = near.join(sums, "day").select("x0", "u", (F.col("w") * F.col("rn")).alias("a"), (F.col("w") * F.col("ry")).alias("b"))
         each = each.groupBy("x0").agg(F.sum("a").alias("s0"), F.sum(F.col("a") * F.col("u")).alias("s1"), F.sum(F.col("a") * F.col("u") * F.col("u")).alias("s2"), F.sum("b").alias("t0"), F.sum(F.col("b") * F.col("u")).alias("t1"))
         spread = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
@@ -101,9 +116,9 @@ def lowess(df: DataFrame, date: str, value: str, share: float = 2 / 3, rounds: i
         fits = kept(each.select(F.col("x0").alias("day"), F.coalesce(line, F.try_divide("t0", "s0")).alias("fitted")), "lowess-fit")
         if step < rounds:
             off = rows.join(fits, "day").withColumn("off", F.abs(F.col("y") - F.coalesce("fitted", "y")))
-            median = off.agg(F.percentile_approx("off", 0.5, 1_000_000).alias("m"))
+            median = lower_median(off, "off", "times")
             off = off.crossJoin(F.broadcast(median)).withColumn("part", F.when(F.col("m") == 0, F.when(F.col("off") > 0, 1.0).otherwise(0.0)).otherwise(F.col("off") / (6 * F.col("m"))))
-            weighed = off.select("day", "y", F.when(F.col("part") >= 0.999, 0.0).when(F.col("part") <= 0.001, 1.0).otherwise(F.pow(1 - F.col("part") * F.col("part"), 2)).alias("r"))
+            weighed = off.select("day", "y", "times", F.when(F.col("part") >= 0.999, 0.0).when(F.col("part") <= 0.001, 1.0).otherwise(F.pow(1 - F.col("part") * F.col("part"), 2)).alias("r"))
     return fits
 
 

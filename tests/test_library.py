@@ -307,6 +307,15 @@ def test_robust_local_regression(spark):
     assert stats.lowess(df.where("false"), "d", "y").count() == 0
 
 
+def test_lower_median_of_counted_values(spark):
+    rng = random.Random(15)
+    for rows in ([(0.0, 3), (5.0, 2)], [(1.0, 1), (2.0, 1)], [(rng.choice([0.0, 1e-300, rng.random(), 7.25, 1e200]), rng.randint(1, 9)) for _ in range(300)]):
+        every = sorted(v for v, n in rows for _ in range(n))
+        df = spark.createDataFrame(rows, "v double, n long")
+        assert stats.lower_median(df, "v", "n").first()[0] == every[(len(every) - 1) // 2]
+    assert stats.lower_median(df.where("false"), "v", "n").first()[0] is None
+
+
 def test_filters_and_pages(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else float(i % 5), "a+b" if i % 2 else None) for i in range(23)], "id int, v double, t string")
     assert {r.id for r in filtered(df, [Filter("v", "range", 1, 2), Filter("t", "literal", "A+B"), Filter("gone", "range", 1)]).collect()} == {i for i in range(23) if i % 4 and 1 <= i % 5 <= 2 and i % 2}
