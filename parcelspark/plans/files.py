@@ -9,7 +9,7 @@ from ..operators import export, flow
 from ..operators import ingest as g
 from ..operators import mapping as m
 from ..operators.matching import cosine
-from ..sources.files import read_cells
+from ..sources.files import read_rows
 from ..sources.scratch import folder, kept, spread
 from ..sources.views import view, with_views
 from ..streaming import arrivals
@@ -108,7 +108,7 @@ def csv_round_trip(spark, sf_dir):
     remark = F.concat("notes", F.lit(' "'), "city", F.lit('"\n'), "zip_code")
     path = folder(spark, "csv-export")
     export.to_csv(sales.select("id", "address", remark.alias("remark"), F.col("year_built").cast("int").alias("built")), path)
-    rows = read_cells(spark, path).where("row_idx > 0").groupBy("file_no", "row_idx").agg(*[F.max(F.when(F.col("col_idx") == i, F.col("value"))).alias(n) for i, n in enumerate(("id", "address", "remark", "built"))])
+    rows = read_rows(spark, path, ["id", "address", "remark", "built"]).where("row_idx > 0")
     return rows.select(F.col("id").cast("bigint").alias("id"), "address", "remark", "built")
 
 

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import spread
+
 #: Spellings that a spreadsheet reader takes for a missing value.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
+#: A running state is taken over 2 ** this lines at a time.
+LINES = 16
+
 #: What follows an opening quote, up to the closing one; a field as a whole; and the fields of a line before the last one.
 _QUOTED = '[^"]*+(?:""[^"]*+)*+'
 _FIELD = f'(?:"{_QUOTED}"[^,]*+|[^",][^,]*+|)'
@@ -37,11 +42,13 @@ def _state(lines: DataFrame, by: list[str], order: str) -> DataFrame:
 def records(spark: SparkSession, path: str) -> DataFrame:
     """``file_no, row_idx, record``: the records of every file that are not blank, in order; a quoted cell may hold line breaks, and a quote within a cell that does not begin with one is a character like others.
 
-    Files are read by lines, once and in byte ranges, so one large file is many tasks. Whether a line begins inside a quoted cell is a running state: within a range by a window over it, and across ranges by one
-    over the few ranges of each file. Only records of several lines are gathered. Lines end with a line feed, with or without a carriage return.
+    Files are read by lines, once and in byte ranges, so one large file is many tasks. Whether a line begins inside a quoted cell is a running state: within a range of at most 2 ** ``LINES`` lines by a window over it,
+    which holds a range in memory, and across ranges by one over the few ranges of each file. Only records of several lines are gathered. Lines end with a line feed, with or without a carriage return.
     """
     lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file_no"), F.col("_metadata.file_block_start").alias("block"))
-    lines = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    lines = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("block", F.struct("block", F.shiftright("at", LINES).alias("nth"))).withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    # adaptive execution would bring lines together into as few tasks as there are cores, whatever their number
+    lines = spread(lines, "file_no", "block")
     bare = F.regexp_replace("value", "\r$", "")
     lines = lines.withColumns({"out": _ends_open(bare, False), "in_": _ends_open(bare, True), "blank": bare == ""})
     lines = _state(lines, ["file_no", "block"], "at")
@@ -59,14 +66,27 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.withColumn("row_idx", F.col("earlier") + F.sum(F.col("begins").cast("int")).over(w) - 1).where(F.col("begins") | F.col("was"))
     lines = lines.withColumn("value", F.when(F.col("open"), F.col("value")).otherwise(F.regexp_replace("value", "\r$", "")))
     whole = lines.where(F.col("begins") & ~F.col("open")).select("file_no", "row_idx", F.col("value").alias("record"))
-    parts = lines.where(~F.col("begins") | F.col("open")).groupBy("file_no", "row_idx").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+    parts = spread(lines.where(~F.col("begins") | F.col("open")), "file_no", "row_idx").groupBy("file_no", "row_idx").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
     return whole.unionByName(parts.select("file_no", "row_idx", F.array_join("parts.value", "\n").alias("record")))
 
 
+def _fields(record: Column) -> Column:
+    return F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f',("{_QUOTED}"[^,]*+|{_OPEN}|[^,]*+)'), F.lit(1))
+
+
+def _value(cell: Column) -> Column:
+    quoted = f'(?s)^"({_QUOTED})"?(.*)$'
+    return F.when(cell.startswith('"'), F.concat(F.replace(F.regexp_extract(cell, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(cell, quoted, 2))).otherwise(cell)
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """``file_no`` (the file's path), ``row_idx``, ``col_idx``, ``value`` of every cell that is not missing; see ``records``."""
-    fields = F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(f',("{_QUOTED}"[^,]*+|{_OPEN}|[^,]*+)'), F.lit(1))
-    cells = records(spark, path).select("file_no", F.col("row_idx").cast("int").alias("row_idx"), F.posexplode(fields).alias("col_idx", "value"))
-    quoted = f'(?s)^"({_QUOTED})"?(.*)$'
-    value = F.when(F.col("value").startswith('"'), F.concat(F.replace(F.regexp_extract("value", quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract("value", quoted, 2))).otherwise(F.col("value"))
-    return cells.withColumn("value", value).where(~F.col("value").isin(MISSING))
+    cells = records(spark, path).select("file_no", F.col("row_idx").cast("int").alias("row_idx"), F.posexplode(_fields(F.col("record"))).alias("col_idx", "value"))
+    return cells.withColumn("value", _value(F.col("value"))).where(~F.col("value").isin(MISSING))
+
+
+def read_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """``file_no``, ``row_idx`` and the first cells of every record by the given names, null where missing: what ``read_cells`` gives, without bringing the cells of a row together again."""
+    rows = records(spark, path).select("file_no", F.col("row_idx").cast("int").alias("row_idx"), _fields(F.col("record")).alias("cells"))
+    rows = rows.select("file_no", "row_idx", *[_value(F.get("cells", F.lit(i))).alias(n) for i, n in enumerate(names)])
+    return rows.select("file_no", "row_idx", *[F.when(~F.col(n).isin(MISSING), F.col(n)).alias(n) for n in names])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions import clean, geo
 from parcelspark.operators import duplicates, flow, ingest, mapping, matching, radius, rates, stats, store
 from parcelspark.operators.filters import Filter, filtered, page, page_after
+from parcelspark.sources import files
 from parcelspark.sources.files import MISSING, read_cells
 from parcelspark.sources.views import view
 from parcelspark.streaming import arrivals
@@ -410,6 +411,18 @@ def test_large_files_are_cut_anywhere(spark, tmp_path, size):
     assert got == want and len(want) > 300
 
 
+def test_lines_are_read_in_short_ranges(spark, tmp_path, monkeypatch):
+    """Quoted cells over the ends of ranges of two lines; and rows are what their cells are."""
+    rows = [[f"a{i}", "x\n" * (i % 5) + f'"{i}",', "" if i % 3 else "z"] for i in range(40)]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(rows)
+    monkeypatch.setattr(files, "LINES", 1)
+    got = files.read_rows(spark, str(tmp_path), ["a", "b", "c"]).orderBy("row_idx").collect()
+    assert [[r.a, r.b, r.c or ""] for r in got] == rows and [r.row_idx for r in got] == list(range(40))
+    cells = {(r.row_idx, r.col_idx): r.value for r in read_cells(spark, str(tmp_path)).collect()}
+    assert cells == {(i, k): v for i, row in enumerate(rows) for k, v in enumerate(row) if v}
+
+
 def test_wide_files_keep_their_cells(spark, tmp_path):
     (tmp_path / "wide.csv").write_text(",".join(f"h{i}" for i in range(90)) + "\n" + ",".join(str(i) for i in range(90)) + "\n")
     cells = read_cells(spark, str(tmp_path / "wide.csv"))
