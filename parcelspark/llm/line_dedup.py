@@ -7,11 +7,11 @@ different line gets a number of its own. The join:
 1. A line of length n is cut into tau + 1 segments, of which tau edits leave one whole. So a line of length m finds it by that segment among
    its own substrings, for each n from m - tau to m and only at the starts that tau edits allow (those that leave at most i - 1 edits before the
    i-th segment and tau + 1 - i after it). Segments and substrings meet in an equi-join on a hash of segment number and characters.
-2. A segment that more than ``CROWD`` lines have, such as the fixed part of a template, would bring all of them together. What is left of both lines without
-   it lies within tau edits too; so there the rests are cut and probed in the same way, and lines meet by all hashes so far. This goes on as long as a key is
-   crowded: every level leaves two thirds of a rest, and lines whose rest has tau characters or fewer meet at last, being within 2 tau edits. A pair
-   that shares the first segment is followed there alone, one that shares the last there or by the first; so a crowd by a later segment in which all lines have one
-   and the same first (or last) segment is left out, and a fixed text around a number has one way down instead of two at each level.
+2. A segment that more than ``CROWD`` lines have, such as one of a text with many altered copies or the fixed part of a template, would bring all of them together. Lines
+   with such a segment (and those that find it) are compared apart from the others: they are cut into ``PARTS`` parts, of which tau edits damage tau at most, and meet by a hash of all
+   parts but tau, for each choice of those and each way in which tau edits can move what lies between. So lines of a crowd meet only where most of both is the same, and where they have about as many of each frequent character.
+   A key that is still crowded, such as a template around its number, is followed by what is left of both lines without it, a third of them for two edits, in the same way. Rests of ``SHORT`` characters or
+   fewer meet by what is left after deletions (tau of the longer, as many less of the shorter as it is shorter), with their edit distance looked at right there.
 3. Of lines that meet, lengths must be within tau, and tau edits change the counts of letters by 2 tau at most. The rest is verified by edit distance, computed in a band of 2 tau + 1 diagonals with bit-parallel column steps.
 4. Links make connected classes, of which the first line (least document id, then line number) stays.
 
@@ -26,6 +26,7 @@ occurrences at the same place, of which all or none stay. An empty table gives a
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate, combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from .common import components, digest, free_names, row_key, written
 
 EDITS, MIN_CHARS = 2, 20
-#: Lines that may share a segment before what is left of them is compared as well, and a quarter of that for further pieces; any value gives the same links.
-CROWD = 64
-#: Counted modulo 8, three bits each.
-LETTERS = "etaonirshdlucmfpgwby "
+#: Lines that may share a segment before they are compared by more of what they hold, and a quarter of those that may share all parts but a few; any value gives the same links.
+CROWD = 16
+#: Parts of a line of a crowd, and the characters of a rest that is not cut further; there must be so many for a part to have one at least.
+PARTS, SHORT = 6, 12
+#: Two words of characters, counted modulo 8, three bits each.
+LETTERS = "etaonirshdlucmfpgwby ", "0123456789vkxjqz.,-:/"
 TRIMMED = " \t\n\x0b\x0c\r"
 
 
@@ -56,8 +59,8 @@ def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
 
 
 def _places(lengths: DataFrame, tau: int, least: int) -> DataFrame:
-    """For each length ``r`` of the given ones ``own, i, at, size, ends``: number, start and length of the segments of a line of r characters (``own``), and of its
-    substrings that may be a segment of a line of r - tau to r characters; ``ends`` has the lengths of those lines' first and last segments.
+    """For each length ``r`` of the given ones ``own, i, at, size``: number, start and length of the segments of a line of r characters (``own``), and of its
+    substrings that may be a segment of a line of r - tau to r characters.
 
     All this depends on the length alone, so lines get it by a join with a small table. As expressions of each line it made methods too long for the JVM to compile.
     """
@@ -66,8 +69,7 @@ def _places(lengths: DataFrame, tau: int, least: int) -> DataFrame:
     def one(n: Column, i: int, shift: int, own: bool) -> Column:
         start, size = _segment(n, i, tau)
         at = start + shift
-        ends = F.struct(_segment(n, 1, tau)[1].alias("first"), _segment(n, tau + 1, tau)[1].alias("last"))
-        found = F.struct(F.lit(own).alias("own"), F.lit(i).alias("i"), at.alias("at"), size.alias("size"), ends.alias("end"))
+        found = F.struct(F.lit(own).alias("own"), F.lit(i).alias("i"), at.alias("at"), size.alias("size"))
         return F.when((F.lit(own) | (n >= least)) & (at >= 0) & (at + size <= r), found)
 
     out = [one(r, i, 0, True) for i in range(1, tau + 2)]
@@ -76,21 +78,79 @@ def _places(lengths: DataFrame, tau: int, least: int) -> DataFrame:
             for shift in range(max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
                 out.append(one(r - delta, i, shift, False))
     every = lengths.select("r").distinct().select("r", F.explode(F.array(*out)).alias("p")).where("p is not null")
-    return every.groupBy("r", "p.own", "p.i", "p.at", "p.size").agg(F.collect_set("p.end").alias("ends"))  # at most tau + 1
+    return every.select("r", "p.*").distinct()
+
+
+def _listed(rows: list[tuple], names: list[str]) -> Column:
+    """A generator of a fixed list's rows of whole numbers; as text, since so many literals take long to make one by one."""
+    return F.expr(f"inline(cast(array({','.join(f'({",".join(map(str, x))})' for x in rows)}) as array<struct<{','.join(f'{n}:int' for n in names)}>>))")
+
+
+def _without_parts(tau: int, own: bool) -> tuple[list[tuple], list[str]]:
+    """Every choice of tau parts of ``PARTS``, with how a line that is longer by ``delta`` moves what lies between them: ``delta, d1 .. dtau, s1 .. stau``. The line
+    whose parts they are (``own``) moves nothing. Each part moves by 1 at most: of edits beyond one in a part there is a choice that has its neighbours as well."""
+    found = set()
+    for parts in combinations(range(PARTS), tau):
+        for moves in [(0,) * tau] if own else product((-1, 0, 1), repeat=tau):
+            shifts = list(accumulate(moves))
+            if shifts[-1] >= 0:
+                # nothing lies between neighbours, so it is not moved either
+                shifts = [0 if t + 1 < tau and parts[t + 1] == parts[t] + 1 else s for t, s in enumerate(shifts)]
+                found.add((shifts[-1], *parts, *shifts))
+    return sorted(found), ["delta", *[f"d{t}" for t in range(1, tau + 1)], *[f"s{t}" for t in range(1, tau + 1)]]
+
+
+def _joined(text: Column, spans: list[tuple[Column, Column]]) -> Column:
+    return F.concat(*[F.substring(text, a + 1, b - a) for a, b in spans])
+
+
+def _cut(side: DataFrame, tau: int, own: bool, *kept: str, rest: bool = False) -> DataFrame:
+    """One row for each choice of parts of ``rest`` with ``kept`` and ``path``, the hash of the others and of the path so far; and, if wanted, with the ``rest`` that these parts make."""
+    rows, names = _without_parts(tau, own)
+    rows = side.where(F.col("r") > SHORT).select("*", _listed(rows, names)).where(F.col("r") - F.col("delta") > SHORT)
+    n = F.col("r") - F.col("delta")
+    short = F.floor(n / PARTS).cast("int")
+    start = lambda p: short * p + F.greatest(F.lit(0), p - PARTS + n % PARTS)  # the last ones are the longer ones
+    d, s = [F.col(f"d{t}") for t in range(1, tau + 1)], [F.lit(0), *[F.col(f"s{t}") for t in range(1, tau + 1)]]
+    others = [(start(a) + shift, start(b) + shift) for a, b, shift in zip([F.lit(0), *[x + 1 for x in d]], [*d, F.lit(PARTS)], s, strict=True)]
+    path = F.xxhash64("path", n, *d, *[F.substring("rest", a + 1, b - a) for a, b in others]).alias("path")
+    left = [_joined(F.col("rest"), [(start(x) + s[t], start(x + 1) + s[t + 1]) for t, x in enumerate(d)]).alias("rest")] if rest else []
+    return rows.select(*kept, path, *left)
+
+
+def _without_characters(side: DataFrame, tau: int, own: bool, *kept: str) -> DataFrame:
+    """One row for each way to delete tau characters (``own``: or fewer) of ``rest``, with ``kept``, ``rest`` and ``path``, the hash of what is left and of the path so far. Of equal neighbours the last ones are deleted."""
+    top = SHORT if own else SHORT + tau
+    names = [f"p{t}" for t in range(1, tau + 1)]
+    # a place behind every end deletes nothing
+    every = [(k, *places, *[10**6] * (tau - k)) for k in range(tau + 1) for places in combinations(range(top), k)]
+    rows = side.where(F.col("r") <= top).select("*", _listed(every, ["k", *names]))
+    p = [F.col(x) for x in names]
+    for t, x in enumerate(p):
+        nth = p[t + 1] == x + 1 if t + 1 < tau else F.lit(False)
+        last = nth | (x + 1 >= F.col("r")) | (F.substring("rest", x + 1, F.lit(1)) != F.substring("rest", x + 2, F.lit(1)))
+        rows = rows.where((F.col("k") <= t) | ((x < F.col("r")) & last))
+    if not own:
+        rows = rows.where(F.col("k") == F.least(F.lit(tau), F.col("r")))
+    left = _joined(F.col("rest"), list(zip([F.lit(0), *[x + 1 for x in p]], [*p, F.lit(2 * 10**6)], strict=True)))
+    return rows.select(*kept, "rest", F.xxhash64("path", left).alias("path"))
 
 
 def letters(line: Column, n: Column) -> Column:
-    """How often frequent letters occur."""
-    return sum((((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 8).cast("bigint") * (1 << 3 * i) for i, c in enumerate(LETTERS)), F.lit(0).cast("bigint"))
+    """How often frequent characters occur."""
+    def word(chars: str) -> Column:
+        return sum((((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 8).cast("bigint") * (1 << 3 * i) for i, c in enumerate(chars)), F.lit(0).cast("bigint"))
 
+    return F.struct(*[word(chars).alias(f"w{k}") for k, chars in enumerate(LETTERS)])
 
-def letters_apart(a: Column, b: Column) -> Column:
-    """A lower bound on the sum of differences of those counts; an edit changes the sum by 2 at most."""
-    def one(i: int) -> Column:
-        d = F.abs(F.shiftright(a, 3 * i).bitwiseAND(F.lit(7)) - F.shiftright(b, 3 * i).bitwiseAND(F.lit(7)))
+
+def letters_alike(a: Column, b: Column, tau: int) -> Column:
+    """Whether those counts can be of lines within tau edits: an edit changes the sum of their differences by 2 at most."""
+    def one(k: int, i: int) -> Column:
+        d = F.abs(F.shiftright(a[f"w{k}"], 3 * i).bitwiseAND(F.lit(7)) - F.shiftright(b[f"w{k}"], 3 * i).bitwiseAND(F.lit(7)))
         return F.least(d, 8 - d)
 
-    return sum((one(i) for i in range(1, len(LETTERS))), one(0))
+    return reduce(Column.__and__, [sum((one(k, i) for i in range(1, len(chars))), one(k, 0)) <= 2 * tau for k, chars in enumerate(LETTERS)])
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -138,34 +198,31 @@ def _within(a: Column, b: Column, tau: int) -> Column:
 
 def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int, broadcast_rows: int = 500_000) -> DataFrame:
     """``x, y``: numbers of lines that may be within ``edits``; each pair once. Runs jobs: one to find crowds, and some more for each level of them."""
-    names, i = ["num", "n"], F.col("i")
+    names = ["num", "n"]
 
     def small(keys: DataFrame) -> DataFrame:
         return F.broadcast(keys) if keys.count() <= broadcast_rows else keys
 
-    def places(lengths: DataFrame, least: int) -> list[DataFrame]:
-        """Of substrings, and of segments."""
-        both = written(_places(lengths, edits, least), "line-places")
-        fits = both.count() <= broadcast_rows
-        return [F.broadcast(both.where(c)) if fits else both.where(c) for c in ("not own", "own")]
-
-    def hashed(side: DataFrame, where: DataFrame, text: str, *path: str, more: tuple = ()) -> DataFrame:
-        """One row for each of those places, with ``path``: the hash of what is there and of the pieces taken out before."""
-        return side.join(where, "r").select(*names, *more, F.xxhash64(*path, "i", F.substring(text, F.col("at") + 1, F.col("size"))).alias("path"))
+    def hashed(side: DataFrame, where: DataFrame) -> DataFrame:
+        """One row for each of those places, with ``path``: the hash of what is there."""
+        return side.join(where, "r").select(*names, F.xxhash64("i", F.substring("line", F.col("at") + 1, F.col("size"))).alias("path"))
 
     def crowds(parts: DataFrame, crowd: int) -> DataFrame:
         return written(parts.groupBy("path").count().where(F.col("count") > crowd).select("path"), "line-crowds")
 
-    def together(x: DataFrame, y: DataFrame) -> DataFrame:
+    def together(x: DataFrame, y: DataFrame, *more: Column) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
         longer = F.col("y.n") - F.col("x.n")
         # of lines of one length each finds the other
         bound = longer.between(0, edits) & ((longer > 0) | (F.col("x.num") < F.col("y.num")))
-        return x.join(y, (F.col("x.path") == F.col("y.path")) & bound).select(F.col("x.num").alias("x"), F.col("y.num").alias("y"))
+        # merged, as the size of a written table says little of the rows made from it, by which Spark would broadcast them
+        return x.join(y.hint("merge"), reduce(Column.__and__, more, (F.col("x.path") == F.col("y.path")) & bound)).select(F.col("x.num").alias("x"), F.col("y.num").alias("y"))
 
     lines = lines.withColumn("r", F.col("n"))
-    of_substrings, of_segments = places(lines, min_chars)
-    parts, probes = hashed(lines, of_segments, "line"), hashed(lines, of_substrings, "line")
+    places = written(_places(lines, edits, min_chars), "line-places")
+    fits = places.count() <= broadcast_rows
+    of_substrings, of_segments = [F.broadcast(places.where(c)) if fits else places.where(c) for c in ("not own", "own")]
+    parts, probes = hashed(lines, of_segments), hashed(lines, of_substrings)
     heavy = crowds(parts, crowd)
     if heavy.isEmpty():
         return together(parts, probes).distinct()
@@ -174,42 +231,24 @@ def _met(lines: DataFrame, edits: int, min_chars: int, crowd: int, broadcast_row
     # the lines that have a crowded segment, and those of lengths that may find one
     owners = parts.join(keys, "path").select("num", "n")
     lengths = owners.select(F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("n")).distinct()  # one row for each length at most
-    finders = hashed(lines.join(F.broadcast(lengths), "n"), of_substrings, "line").join(keys, "path").select("num")
+    finders = hashed(lines.join(F.broadcast(lengths), "n"), of_substrings).join(keys, "path").select("num")
     few = written(owners.select("num").union(finders).distinct(), "line-crowded")
-    some = written(lines.join(small(few), "num").select(*names, F.col("line").alias("rest"), "r"), "line-crowded")
-    # each side's lines, by the pieces taken out so far (at first none), and what is left of them
-    owners = finders = some
-    path: tuple = ()
-    rest, r = F.col("rest"), F.col("r")
-    cut = F.concat(F.substring(rest, F.lit(1), F.col("at")), F.substring(rest, F.col("at") + F.col("size") + 1, r))
-    # of what is where the other line's first and last segments are; null where a pair that shares those is not followed elsewhere
-    head = F.when(i > 1, F.xxhash64(F.substring(rest, F.lit(1), F.col("first"))))
-    tail = F.when((i > 1) & (i <= edits), F.xxhash64(F.substring(rest, r - F.col("last") + 1, F.col("last"))))
-
-    def held(side: DataFrame, where: DataFrame) -> DataFrame:
-        found = hashed(side, where, "rest", *path, more=("rest", "r", "i", "at", "size", "ends")).join(keys, "path")
-        found = found.select("*", F.inline("ends")).select(*names, "path", cut.alias("rest"), head.alias("head"), tail.alias("tail"))
-        return found.withColumn("r", F.length("rest"))
-
+    bag = letters(F.col("line"), F.col("n")).alias("bag")
+    # each side's lines, by the parts taken out so far (at first none), and what is left of them
+    owners = finders = written(lines.join(small(few), "num").select(*names, bag, F.lit(0).cast("long").alias("path"), F.col("line").alias("rest"), "r"), "line-crowded")
+    names.append("bag")
+    alike = letters_alike(F.col("x.bag"), F.col("y.bag"), edits)
+    near = F.levenshtein("x.rest", "y.rest", edits) >= 0
     while True:
-        owners, finders = written(held(owners, of_segments), "line-crowded"), written(held(finders, of_substrings).distinct(), "line-crowded")
-        values = owners.select("path", "head", "tail").union(finders.select("path", "head", "tail")).groupBy("path") \
-            .agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("head", "tail")])
-        differ = [F.col(f"min_{c}").isNull() | (F.col(f"min_{c}") != F.col(f"max_{c}")) for c in ("head", "tail")]
-        open_ = small(written(values.where(differ[0] & differ[1]).select("path"), "line-crowds"))
-        owners, finders = owners.join(open_, "path"), finders.join(open_, "path")
-        # the shortest rests meet as they are
-        met.append(written(together(owners.where(r <= edits), finders.where(r <= 2 * edits)), "line-met"))
-        owners, finders = owners.where(r > edits), finders.where(r > edits)
-        of_substrings, of_segments = places(owners.select("r").union(finders.select("r")), edits + 1)
-        path = ("path",)
-        parts, probes = hashed(owners, of_segments, "rest", *path), hashed(finders, of_substrings, "rest", *path)
-        heavy = crowds(parts, max(1, crowd // 4))
+        ends = together(_without_characters(owners, edits, True, *names), _without_characters(finders, edits, False, *names), near)
+        parts, probes = _cut(owners, edits, True, *names), _cut(finders, edits, False, *names)
+        heavy = crowds(parts, 4 * crowd)
+        keys = small(heavy)
+        met.append(written(ends.union(together(parts.join(keys, "path", "left_anti"), probes, alike)), "line-met"))
         if heavy.isEmpty():
-            met.append(together(parts, probes))
             return reduce(DataFrame.union, met).distinct()
-        keys = small(heavy)
-        met.append(written(together(parts.join(keys, "path", "left_anti"), probes), "line-met"))
+        owners, finders = [written(_cut(side, edits, own, *names, rest=True).join(keys, "path").distinct().withColumn("r", F.length("rest")), "line-crowded")
+                           for side, own in ((owners, True), (finders, False))]
 
 
 def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = 500_000, crowd: int = CROWD) -> DataFrame:
@@ -222,7 +261,7 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broa
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     texts = written(lines.join(wanted, "num").select("num", "key", "line", letters(F.col("line"), F.col("n")).alias("bag")), "line-texts")
     side = lambda num, key, line, bag: texts.select(F.col("num").alias(num), F.col("key").alias(key), F.col("line").alias(line), F.col("bag").alias(bag))
-    both = pairs.join(side("x", "a", "shorter", "x_bag"), "x").join(side("y", "b", "long", "y_bag"), "y").where(letters_apart(F.col("x_bag"), F.col("y_bag")) <= 2 * edits)
+    both = pairs.join(side("x", "a", "shorter", "x_bag"), "x").join(side("y", "b", "long", "y_bag"), "y").where(letters_alike(F.col("x_bag"), F.col("y_bag"), edits))
     chars = both.select("a", "b", F.split("long", "").alias("long"), F.split("shorter", "").alias("shorter"))
     return chars.where(within(F.col("long"), F.col("shorter"), edits)).select("a", "b")
 

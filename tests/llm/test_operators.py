@@ -233,6 +233,25 @@ def test_lines_of_a_template_do_not_all_meet(spark):
         assert want <= set(met) and len(met) == len(set(met)) <= 10 * (len(some) + len(want)) and len(want) > 10, (n, len(want), len(met))
 
 
+def test_altered_copies_of_a_line_do_not_all_meet(spark):
+    """Copies of one long line, some words of each replaced: few are linked, and few meet."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaonirshd") for _ in range(rng.randint(2, 6)))
+    base = [word() for _ in range(80)]
+    copies = []
+    for _ in range(400):
+        words = list(base)
+        for at in rng.sample(range(80), 4):
+            words[at] = word()
+        copies.append(" ".join(words))
+    near = [(x, changed(rng, x, 2).strip()) for x in copies[:20]]
+    some = sorted({*copies, *[y for _, y in near]})
+    found = spark.createDataFrame(list(enumerate(some)), "num long, line string").withColumn("n", F.length("line"))
+    met = {(r.x, r.y) for r in line_dedup._met(found, line_dedup.EDITS, line_dedup.MIN_CHARS, line_dedup.CROWD).collect()}
+    made = {tuple(sorted(pair, key=lambda k: (len(some[k]), k))) for pair in ((some.index(x), some.index(y)) for x, y in near if x != y)}
+    assert made <= met and len(made) >= 15 and len(met) <= 10 * (len(some) + len(made)), (len(made), len(met))
+
+
 def test_hashes_of_lines_are_compiled(spark, capsys):
     """The JVM interprets methods of more than 8,000 bytes for ever."""
     found = spark.createDataFrame([(i, f"{i} is the number of a line {i}") for i in range(20)], "num long, line string").withColumn("n", F.length("line"))
