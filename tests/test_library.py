@@ -617,3 +617,29 @@ def test_best_matches_of_a_batch_are_compared_together(monkeypatch, size):
     frame = pd.DataFrame(rows, columns=["a", "salt", "b", "first_id", "bound"])
     got = pd.concat(duplicates._rising(0.85)(iter([frame[k: k + size] for k in range(0, len(frame), size)])))
     assert [(x.a, -x.score, x.first_id) for x in got.itertuples()] == want and got["tried"].sum() < len(frame) / 4
+
+
+def test_pairs_of_addresses_are_written_once(spark, monkeypatch):
+    """However many listings share an address, its pairs are compared and written as two numbers and a score; the listings come last."""
+    from parcelspark.sources.scratch import kept
+
+    written = []
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "address-pairs":
+            written.append((out.dtypes, out.count()))
+        return out
+
+    monkeypatch.setattr(duplicates, "kept", counted)
+    r = random.Random(8)
+    every = streets(r, 60)
+    for join in (duplicates.by_ratio, duplicates.by_levenshtein):
+        rows = {}
+        for copies in (1, 20):
+            s = spark.createDataFrame([(i, a) for i, a in enumerate(every * copies)], "id long, address string")
+            n = spark.createDataFrame([(i, a.upper()) for i, a in enumerate(every[:20] * copies)], "new_id long, address string")
+            rows[copies] = join(n, s, digits=3)
+            assert rows[copies].where("score <> round(score, 3)").count() == 0
+        assert rows[20].count() == 400 * rows[1].count() > 0
+        assert written[-1] == written[-2] and [t for _, t in written[-1][0]] == ["bigint", "bigint", "double"]
