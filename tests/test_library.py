@@ -643,3 +643,20 @@ def test_pairs_of_addresses_are_written_once(spark, monkeypatch):
             assert rows[copies].where("score <> round(score, 3)").count() == 0
         assert rows[20].count() == 400 * rows[1].count() > 0
         assert written[-1] == written[-2] and [t for _, t in written[-1][0]] == ["bigint", "bigint", "double"]
+
+
+def test_likeness_of_many_pairs_is_that_of_the_edit_distance():
+    r = random.Random(4)
+    first = ["".join(r.choices("abc 1é日", k=r.randint(0, 70))) for _ in range(600)] + ["a" * 64, "a" * 65, "", "x" * 300]
+    second = ["".join(c for c in x if r.random() > 0.1) if i % 2 else "".join(r.choices("abc 1é日", k=r.randint(0, 70))) for i, x in enumerate(first[:600])] + ["a" * 64, "a" * 66, "abc", "y" + "x" * 280]
+
+    def lev(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    assert duplicates.likeness(first, second).tolist() == [1 - lev(x, y) / max(len(x), len(y), 1) for x, y in zip(first, second)]
+    assert duplicates.likeness(second, first).tolist() == duplicates.likeness(first, second).tolist() and len(duplicates.likeness([], [])) == 0
