@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import age_years
 from ..functions.geo import EARTH_MILES, haversine
-from ..sources.scratch import kept, spread
+from ..sources.scratch import kept, short_methods, spread
 
 # Default weights, tolerances and limits.
 WEIGHTS = {"proximity": 0.30, "size": 0.25, "price": 0.20, "price_psf": 0.10, "year_built": 0.10, "recency": 0.15}
@@ -135,11 +135,11 @@ def sale_bounds(as_of: Column) -> dict[str, Bound]:
             "price_psf": _number_bound("price_per_sf"), "year_built": _number_bound("year_built", YEAR_TOLERANCE), "recency": Bound("closing_date", lambda s, low, high: recency(high("closing_date"), as_of))}
 
 
-def sale_cells(miles: float = 4.0, ratio: float = 1.4) -> tuple[list[Column], list[Column]]:
-    """Columns that make up the wide cells (a square of about ``miles``) and, within them, the narrow ones (size and price in steps of ``ratio``, and what is missing)."""
-    square = [F.floor(F.col(c) / (miles / 69.0)) for c in ("latitude", "longitude")]
-    steps = [F.floor(F.ln(c) / F.ln(F.lit(ratio))) for c in ("building_size", "sale_price")]
-    return square, [*steps, *[F.isnull(c) for c in ("building_size", "sale_price", "price_per_sf", "year_built", "closing_date")]]
+def sale_cells(miles: float = 4.0, ratio: float = 1.4) -> list[list[Column]]:
+    """Columns that make up cells, each level within the one before: squares of four times ``miles`` and of ``miles``, sizes and then prices in steps of ``ratio``, and what is missing."""
+    square = lambda miles: [F.floor(F.col(c) / (miles / 69.0)) for c in ("latitude", "longitude")]
+    step = lambda c: F.floor(F.ln(c) / F.ln(F.lit(ratio)))
+    return [square(4 * miles), square(miles), [step("building_size")], [step("sale_price")], [F.isnull(c) for c in ("building_size", "sale_price", "price_per_sf", "year_built", "closing_date")]]
 
 
 def _most(cells: DataFrame, subjects: list[str], bounds: dict[str, Bound], weights: dict[str, float]) -> DataFrame:
@@ -174,39 +174,54 @@ def _ranges(rows: DataFrame, key: str, fields: list[str], *above: str) -> DataFr
     return rows.groupBy(key, *above).agg(n.alias("n"), *[c for f in fields for c in (F.min(low(f)).alias(f"low_{f}"), F.max(high(f)).alias(f"high_{f}"), known(f).alias(f"n_{f}"))])
 
 
-def top_matches(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, bounds: dict[str, Bound], weights: dict[str, float], cells: tuple[list[Column], list[Column]], k: int = TOP,
+def top_matches(comps: DataFrame, subjects: DataFrame, dimensions: Dimensions, bounds: dict[str, Bound], weights: dict[str, float], cells: list[list[Column]], k: int = TOP,
                 digits: int = 6, first: int = 8, counted: list[int] | None = None) -> DataFrame:
     """``subject_id, rank, id, match_score``: the k best records of each subject by the score rounded to ``digits``, as ``ranked`` over ``scored``, from a part of the pairs.
 
-    Records are put into wide and narrow cells, which keep the range of each field. A cell's bound is the best score any row in it can have. Each subject first reads the narrow
-    cells with the highest bounds until they hold ``first`` times k rows; its k-th score there is a floor. Then it reads the cells whose bound reaches the floor, wide ones before the narrow ones in
-    them; no other can hold one of its k best. Every dimension with a weight needs a bound. Cells are joined with rows by their key, so a crowded
+    Records are put into cells, level within level, which keep the range of each field. A cell's bound is the best score any row in it can have. Each subject first goes down the cells with the
+    highest bounds, fewer at every level, until the narrowest hold ``first`` times k rows; its k-th score there is a floor. Then it goes down the cells whose bound reaches the floor, a level at a time;
+    no other can hold one of its k best. Every dimension with a weight needs a bound. Cells are joined with rows by their key, so a crowded
     cell is split like any skewed key. Runs jobs: the records with their cells, the ranges and the floors are written. ``counted`` gets the number of pairs scored.
     """
     if missing := {n for n in dimensions if weights.get(n, 0) > 0} - set(bounds):
         raise ValueError(f"no bounds for {sorted(missing)}")
     fields = sorted({b.field for b in bounds.values()} | {"latitude", "longitude"})
-    rows = comps.withColumn("wide", F.xxhash64(*cells[0])).withColumn("narrow", F.xxhash64("wide", *cells[1]))
-    rows = kept(spread(rows.select("wide", "narrow", "id", *fields), "narrow"), "match-rows")
-    narrow = kept(spread(_ranges(rows, "narrow", fields, "wide"), "narrow"), "narrow-cells")
+    keys = [*[f"level{i}" for i in range(len(cells) - 1)], "narrow"]
+    rows = comps
+    for i, own in enumerate(cells):
+        rows = rows.withColumn(keys[i], F.xxhash64(*keys[:i][-1:], *own))
+    rows = kept(spread(rows.select(*keys, "id", *fields), "narrow"), "match-rows")
+    tables = [rows]
+    for i in reversed(range(len(keys))):
+        tables.insert(0, kept(spread(_ranges(tables[0], keys[i], fields, *keys[:i]), keys[i]), f"{keys[i]}-cells"))
     asked = kept(_named(subjects), "subjects")
     names = subjects.columns
-    wide = in_blocks(_ranges(narrow, "wide", fields), asked, "subject_id")
-    wide = kept(_most(wide, names, bounds, weights).select("subject_id", "wide", "n", "most"), "wide-bounds")
+    with short_methods(comps.sparkSession):
+        top = _most(in_blocks(tables[0], asked, "subject_id"), names, bounds, weights)
+        top = kept(top.select("subject_id", keys[0], "n", "most"), "top-bounds")
     small = _parts(asked) == 1
     asked = F.broadcast(asked) if small else asked
 
-    def below(some: DataFrame) -> DataFrame:
-        """The narrow cells of some wide ones, with their bounds."""
-        pairs = spread(some.select("subject_id", "wide", *(["floor"] if "floor" in some.columns else [])), "subject_id", "wide").join(narrow, "wide").join(asked, "subject_id")
+    def below(some: DataFrame, i: int) -> DataFrame:
+        """The cells of a level within some of the level above, with their bounds."""
+        pairs = spread(some.select("subject_id", keys[i - 1], *(["floor"] if "floor" in some.columns else [])), "subject_id", keys[i - 1]).join(tables[i].drop(*keys[: i - 1]), keys[i - 1]).join(asked, "subject_id")
         return _most(pairs, names, bounds, weights)
 
+    def reached(floor: DataFrame) -> DataFrame:
+        found = top.join(floor, "subject_id", "left")
+        for i in range(1, len(keys)):
+            found = below(_reached(found, digits), i)
+        return found
+
     def scores(some: DataFrame) -> DataFrame:
-        pairs = spread(some.select("subject_id", "narrow"), "subject_id", "narrow").join(rows, "narrow").join(asked, "subject_id")
+        pairs = spread(some.select("subject_id", "narrow"), "subject_id", "narrow").join(rows.drop(*keys[:-1]), "narrow").join(asked, "subject_id")
         return _pair_scores(pairs, comps, subjects, dimensions, weights).select("subject_id", "id", F.round("match_score", digits).alias("match_score"))
 
-    start = _first(below(_first(wide, "wide", first * k)), "narrow", first * k)
-    return _by_bounds(start, lambda floor: below(_reached(wide.join(floor, "subject_id", "left"), digits)), scores, k, digits, counted)
+    start = top
+    for i, key in enumerate(keys):
+        start = _first(start if i == 0 else below(start, i), key, first * k * 8 ** (len(keys) - 1 - i))
+    with short_methods(comps.sparkSession):
+        return _by_bounds(start, reached, scores, k, digits, counted)
 
 
 def _first(cells: DataFrame, key: str, rows: int) -> DataFrame:
@@ -228,7 +243,8 @@ def _by_bounds(start: DataFrame, cells: Callable[[DataFrame], DataFrame], scores
     more = kept(_reached(cells(floor), digits).select("subject_id", "narrow", "n").join(start, ["subject_id", "narrow"], "left_anti"), "more-cells")
     if counted is not None:
         counted.append(start.unionByName(more).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    return ranked(found.unionByName(scores(more)), k).select("subject_id", "rank", "id", "match_score")
+    rest = kept(ranked(scores(more), k).drop("rank"), "more-scores")
+    return ranked(found.unionByName(rest), k).select("subject_id", "rank", "id", "match_score")
 
 
 def _parts(df: DataFrame) -> int:

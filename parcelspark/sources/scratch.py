@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """Plans that run within have long expressions compiled in parts: the JVM leaves methods of more than 8,000 bytes uncompiled."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt to all cores. What is small in bytes comes in one part or two, and so would the pairs that it is multiplied to."""
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -660,3 +660,29 @@ def test_likeness_of_many_pairs_is_that_of_the_edit_distance():
 
     assert duplicates.likeness(first, second).tolist() == [1 - lev(x, y) / max(len(x), len(y), 1) for x, y in zip(first, second)]
     assert duplicates.likeness(second, first).tolist() == duplicates.likeness(first, second).tolist() and len(duplicates.likeness([], [])) == 0
+
+
+def test_many_subjects_read_few_cells_and_leave_settings(spark, monkeypatch):
+    """Bounds are worked out level by level, for few of all pairs of a subject and a narrow cell, in methods that the JVM compiles."""
+    r = random.Random(14)
+    schema = "latitude double, longitude double, building_size double, sale_price double, price_per_sf double, year_built double"
+    one = lambda: (29 + r.random() * 1.5, -96 + r.random() * 1.3, r.lognormvariate(9, 1), r.lognormvariate(12, 1), None, float(r.randint(1960, 2024)))
+    comps = spark.createDataFrame([(i, *one()) for i in range(4_000)], f"id long, {schema}").withColumn("closing_date", F.lit("2001-05-05").cast("date"))
+    asked = spark.createDataFrame([(i, *one()) for i in range(20)], f"subject_id long, {schema}")
+    day, made, limits = F.lit("2002-01-01").cast("date"), {}, {}
+    name, plain = "spark.sql.codegen.hugeMethodLimit", matching.kept
+    before = spark.conf.get(name)
+
+    def counted(df, of):
+        limits[of], made[of] = spark.conf.get(name), plain(df, of)
+        return made[of]
+
+    monkeypatch.setattr(matching, "kept", counted)
+    dims = matching.sale_dimensions(day)
+    got = matching.top_matches(comps, asked, dims, matching.sale_bounds(day), matching.WEIGHTS, matching.sale_cells(), 5)
+    want = matching.ranked(matching.scored(comps, asked, dims, matching.WEIGHTS).withColumn("match_score", F.round("match_score", 6)), 5).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {limits[of] for of in ("top-bounds", "first-cells", "more-cells", "more-scores")} == {"8000"} and spark.conf.get(name) == before
+    sizes = [made[f"{c}-cells"].count() for c in ("level0", "level1", "level2", "level3", "narrow")]
+    assert sizes == sorted(sizes) and sizes[0] < 100
+    assert made["top-bounds"].count() == 20 * sizes[0]
