@@ -686,3 +686,11 @@ def test_many_subjects_read_few_cells_and_leave_settings(spark, monkeypatch):
     sizes = [made[f"{c}-cells"].count() for c in ("level0", "level1", "level2", "level3", "narrow")]
     assert sizes == sorted(sizes) and sizes[0] < 100
     assert made["top-bounds"].count() == 20 * sizes[0]
+
+
+def test_bands_round_the_greatest_scores_only(spark):
+    import __spark_entry__ as e
+
+    plan = e.queries()["match_bands"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Aggregate [subject_id", 1)
+    assert "* 100.0), 1)" in above and "* 100.0), 1)" not in below
