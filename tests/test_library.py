@@ -694,3 +694,23 @@ def test_bands_round_the_greatest_scores_only(spark):
     plan = e.queries()["match_bands"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Aggregate [subject_id", 1)
     assert "* 100.0), 1)" in above and "* 100.0), 1)" not in below
+
+
+def test_radius_join_compares_places_once(spark, monkeypatch):
+    """Many records and subjects of a place: the distances are those of its pairs, and each record and subject is there; a crowded place is dealt out."""
+    r = random.Random(16)
+    spots = [(29 + r.random() / 5, -96 + r.random() / 5) for _ in range(12)]
+    rows = [(i, *spots[min(11, int(r.expovariate(0.5)))]) for i in range(400)] + [(900, None, -96.0)]
+    asked = [(i, *spots[i % 12]) for i in range(40)] + [(77, 29.1, None)]
+    comps, subjects = spark.createDataFrame(rows, "id long, latitude double, longitude double"), spark.createDataFrame(asked, "subject_id long, latitude double, longitude double")
+    met, plain = [], radius._near
+
+    def counted(*args):
+        met.append(plain(*args))
+        return met[-1]
+
+    monkeypatch.setattr(radius, "_near", counted)
+    got = sorted(map(tuple, radius.radius_join(comps, subjects, 6.0, 50, digits=4).select("subject_id", "id", "distance_miles").collect()))
+    assert met[0].count() <= 12 * 12
+    want = sorted(map(tuple, plain(comps, subjects, 6.0, 50).select("subject_id", "id", F.round("distance_miles", 4)).collect()))
+    assert got == want and len(got) > 3_000
